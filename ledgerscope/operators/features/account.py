@@ -87,6 +87,7 @@ def account_timeline(
         events, ["acct"], "ts_us",
         [
             Running("credits", F.col("in_n")),
+            Running("moved", F.col("real")),
             Running("payers_24h", F.col("payer_step")),
             Running("last_in_us", F.col("in_us"), "max"),
             Running("first_in_us", F.col("in_us"), "min"),

@@ -1,7 +1,8 @@
 """Views over the generic tables (events, orders, ...) in ledger shape.
 
 Expressions are plain SQL understood by Spark and by ANSI engines alike, so the
-same text defines a view for a query and for its check.
+same text defines a view for a query and for its check. Fractions are written
+with an exponent, which both read as a double.
 """
 
 from __future__ import annotations
@@ -57,17 +58,17 @@ LEDGER_COLUMNS = {
     "device_attested": "CASE WHEN event_id % 6 = 0 THEN 0 ELSE 1 END",
     "city": "CASE WHEN event_id % 17 <> 0 THEN 'c' || CAST((user_id + CASE WHEN event_id % 5 = 0 THEN k ELSE 0 END) % 30 AS VARCHAR(20)) END",
     "country": "CASE WHEN event_id % 19 <> 0 THEN " + pick("(user_id + CASE WHEN event_id % 20 = 0 THEN 2 ELSE 0 END) % 4", ["IN", "US", "NG", "GB"]) + " END",
-    "lat": "CAST((user_id * 37) % 140 - 60 AS DOUBLE) + (event_id % 7) * 0.05 + CASE WHEN event_id % 29 = 0 THEN 8.0 ELSE 0.0 END",
-    "lon": "CAST((user_id * 53) % 300 - 150 AS DOUBLE) + (event_id % 11) * 0.04",
+    "lat": "CAST((user_id * 37) % 140 - 60 AS DOUBLE) + (event_id % 7) * 0.05e0 + CASE WHEN event_id % 29 = 0 THEN 8.0e0 ELSE 0.0e0 END",
+    "lon": "CAST((user_id * 53) % 300 - 150 AS DOUBLE) + (event_id % 11) * 0.04e0",
     "auth_method": pick("event_id % 8", ["pin", "otp", "3ds", "biometric", "passkey", "mandate", "none", "unheard_of"]),
     "otp_attempts": "CASE WHEN event_id % 8 = 1 THEN CAST(1 + k % 3 AS INT) END",
     "threeds_result": "CASE WHEN event_id % 8 = 2 THEN 1 ELSE 0 END",
     "step_up_shown": "CASE WHEN value > 60 THEN 1 ELSE 0 END",
-    "session_duration_s": "CASE WHEN event_id % 8 < 5 THEN CAST((event_id * 37) % 900 AS DOUBLE) + 1.5 END",
+    "session_duration_s": "CASE WHEN event_id % 8 < 5 THEN CAST((event_id * 37) % 900 AS DOUBLE) + 1.5e0 END",
     "hesitation_ms": "CASE WHEN event_id % 8 < 5 THEN CAST((event_id * 91) % 4000 AS DOUBLE) END",
     "app_switches": "CASE WHEN event_id % 8 < 5 THEN CAST(k % 6 AS INT) END",
     "form_corrections": "CASE WHEN event_id % 8 < 5 THEN CAST(k % 4 AS INT) END",
-    "typing_variance": "CASE WHEN event_id % 8 < 5 THEN ((event_id * 17) % 1000) / 5000.0 END",
+    "typing_variance": "CASE WHEN event_id % 8 < 5 THEN ((event_id * 17) % 1000) / 5000.0e0 END",
     "screen_share": "CASE WHEN event_id % 8 < 5 THEN CASE WHEN k % 9 = 0 THEN 1 ELSE 0 END END",
     "call_active": "CASE WHEN event_id % 8 < 5 THEN CASE WHEN k % 7 = 0 THEN 1 ELSE 0 END END",
     "is_agentic": "CASE WHEN event_id % 6 = 1 THEN 1 ELSE 0 END",
@@ -75,10 +76,10 @@ LEDGER_COLUMNS = {
     "agent_attested": "CASE WHEN event_id % 6 = 1 THEN CAST(k % 2 AS INT) END",
     "mandate_ceiling": "CASE WHEN event_id % 6 = 1 AND k % 10 <> 0 THEN CAST(k * 50 AS DOUBLE) END",
     "mandate_age_h": "CASE WHEN event_id % 6 = 1 THEN CAST(k * 2 AS DOUBLE) END",
-    "mandate_scope_breadth": "CASE WHEN event_id % 6 = 1 THEN (k % 10) / 10.0 END",
+    "mandate_scope_breadth": "CASE WHEN event_id % 6 = 1 THEN (k % 10) / 10.0e0 END",
     "mandate_intent_category": "CASE WHEN event_id % 6 = 1 THEN " + pick("k * 3 % 12", ["essentials", "food", "transport", "health", "retail", "digital", "financial", "cash", "highrisk", "travel", "luxury", "liquid"]) + " END",
     "human_confirmations": "CASE WHEN event_id % 6 = 1 THEN CAST(k % 3 AS INT) END",
-    "instrument_age_days": "CAST(k AS DOUBLE) / 100.0",
+    "instrument_age_days": "CAST(k AS DOUBLE) / 100.0e0",
     "dispute_filed": "CASE WHEN event_id % 19 = 0 THEN 1 ELSE 0 END",
     "customer_balance": "CASE WHEN event_id % 21 <> 0 THEN CAST((user_id * 131) % 5000 AS DOUBLE) END",
     "customer_account_age_days": "CAST((user_id * 11) % 200 AS DOUBLE)",
@@ -105,7 +106,7 @@ CUSTOMER_COLUMNS = {
 MERCHANT_COLUMNS = {
     "merchant_id": "'m' || CAST(s_suppkey AS VARCHAR(20))",
     "category": pick("s_suppkey % 6", ["essentials", "food", "retail", "digital", "travel", "liquid"]),
-    "chargeback_rate": "(s_suppkey % 50) / 1000.0",
+    "chargeback_rate": "(s_suppkey % 50) / 1000.0e0",
     "age_days": "CAST(s_suppkey * 3 AS DOUBLE)",
 }
 
@@ -116,10 +117,10 @@ SCORED_COLUMNS = {
     "ts": "o_orderdate",
     "amount": "o_totalprice",
     "y": "CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END",
-    "score": "CASE WHEN o_orderstatus = 'F' AND o_orderkey % 3 > 0 THEN 0.5 + ((o_orderkey * 7919) % 10007) / 20014.0 ELSE ((o_orderkey * 7919) % 10007) / 10007.0 END",
-    "p_model": "((o_orderkey * 6271) % 9973) / 9973.0",
-    "novelty": "((o_orderkey * 4241) % 1000) / 1000.0",
-    "rule_score": "CASE WHEN o_orderkey % 23 = 0 THEN 0.88 WHEN o_orderkey % 29 = 0 THEN 0.72 ELSE 0.0 END",
+    "score": "CASE WHEN o_orderstatus = 'F' AND o_orderkey % 3 > 0 THEN 0.5e0 + ((o_orderkey * 7919) % 10007) / 20014.0e0 ELSE ((o_orderkey * 7919) % 10007) / 10007.0e0 END",
+    "p_model": "((o_orderkey * 6271) % 9973) / 9973.0e0",
+    "novelty": "((o_orderkey * 4241) % 1000) / 1000.0e0",
+    "rule_score": "CASE WHEN o_orderkey % 23 = 0 THEN 0.88e0 WHEN o_orderkey % 29 = 0 THEN 0.72e0 ELSE 0.0e0 END",
     "rail": "o_orderpriority",
     "vector_id": "CASE WHEN o_orderstatus = 'F' THEN 'v' || CAST(o_custkey % 9 AS VARCHAR(20)) END",
     "benign_anomaly": "CASE WHEN o_orderstatus <> 'F' AND o_orderkey % 7 < 2 THEN CASE WHEN o_orderkey % 7 = 0 THEN 'travel' ELSE 'big_ticket' END END",
