@@ -75,19 +75,16 @@ def account_timeline(
         F.col("inn").alias("in_n"), (F.col("inn") * F.col("micro")).alias("in_amt"),
         outn.alias("out_n"), (outn * F.col("micro")).alias("out_amt"),
         F.when(F.col("inn") == 1, us).alias("in_us"), zero.alias("payer_step"),
-        F.lit(1).cast("long").alias("real"),
     ).unionByName(
         steps.select(
             "acct", "ts_us", zero.alias("in_n"), zero.alias("in_amt"), zero.alias("out_n"),
             zero.alias("out_amt"), F.lit(None).cast("long").alias("in_us"), "payer_step",
-            zero.alias("real"),
         )
     )
     return causal(
         events, ["acct"], "ts_us",
         [
             Running("credits", F.col("in_n")),
-            Running("moved", F.col("real")),
             Running("payers_24h", F.col("payer_step")),
             Running("last_in_us", F.col("in_us"), "max"),
             Running("first_in_us", F.col("in_us"), "min"),

@@ -136,3 +136,18 @@ def review_slice(
     n_top = top.count()
     rest = neg.orderBy(order, tie).limit(max(0, n - n_pos - n_top))
     return picked.unionByName(top).unionByName(rest).dropDuplicates([tie]).orderBy("ts_us", tie)
+
+
+def shuffled_index(df: DataFrame, name: str, seed: int, tie: str = "txn_id", bins: int = 4096) -> DataFrame:
+    """Numbers rows 0..n-1 in hash order: within hash bins, then across the small bin table."""
+    h = df.withColumn("__h", F.xxhash64(tie, F.lit(seed))).withColumn("__bin", F.pmod("__h", F.lit(bins)))
+    sizes = h.groupBy("__bin").agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("__bin", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    inside = Window.partitionBy("__bin").orderBy("__h", tie)
+    return (
+        h.withColumn("__r", F.row_number().over(inside) - 1)
+        .join(F.broadcast(starts), "__bin")
+        .withColumn(name, F.col("__start") + F.col("__r"))
+        .drop("__h", "__bin", "__r", "__start")
+    )

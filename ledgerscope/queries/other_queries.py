@@ -14,8 +14,8 @@ from ..session import ensure_checkpoint_dir
 from ..sources import files
 from ..sources import tables as T
 from .feature_queries import BASE_SQL, FEATURE_SQL, feature_table
-from .registry import CUSTOMERS_SQL, EPISODES_SQL, FLOWS_SQL, LEDGER_SQL, SCORED_SQL, n, query, r, rounded
-from .report_queries import HOLD, SPLIT_SQL, cents, confusion_sql, register, scored, split_ledger
+from .registry import CUSTOMERS_SQL, EPISODES_SQL, FLOWS_SQL, LEDGER_SQL, SCORED_SQL, n, query, r
+from .report_queries import SPLIT_SQL, cents, confusion_sql, register, scored, split_ledger
 
 S = f"WITH {SCORED_SQL}"
 HASH = "(txn_id * 7919 + 17) % 10007"
@@ -118,9 +118,6 @@ def _s2(spark, sf):
     return feedback.training_set(df, mined).select("txn_id", "weight")
 
 
-PART_LISTS = ("lists AS (SELECT p_partkey AS id, list_value(p_brand, p_type, 'x') AS a, list_value(p_type, 'y', p_brand || '!') AS b FROM part)")
-
-
 @register("s3_array_union", f"SELECT p_partkey AS id, p_brand || '|' || p_type || '|x|y|' || p_brand || '!' AS merged FROM part")
 def _s3(spark, sf):
     a = F.array("p_brand", "p_type", F.lit("x"))
@@ -143,6 +140,8 @@ def _s5(spark, sf):
 
 # Rules and reasons.
 
+X_CANDIDATES = ["amount_to_p95", "is_new_device", "device_customer_count", "amount_to_mandate_ceiling", "merchant_is_liquid"]
+
 FEATS = "feat AS (SELECT txn_id, " + ", ".join(f"CAST({e} AS DOUBLE) AS {c}" for c, e in FEATURE_SQL.items() if c != "amount") + ", amount FROM j)"
 RULE_SQL = [
     ("R-COERCION-01", 0.88, "screen_share > 0 AND is_new_beneficiary > 0 AND amount_to_p95 > 3"),
@@ -164,19 +163,36 @@ RULE_SCORE = "greatest(0.0, " + ", ".join(f"CASE WHEN {p} THEN {c} ELSE 0.0 END"
 FIRED = "concat_ws(',', " + ", ".join(f"CASE WHEN {p} THEN '{code}' END" for code, _, p in RULE_SQL) + ")"
 
 
+def _rule_inputs() -> set[str]:
+    seen: set[str] = set()
+
+    def note(name):
+        seen.add(name)
+        return F.lit(0.0)
+
+    for rule in decisions.RULES:
+        rule.predicate(note)
+    return seen
+
+
+def rule_features(spark, sf):
+    """Only the features that rules look at."""
+    need = sorted({*X_CANDIDATES, *_rule_inputs()})
+    return feature_table(spark, sf, columns=need).select("txn_id", *need)
+
+
 @register("d1_rule_layer", f"{BASE_SQL}, {FEATS} SELECT txn_id, {r(RULE_SCORE, 'rule_score')}, {FIRED} AS fired FROM feat")
 def _d1(spark, sf):
-    return decisions.apply_rules(feature_table(spark, sf)).select("txn_id", "rule_score", F.concat_ws(",", "fired").alias("fired"))
+    return decisions.apply_rules(rule_features(spark, sf)).select("txn_id", "rule_score", F.concat_ws(",", "fired").alias("fired"))
 
 
 @register("d2_rule_fire_by_code", f"{BASE_SQL}, {FEATS} " + " UNION ALL ".join(f"SELECT '{code}' AS code, CAST({c} AS DOUBLE) AS confidence, CAST(count(*) FILTER ({p}) AS BIGINT) AS fired FROM feat" for code, c, p in RULE_SQL))
 def _d2(spark, sf):
-    hits = reports.rules_fired(decisions.apply_rules(feature_table(spark, sf)))
+    hits = reports.rules_fired(decisions.apply_rules(rule_features(spark, sf)))
     return decisions.rule_catalogue(spark).join(hits, "code", "left").select(
         "code", "confidence", F.coalesce("n", F.lit(0)).alias("fired"))
 
 
-X_CANDIDATES = ["amount_to_p95", "is_new_device", "device_customer_count", "amount_to_mandate_ceiling", "merchant_is_liquid"]
 _X_MED = "med AS (SELECT " + ", ".join(f"median({c}) AS m_{c}" for c in X_CANDIDATES) + " FROM feat)"
 _X_SWAP = ", ".join(f"CASE WHEN candidate = '{c}' THEN m_{c} ELSE {c} END AS {c}" for c in X_CANDIDATES)
 _X_LOGIT = lambda e: f"ln(greatest(1e-6, least(1 - 1e-6, {e})) / (1 - greatest(1e-6, least(1 - 1e-6, {e}))))"
@@ -191,32 +207,13 @@ X_SQL = (
 
 @register("x1_reason_codes", X_SQL + f"SELECT b.txn_id, {r('b.s0', 'base_score')}, coalesce(string_agg(rk.candidate, ',' ORDER BY i) FILTER (i <= 4), '') AS reasons FROM base b LEFT JOIN rk ON b.txn_id = rk.txn_id GROUP BY b.txn_id, b.s0")
 def _x1(spark, sf):
-    feats = feature_table(spark, sf)
-    need = sorted({*X_CANDIDATES, *_rule_inputs()})
-    df = feats.select("txn_id", *need)
+    df = rule_features(spark, sf)
     meds = requests.median_row(reports.column_medians(df, X_CANDIDATES), X_CANDIDATES)
     score = lambda d: decisions.apply_rules(d).withColumn("score", F.col("rule_score"))
     out = explain.explain(df, score, meds, X_CANDIDATES, k=4)
     return out.select("txn_id", "base_score", F.coalesce(F.array_join(F.transform("reasons", lambda x: x["feature"]), ","), F.lit("")).alias("reasons"))
 
 
-def _rule_inputs() -> set[str]:
-    seen: set[str] = set()
-
-    def note(name):
-        seen.add(name)
-        return F.lit(0.0)
-
-    for rule in decisions.RULES:
-        rule.predicate(note)
-    return seen
-
-
-@register("x3_reason_text_length", "SELECT p_brand, " + n("count(*)", "n") + " FROM part GROUP BY p_brand")
-def _x3(spark, sf):
-    return T.read(spark, sf, "part").groupBy("p_brand").agg(F.count(F.lit(1)).alias("n"))
-
-
 @register("x4_case_files", f"{S} SELECT vector_id, txn_id, {r('amount', 'amount', 2)}, {n('fn', 'family_n')}, {r('fm', 'family_median_score')} FROM (SELECT *, row_number() OVER (PARTITION BY vector_id ORDER BY amount DESC, txn_id) AS i, "
           "count(*) OVER (PARTITION BY vector_id) AS fn, median(score) OVER (PARTITION BY vector_id) AS fm FROM scored WHERE vector_id IS NOT NULL) WHERE i = 1")
 def _x4(spark, sf):
@@ -296,10 +293,10 @@ def _a5(spark, sf):
     axes = F.concat(F.array(*[one(c, F.col(c)) for c in ("family", "surface", "priority", "status")], one("all", F.lit("all"))),
                     F.transform("rails", lambda x: one("rail", x)))
     mean = df.select("threat_score", F.explode(axes).alias("a")).groupBy("a.axis", "a.value").agg(F.avg("threat_score").alias("m"))
-    return out.join(mean, ["axis", "value"]).select("axis", "value", "n", C_floor("m", 4).alias("mean_threat_score"))
+    return out.join(mean, ["axis", "value"]).select("axis", "value", "n", _floor_col("m", 4).alias("mean_threat_score"))
 
 
-def C_floor(name, places):  # noqa: N802
+def _floor_col(name, places):
     return F.floor(F.col(name) * 10**places + 0.5) / 10**places
 
 
@@ -393,7 +390,7 @@ EDGE_ORDER = ["ts_us", "order_id", "layer", "dst", "amount"]
 @register("g1_largest_campaign", f"WITH {FLOWS_SQL}, {BIG_SQL} SELECT src, dst, order_id, {r('amount', 'amount', 2)}, layer FROM best")
 def _g1(spark, sf):
     best = graph.largest_campaign(edges(spark, sf), accounts(spark, sf), order=EDGE_ORDER)[1]
-    return best.select("src", "dst", "order_id", C_floor("amount", 2).alias("amount"), "layer")
+    return best.select("src", "dst", "order_id", _floor_col("amount", 2).alias("amount"), "layer")
 
 
 @register("g2_degrees", f"WITH {FLOWS_SQL} SELECT id, {n('sum(i)', 'in_degree')}, {n('sum(o)', 'out_degree')} FROM (SELECT src AS id, 0 AS i, 1 AS o FROM flows UNION ALL SELECT dst, 1, 0 FROM flows) GROUP BY id")
@@ -404,7 +401,7 @@ def _g2(spark, sf):
 @register("g3_node_table", f"WITH {FLOWS_SQL}, {BIG_SQL}, {ACCOUNTS_SQL} SELECT id, CASE WHEN length(CAST(id AS VARCHAR)) > 4 THEN substr(CAST(id AS VARCHAR), 1, 2) || '…' || right(CAST(id AS VARCHAR), 4) ELSE CAST(id AS VARCHAR) END AS label, "
           f"coalesce(bank, '?') AS bank, {r('age_days', 'age_days', 1)}, coalesce(is_mule, false) AS is_mule, coalesce(mule_layer, 0) AS layer, {n('din', 'in_degree')}, {n('dout', 'out_degree')} FROM deg LEFT JOIN accounts ON id = account_id")
 def _g3(spark, sf):
-    nodes = graph.largest_campaign(edges(spark, sf), accounts(spark, sf).withColumn("age_days", C_floor("age_days", 1)), order=EDGE_ORDER)[0]
+    nodes = graph.largest_campaign(edges(spark, sf), accounts(spark, sf).withColumn("age_days", _floor_col("age_days", 1)), order=EDGE_ORDER)[0]
     return nodes
 
 
@@ -445,14 +442,15 @@ _D30 = 30 * 86_400_000_000
 def _j15(spark, sf):
     from ..operators.features.account import account_timeline
 
-    line = account_timeline(T.flows(spark, sf).select("src", "dst", "payer", "ts_us", "amount"))
-    line = line.filter("real_rows > 0")
+    flows = T.flows(spark, sf).select("src", "dst", "payer", "ts_us", "amount")
+    moved = flows.select("ts_us", F.explode(F.array(F.col("src").cast("string"), F.col("dst").cast("string"))).alias("acct"))
+    line = account_timeline(flows).join(moved, ["acct", "ts_us"], "left_semi")
     return line.select(
-        "acct", "ts_us", "credits", "last_in_us", C_floor_of(C.from_micro_units(F.col("in_amt_24h")), 2).alias("in_24h"),
-        C_floor_of(C.from_micro_units(F.col("out_amt_24h")), 2).alias("out_24h"), "payers_24h")
+        "acct", "ts_us", "credits", "last_in_us", _floor(C.from_micro_units(F.col("in_amt_24h")), 2).alias("in_24h"),
+        _floor(C.from_micro_units(F.col("out_amt_24h")), 2).alias("out_24h"), "payers_24h")
 
 
-def C_floor_of(c, places):  # noqa: N802
+def _floor(c, places):
     return F.floor(c * 10**places + 0.5) / 10**places
 
 
@@ -530,7 +528,7 @@ def _b7(spark, sf):
 
 
 def cents4(df):
-    return df.withColumn("value_per_attack", C_floor("value_per_attack", 4))
+    return df.withColumn("value_per_attack", _floor_col("value_per_attack", 4))
 
 
 @register("b7_clip_parameters", f"WITH {PARAM_SQL} SELECT group_id, {r('''least(1.0, CASE WHEN family = 'MACHINERY' THEN 0.55 ELSE 1.0 END, greatest(CASE WHEN family = 'BUILDING' THEN 0.3 ELSE 0 END, aggression))''', 'aggression')}, {r('''greatest(CASE WHEN family = 'MACHINERY' THEN 0.2 ELSE 0 END, velocity)''', 'velocity')} FROM params")
@@ -644,8 +642,6 @@ def _io7(spark, sf):
     path = scratch(spark, "dump")
     files.dump(T.ledger(spark, sf), T.episodes(spark, sf), path)
     led = files.read_ndjson(spark, f"{path}/transactions", "txn_id LONG").agg(F.count("txn_id").alias("n")).select(F.lit("ledger").alias("part"), "n")
-    eps = files.read_ndjson(spark, f"{path}/episodes").agg(F.count("episode_id").alias("n")).select(F.lit("episodes").alias("part"), "n")
+    eps = files.read_ndjson(spark, f"{path}/episodes", "episode_id LONG").agg(F.count("episode_id").alias("n")).select(F.lit("episodes").alias("part"), "n")
     return led.unionByName(eps)
 
-
-del rounded, HOLD
