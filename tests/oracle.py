@@ -57,6 +57,15 @@ def compare(spark_rows, spark_names, sql_rows, sql_names) -> str | None:
     return None
 
 
+KINDS = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
+
+
+def type_gaps(df, cursor) -> list[str]:
+    """Columns whose type differs between the two engines."""
+    want = {d[0]: str(d[1]) for d in cursor.description}
+    return [f"{c}: {t} / {want[c]}" for c, t in df.dtypes if c in want and KINDS.get(t, t) != want[c]]
+
+
 def main():
     ap = argparse.ArgumentParser()
     ap.add_argument("--sf", default="0.01")
@@ -83,7 +92,10 @@ def main():
                 continue
             cur = con.execute(sqls[q])
             want_names = [d[0] for d in cur.description]
+            gaps = type_gaps(df, cur)
             why = compare(got, df.columns, cur.fetchall(), want_names)
+            if not why and gaps:
+                why = f"types {gaps}"
         except Exception as e:  # noqa: BLE001
             took, why = time.time() - t, f"{type(e).__name__}: {str(e)[:1000]}"
         if why:
