@@ -91,6 +91,11 @@ def causal(
     running, trailing = list(running), list(trailing)
     if hot is AUTO:
         hot = hot_slices(df, key, order, limit)
+    if running and trailing and not collapse:
+        # Running values first, on the plain rows: the copies that end trailing
+        # spans would only slow them down. The shuffle on the key is shared.
+        df = causal(df, key, order, running, hot=hot)
+        running = []
     payload = [] if collapse else [c for c in df.columns if c not in {*key, order}]
     values = [a.value.alias(f"__v_{a.name}") for a in [*running, *trailing]]
     events = df.select(*key, order, *payload, *values)

@@ -54,7 +54,7 @@ def customer_features(ledger: DataFrame, hot: DataFrame | None = None) -> DataFr
         rows, ["customer_id"], "ts_us", "txn_id", NOVELTY,
         recent=("recent", "amount", RECENT_AMOUNTS), hot=hot,
     )
-    rows = rows.withColumns({
+    rows = rows.withColumn("recent", F.sort_array("recent")).withColumns({
         "p95": linear_percentile(F.col("recent"), 0.95),
         "no_city": F.col("city").isNull().cast("int"),
         "micro": C.to_micro_units(F.col("amount")),

@@ -86,9 +86,9 @@ def _stitch_recent(stitched: DataFrame, busy: DataFrame, key, order, tie, recent
     )
 
 
-def linear_percentile(values: Column, q: float) -> Column:
-    """Percentile of an array with linear interpolation; NULL for an empty array."""
-    a = F.sort_array(values)
+def linear_percentile(ordered: Column, q: float) -> Column:
+    """Percentile of a sorted array with linear interpolation; NULL for an empty array."""
+    a = ordered
     at = (F.size(a) - 1) * F.lit(q)
     lo = F.floor(at).cast("int")
     hi = F.least(lo + 1, F.size(a) - 1)

@@ -29,17 +29,19 @@ class Run:
 
 
 def feature_job(
-    ledger: DataFrame, customers=None, merchants=None, episodes=None, columns: list[str] | None = None, **options
+    ledger: DataFrame, customers=None, merchants=None, episodes=None, columns: list[str] | None = None,
+    turns: DataFrame | None = None, **options
 ) -> DataFrame:
     """Features with split, noisy labels and the text score, cut off from their lineage.
 
     The table is read many times afterwards, so it is written once to the
-    checkpoint folder.
+    checkpoint folder. Conversations come as ``turns`` (one row each, any length)
+    or as whole texts in ``episodes``.
     """
     ensure_checkpoint_dir(ledger.sparkSession)
     split = ranks.temporal_split(conform(ledger))
-    if episodes is not None:
-        scores, _ = text_score(split, episodes)
+    if episodes is not None and (turns is not None or "text" in episodes.columns):
+        scores, _ = text_score(split, turns if turns is not None else episodes)
         episodes = episodes.join(scores.withColumnRenamed("narrative_id", "episode_id"), "episode_id", "left")
     table = features(ledger, customers, merchants, episodes, columns=columns, **options)
     table = table.join(split.select("txn_id", "split"), "txn_id").withColumn("y", F.col("is_fraud"))
@@ -48,12 +50,12 @@ def feature_job(
 
 def run(
     ledger: DataFrame, customers=None, merchants=None, episodes=None, holdout: tuple[str, ...] = (),
-    columns: list[str] | None = None, threshold_split: str = "calib", **fit_options
+    columns: list[str] | None = None, threshold_split: str = "calib", turns: DataFrame | None = None, **fit_options
 ) -> Run:
     """Train on the past, choose thresholds on the calibration slice, report on the future."""
     names = list(columns or FEATURE_NAMES)
     needed = sorted({*names, *_rule_inputs(), "amount"})
-    table = feature_job(ledger, customers, merchants, episodes, columns=needed)
+    table = feature_job(ledger, customers, merchants, episodes, columns=needed, turns=turns)
     model = fit(table, names, exclude=holdout, **fit_options)
     scored = model.transform(table)
     test = scored.filter("split = 'test'")

@@ -244,7 +244,7 @@ GROUPS = {
 def feature_table(spark, sf_dir, **options):
     return features(
         T.ledger(spark, sf_dir), T.customers(spark, sf_dir), T.merchants(spark, sf_dir),
-        T.episodes(spark, sf_dir), **options,
+        T.episode_stats(spark, sf_dir), **options,
     )
 
 

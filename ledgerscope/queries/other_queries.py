@@ -14,7 +14,7 @@ from ..session import ensure_checkpoint_dir
 from ..sources import files
 from ..sources import tables as T
 from .feature_queries import BASE_SQL, FEATURE_SQL, feature_table
-from .registry import CUSTOMERS_SQL, EPISODES_SQL, FLOWS_SQL, LEDGER_SQL, SCORED_SQL, n, query, r
+from .registry import HALF, CUSTOMERS_SQL, EPISODES_SQL, FLOWS_SQL, LEDGER_SQL, SCORED_SQL, n, query, r
 from .report_queries import SPLIT_SQL, cents, confusion_sql, register, scored, split_ledger
 
 S = f"WITH {SCORED_SQL}"
@@ -27,12 +27,9 @@ def shuffle():
 
 # Sorts, limits, samples.
 
-@register("k1_stable_order", f"{S} SELECT txn_id, {n('row_number() OVER (ORDER BY ts_us, txn_id)', 'place')} FROM scored ORDER BY ts_us, txn_id LIMIT 500")
+@register("k1_stable_order", f"{S} SELECT txn_id, {n('row_number() OVER (ORDER BY ts_us, txn_id)', 'place')} FROM scored")
 def _k1(spark, sf):
-    top = scored(spark, sf).orderBy("ts_us", "txn_id").limit(500)
-    from pyspark.sql import Window
-
-    return top.select("txn_id", F.row_number().over(Window.orderBy("ts_us", "txn_id")).cast("long").alias("place"))
+    return ranks.place(scored(spark, sf)).select("txn_id", "place").orderBy("place")
 
 
 @register("k2_temporal_split", f"WITH {LEDGER_SQL}, {SPLIT_SQL} SELECT txn_id, split FROM splits")
@@ -111,7 +108,7 @@ def _s1(spark, sf):
     return base.unionByName(led.filter("is_fraud = 1").withColumn("source", F.lit("added"))).orderBy("ts", "txn_id").select("txn_id", "source")
 
 
-@register("s2_weighted_union", f"{S} SELECT txn_id, CASE WHEN y = 1 THEN 6.0 ELSE 1.0 END AS weight FROM scored UNION ALL SELECT txn_id, 18.0 FROM (SELECT txn_id FROM scored WHERE y = 1 AND score < 0.5 ORDER BY {HASH}, txn_id LIMIT 2200)")
+@register("s2_weighted_union", f"{S} SELECT txn_id, CASE WHEN y = 1 THEN 6e0 ELSE 1e0 END AS weight FROM scored UNION ALL SELECT txn_id, 18e0 FROM (SELECT txn_id FROM scored WHERE y = 1 AND score < 0.5 ORDER BY {HASH}, txn_id LIMIT 2200)")
 def _s2(spark, sf):
     df = scored(spark, sf)
     mined = feedback.mine_evasions(df.filter("y = 1"), 0.5, shuffle=shuffle())
@@ -297,7 +294,7 @@ def _a5(spark, sf):
 
 
 def _floor_col(name, places):
-    return F.floor(F.col(name) * 10**places + 0.5) / 10**places
+    return F.floor(F.col(name) * 10**places + HALF) / 10**places
 
 
 @register("p10_catalogue_filter", f"WITH {CAT_SQL} SELECT id FROM ts WHERE r1 AND status = 'documented' AND contains(lower(name || id || summary || signal), 'brand#1')")
@@ -305,9 +302,9 @@ def _p10(spark, sf):
     return CAT.search(cat(spark, sf), text=" BRAND#1", rail="upi_p2p", status="documented").select("id")
 
 
-@register("k12_multi_key_order", f"WITH {CAT_SQL} SELECT id, {n('detection_gap', 'gap')}, {r('ts', 'threat_score', 1)} FROM ts ORDER BY detection_gap DESC, ts DESC, id LIMIT 40")
+@register("k12_multi_key_order", f"WITH {CAT_SQL} SELECT id, {n('detection_gap', 'gap')}, {r('ts', 'threat_score', 1)} FROM ts ORDER BY detection_gap DESC, ts DESC, id")
 def _k12(spark, sf):
-    df = CAT.ordered(CAT.with_scores(cat(spark, sf)), "detection_gap").limit(40)
+    df = CAT.ordered(CAT.with_scores(cat(spark, sf)), "detection_gap")
     return df.select("id", F.col("detection_gap").cast("long").alias("gap"), "threat_score")
 
 
@@ -359,16 +356,16 @@ def _c7(spark, sf):
     return picked.select("a_id", "b_id", "pick", "pre_score")
 
 
-@register("c8_coverage_check", f"WITH {CAT_SQL}, w AS (SELECT id FROM ts WHERE status = 'simulated'), h AS (SELECT DISTINCT p_brand || '/' || p_type AS id FROM part WHERE p_size % 2 = 0 AND p_retailprice > 1000) "
+@register("c8_coverage_check", f"WITH {CAT_SQL}, w AS (SELECT id FROM ts WHERE status = 'simulated'), h AS (SELECT DISTINCT p_brand || '/' || p_type AS id FROM part WHERE p_retailprice > 1000) "
           "SELECT coalesce(w.id, h.id) AS id, CASE WHEN w.id IS NULL THEN 'unmarked' ELSE 'unimplemented' END AS problem FROM w FULL OUTER JOIN h ON w.id = h.id WHERE w.id IS NULL OR h.id IS NULL")
 def _c8(spark, sf):
-    have = T.read(spark, sf, "part").filter("p_size % 2 = 0 AND p_retailprice > 1000").select(F.concat("p_brand", F.lit("/"), "p_type").alias("id"))
+    have = T.read(spark, sf, "part").filter("p_retailprice > 1000").select(F.concat("p_brand", F.lit("/"), "p_type").alias("id"))
     return CAT.coverage(cat(spark, sf), have)
 
 
 # Graph.
 
-ACCOUNTS_SQL = ("accounts AS (SELECT s_suppkey AS account_id, 'bank' || CAST(s_nationkey AS VARCHAR) AS bank, s_acctbal / 10 AS age_days, s_suppkey % 5 = 0 AS is_mule, CAST(s_suppkey % 3 AS INTEGER) AS mule_layer FROM supplier WHERE s_suppkey % 4 <> 1)")
+ACCOUNTS_SQL = ("accounts AS (SELECT s_suppkey AS account_id, 'bank' || CAST(s_nationkey AS VARCHAR) AS bank, s_acctbal / 10 AS age_days, s_suppkey % 5 = 0 AS is_mule, CAST(s_suppkey % 3 AS INTEGER) AS mule_layer FROM supplier)")
 BIG_SQL = ("edge AS (SELECT DISTINCT src, dst, ts_us, amount, layer, campaign_id, order_id FROM flows), big AS (SELECT campaign_id FROM edge GROUP BY 1 ORDER BY count(*) DESC, campaign_id LIMIT 1), "
            "best AS (SELECT * FROM edge WHERE campaign_id = (SELECT campaign_id FROM big) ORDER BY ts_us, order_id, layer, dst, amount LIMIT 420), "
            "deg AS (SELECT id, sum(i) AS din, sum(o) AS dout FROM (SELECT src AS id, 0 AS i, 1 AS o FROM best UNION ALL SELECT dst, 1, 0 FROM best) GROUP BY id)")
@@ -379,7 +376,7 @@ def edges(spark, sf):
 
 
 def accounts(spark, sf):
-    return T.read(spark, sf, "supplier").filter("s_suppkey % 4 <> 1").selectExpr(
+    return T.read(spark, sf, "supplier").selectExpr(
         "s_suppkey AS account_id", "concat('bank', s_nationkey) AS bank", "s_acctbal / 10 AS age_days", "s_suppkey % 5 = 0 AS is_mule",
         "CAST(s_suppkey % 3 AS INT) AS mule_layer")
 
@@ -451,7 +448,7 @@ def _j15(spark, sf):
 
 
 def _floor(c, places):
-    return F.floor(c * 10**places + 0.5) / 10**places
+    return F.floor(c * 10**places + HALF) / 10**places
 
 
 # Feedback.
@@ -477,7 +474,7 @@ def _a19(spark, sf):
     return feedback.evasion_by_family(g)
 
 
-@register("b2_mined_rows", f"{S} SELECT txn_id, 18.0 AS weight FROM scored WHERE y = 1 AND score < 0.9 ORDER BY {HASH}, txn_id LIMIT 2200")
+@register("b2_mined_rows", f"{S} SELECT txn_id, 18e0 AS weight FROM scored WHERE y = 1 AND score < 0.9 ORDER BY {HASH}, txn_id LIMIT 2200")
 def _b2(spark, sf):
     return feedback.mine_evasions(candidates(spark, sf), 0.9, shuffle=shuffle()).select("txn_id", "weight")
 
@@ -502,10 +499,10 @@ def _b5(spark, sf):
     return feedback.gain(before, feedback.evasion_by_group(c, 0.9), baseline_fpr=0.02, after_fpr=0.0249)
 
 
-@register("b6_first_round", "SELECT min(l_linenumber) AS first_round FROM (SELECT l_linenumber, avg(l_discount) AS e FROM lineitem GROUP BY 1) WHERE e < 0.0502 AND l_linenumber % 2 = 1")
+@register("b6_first_round", "SELECT min(l_linenumber) AS first_round FROM (SELECT l_linenumber, avg(l_discount) AS e, avg(l_tax) AS f FROM lineitem GROUP BY 1) WHERE e < 0.0502 AND f < 0.0401")
 def _b6(spark, sf):
-    rounds = T.read(spark, sf, "lineitem").groupBy(F.col("l_linenumber").alias("round")).agg(F.avg("l_discount").alias("evasion_post"))
-    return feedback.first_round_reaching(rounds.withColumn("fpr_within_budget", F.col("round") % 2 == 1), 0.0502)
+    rounds = T.read(spark, sf, "lineitem").groupBy(F.col("l_linenumber").alias("round")).agg(F.avg("l_discount").alias("evasion_post"), (F.avg("l_tax") < 0.0401).alias("fpr_within_budget"))
+    return feedback.first_round_reaching(rounds, 0.0502)
 
 
 PARAM_SQL = "params AS (SELECT c_custkey AS group_id, c_mktsegment AS family, 1 + c_custkey % 9 AS n, abs(c_acctbal) * 10 AS value_extracted, (c_custkey * 7 % 21) / 20e0 AS evasion_rate, " + ", ".join(
@@ -544,7 +541,7 @@ def _a22(spark, sf):
     return feedback.elite_centroid(feedback.viability(params(spark, sf)), ["aggression", "mimicry"])
 
 
-@register("m5_class_weights", f"{S} SELECT txn_id, CASE WHEN y = 1 THEN 6.0 ELSE 1.0 END AS weight FROM scored")
+@register("m5_class_weights", f"{S} SELECT txn_id, CASE WHEN y = 1 THEN 6e0 ELSE 1e0 END AS weight FROM scored")
 def _m5(spark, sf):
     return feedback.with_class_weight(scored(spark, sf)).select("txn_id", "weight")
 

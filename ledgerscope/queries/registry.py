@@ -27,10 +27,15 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+# A hair above one half, so that values which are exact halves round the same way
+# whatever order the engines summed them in.
+HALF = 0.50001
+
+
 def fixed(c: Column, places: int = 6) -> Column:
-    """Rounds half up in plain arithmetic, as the checking SQL does."""
+    """Rounds in plain arithmetic, as the checking SQL does."""
     scale = float(10**places)
-    return F.floor(c.cast("double") * scale + 0.5).cast("double") / scale
+    return F.floor(c.cast("double") * scale + HALF).cast("double") / scale
 
 
 def rounded(df: DataFrame, places: int = 6) -> DataFrame:
@@ -46,7 +51,7 @@ def _columns(columns: dict[str, str]) -> str:
 
 
 def r(expr: str, name: str, places: int = 6) -> str:
-    return f"floor(CAST({expr} AS DOUBLE) * 1e{places} + 0.5) / 1e{places} AS {name}"
+    return f"floor(CAST({expr} AS DOUBLE) * 1e{places} + {HALF}e0) / 1e{places} AS {name}"
 
 
 def n(expr: str, name: str) -> str:
@@ -58,8 +63,8 @@ LEDGER_SQL = (
     f"(SELECT {_columns(T.LEDGER_COLUMNS)} FROM "
     "(SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)))"
 )
-CUSTOMERS_SQL = f"customers AS (SELECT {_columns(T.CUSTOMER_COLUMNS)} FROM customer WHERE c_custkey % 10 <> 9)"
-MERCHANTS_SQL = f"merchants AS (SELECT {_columns(T.MERCHANT_COLUMNS)} FROM supplier WHERE s_suppkey % 7 <> 3)"
+CUSTOMERS_SQL = f"customers AS (SELECT {_columns(T.CUSTOMER_COLUMNS)} FROM customer)"
+MERCHANTS_SQL = f"merchants AS (SELECT {_columns(T.MERCHANT_COLUMNS)} FROM supplier)"
 EPISODES_SQL = (
     "episodes AS (SELECT conv_id AS episode_id, CASE WHEN conv_id % 3 = 0 THEN 'coercion' ELSE 'benign' END AS kind, "
     "CASE WHEN conv_id % 3 = 0 THEN 1 ELSE 0 END AS is_fraud, sum(length(text)) * 0.5 AS duration_s, "

@@ -8,7 +8,7 @@ from .. import constants as K
 from ..functions import columns as C
 from ..operators import curves, decisions, ranks, reports
 from ..sources import tables as T
-from .registry import CUSTOMERS_SQL, EPISODES_SQL, LEDGER_SQL, MERCHANTS_SQL, SCORED_SQL, n, query, r, rounded
+from .registry import HALF, CUSTOMERS_SQL, EPISODES_SQL, LEDGER_SQL, MERCHANTS_SQL, SCORED_SQL, n, query, r, rounded
 
 S = f"WITH {SCORED_SQL}"
 TH = 0.9
@@ -39,7 +39,7 @@ def register(name, sql):
 # Projections and predicates.
 
 @register("p1_amount_columns", "SELECT o_orderkey AS id, " + r("ln(1 + o_totalprice)", "log_amount") +
-          ", CASE WHEN abs(o_totalprice - round(o_totalprice / 100) * 100) < 1e-6 THEN 1.0 ELSE 0.0 END AS roundness, " +
+          ", CASE WHEN abs(o_totalprice - round(o_totalprice / 100) * 100) < 1e-6 THEN 1e0 ELSE 0e0 END AS roundness, " +
           r("CASE WHEN o_totalprice <= 5000 THEN (5000 - o_totalprice) / 5000 WHEN o_totalprice <= 25000 THEN (25000 - o_totalprice) / 25000 "
             "WHEN o_totalprice <= 50000 THEN (50000 - o_totalprice) / 50000 WHEN o_totalprice <= 100000 THEN (100000 - o_totalprice) / 100000 ELSE 1 END", "gap") +
           " FROM orders")
@@ -52,7 +52,7 @@ def _p1(spark, sf):
 
 @register("p2_calendar_columns", "SELECT event_id AS id, " + r("(epoch_us(ts) % 86400000000) / 3.6e9", "hour") +
           ", CAST(isodow(ts) - 1 AS DOUBLE) AS weekday, CAST((epoch_us(ts) // 86400000000) % 7 AS DOUBLE) AS weekday_mod7, "
-          "CASE WHEN hour(ts) < 5 OR hour(ts) = 5 AND minute(ts) < 30 OR hour(ts) = 23 THEN 1.0 ELSE 0.0 END AS is_night FROM events")
+          "CASE WHEN hour(ts) < 5 OR hour(ts) = 5 AND minute(ts) < 30 OR hour(ts) = 23 THEN 1e0 ELSE 0e0 END AS is_night FROM events")
 def _p2(spark, sf):
     us = F.unix_micros("ts")
     return T.read(spark, sf, "events").select(
@@ -75,8 +75,8 @@ def _p4(spark, sf):
         F.col("o_orderkey").alias("id"), C.ordinal(F.col("o_orderpriority"), ["1-URGENT", "2-HIGH", "3-MEDIUM"]).alias("code"))
 
 
-@register("p5_membership_flags", f"WITH {LEDGER_SQL} SELECT txn_id, CASE WHEN category IN ('liquid','cash','highrisk','luxury','financial') THEN 1.0 ELSE 0.0 END AS liquid, "
-          "CASE WHEN country IN ('NG','UA','PH','HK') THEN 1.0 ELSE 0.0 END AS risky FROM ledger")
+@register("p5_membership_flags", f"WITH {LEDGER_SQL} SELECT txn_id, CASE WHEN category IN ('liquid','cash','highrisk','luxury','financial') THEN 1e0 ELSE 0e0 END AS liquid, "
+          "CASE WHEN country IN ('NG','UA','PH','HK') THEN 1e0 ELSE 0e0 END AS risky FROM ledger")
 def _p5(spark, sf):
     return T.ledger(spark, sf).select(
         "txn_id", C.flag(F.coalesce("merchant_category", F.lit("unknown")).isin(*K.LIQUID_CATEGORIES)).alias("liquid"),
@@ -132,10 +132,10 @@ def _j3(spark, sf):
     return T.ledger(spark, sf).join(T.customers(spark, sf).select("customer_id", "self_account"), "customer_id", "left").select("txn_id", "self_account")
 
 
-@register("j4_payment_episode", f"WITH {LEDGER_SQL}, {EPISODES_SQL} SELECT l.txn_id, e.kind, {n('e.turn_count', 'turns')}, {r('e.duration_s', 'duration')} FROM ledger l LEFT JOIN episodes e ON l.narrative_id = e.episode_id")
+@register("j4_payment_episode", f"WITH {LEDGER_SQL}, {EPISODES_SQL} SELECT l.txn_id, {n('e.turn_count', 'turns')}, {r('e.duration_s', 'duration')} FROM ledger l LEFT JOIN episodes e ON l.narrative_id = e.episode_id")
 def _j4(spark, sf):
-    e = T.episodes(spark, sf).select(F.col("episode_id").alias("narrative_id"), "kind", F.col("turn_count").cast("long").alias("turns"), F.col("duration_s").alias("duration"))
-    return T.ledger(spark, sf).join(e, "narrative_id", "left").select("txn_id", "kind", "turns", "duration")
+    e = T.episode_stats(spark, sf).select(F.col("episode_id").alias("narrative_id"), F.col("turn_count").cast("long").alias("turns"), F.col("duration_s").alias("duration"))
+    return T.ledger(spark, sf).join(e, "narrative_id", "left").select("txn_id", "turns", "duration")
 
 
 SPLIT_SQL = ("ranked AS (SELECT *, row_number() OVER (ORDER BY ts_us, txn_id) - 1 AS i, count(*) OVER () AS total FROM ledger), "
@@ -151,19 +151,19 @@ def split_ledger(spark, sf):
 @register("j5_training_episodes", f"WITH {LEDGER_SQL}, {EPISODES_SQL}, {SPLIT_SQL} SELECT episode_id, is_fraud FROM episodes WHERE episode_id IN (SELECT narrative_id FROM splits WHERE split = 'train' AND narrative_id IS NOT NULL)")
 def _j5(spark, sf):
     train = split_ledger(spark, sf).filter("split = 'train'").select(F.col("narrative_id").alias("episode_id"))
-    return T.episodes(spark, sf).join(train, "episode_id", "left_semi").select("episode_id", "is_fraud")
+    return T.turns(spark, sf).select("episode_id", "is_fraud").distinct().join(train, "episode_id", "left_semi")
 
 
 @register("j6_heldout_episodes", f"WITH {LEDGER_SQL}, {EPISODES_SQL}, {SPLIT_SQL} SELECT episode_id, is_fraud FROM episodes WHERE episode_id NOT IN (SELECT narrative_id FROM splits WHERE split = 'train' AND narrative_id IS NOT NULL)")
 def _j6(spark, sf):
     train = split_ledger(spark, sf).filter("split = 'train'").select(F.col("narrative_id").alias("episode_id"))
-    return T.episodes(spark, sf).join(train, "episode_id", "left_anti").select("episode_id", "is_fraud")
+    return T.turns(spark, sf).select("episode_id", "is_fraud").distinct().join(train, "episode_id", "left_anti")
 
 
-@register("j7_episode_score_to_payments", f"WITH {LEDGER_SQL}, {EPISODES_SQL} SELECT l.txn_id, {r('(length(e.text) % 97) / 97.0', 'coercion_score')} FROM ledger l JOIN episodes e ON l.narrative_id = e.episode_id")
+@register("j7_episode_score_to_payments", f"WITH {LEDGER_SQL}, {EPISODES_SQL} SELECT l.txn_id, {r('(e.duration_s % 97) / 97.0', 'coercion_score')} FROM ledger l JOIN episodes e ON l.narrative_id = e.episode_id")
 def _j7(spark, sf):
-    s = T.episodes(spark, sf).select(F.col("episode_id").alias("narrative_id"), ((F.length("text") % 97) / 97.0).alias("coercion_score"))
-    return T.ledger(spark, sf).join(s.drop("x"), "narrative_id").select("txn_id", s["coercion_score"])
+    s = T.episode_stats(spark, sf).select(F.col("episode_id").alias("narrative_id"), ((F.col("duration_s") % 97) / 97.0).alias("coercion_score"))
+    return T.ledger(spark, sf).join(s, "narrative_id").select("txn_id", s["coercion_score"])
 
 
 @register("j9_rows_by_candidate", f"{S} SELECT txn_id, c.candidate, {r('CASE c.candidate WHEN $$amount$$ THEN amount WHEN $$score$$ THEN score ELSE novelty END', 'value')} FROM scored, (VALUES ('amount'), ('score'), ('novelty')) c(candidate)")
@@ -173,7 +173,14 @@ def _j9(spark, sf):
     return scored(spark, sf).select("txn_id", pairs.alias("p")).select("txn_id", "p.candidate", "p.value")
 
 
-GRID_SQL = "grid AS (SELECT DISTINCT unnest(quantile_cont(score, [0.9 + (0.9999 - 0.9) * i / 219.0 FOR i IN range(220)])) AS threshold FROM scored)"
+GRID_SQL = (
+    "ordered AS (SELECT score, row_number() OVER (ORDER BY score) - 1 AS i, count(*) OVER () - 1 AS last FROM scored), "
+    "levels AS (SELECT q * last AS at, CAST(floor(q * last) AS BIGINT) AS lo, last FROM (SELECT unnest(["
+    + ", ".join(f"{q!r}e0" for q in curves.threshold_grid())
+    + "]) AS q), (SELECT max(last) AS last FROM ordered)), "
+    "grid AS (SELECT DISTINCT a.score + (b.score - a.score) * (at - lo) AS threshold FROM levels l "
+    "JOIN ordered a ON a.i = l.lo JOIN ordered b ON b.i = least(l.lo + 1, l.last))"
+)
 COST_SQL = ("cost AS (SELECT g.threshold, count(*) FILTER (score >= threshold) AS n, count(*) FILTER (score >= threshold AND y = 1) AS tp, "
             "count(*) FILTER (score < threshold AND y = 1) AS fn, coalesce(sum(amount) FILTER (score < threshold AND y = 1), 0) AS missed, count(*) AS total "
             "FROM scored, grid g GROUP BY g.threshold), "
@@ -184,7 +191,7 @@ COST_COLS = (f"{r('threshold', 'threshold')}, {r('alert_rate', 'alert_rate')}, {
 
 
 def _cost(df):
-    return df.withColumn("expected_cost", F.floor(F.col("expected_cost") * 100 + 0.5) / 100)
+    return df.withColumn("expected_cost", F.floor(F.col("expected_cost") * 100 + HALF) / 100)
 
 
 @register("j10_threshold_grid", f"{S}, {GRID_SQL}, {COST_SQL} SELECT {COST_COLS} FROM cc")
@@ -223,7 +230,7 @@ def _j14(spark, sf):
           f"{r('count(benign_anomaly) / count(*) FILTER (is_fraud = 0)', 'benign_anomaly_rate')} FROM ledger")
 def _a1(spark, sf):
     df = reports.ledger_summary(T.ledger(spark, sf))
-    return df.withColumns({c: F.floor(F.col(c) * 100 + 0.5) / 100 for c in ("fraud_value", "total_value")})
+    return df.withColumns({c: F.floor(F.col(c) * 100 + HALF) / 100 for c in ("fraud_value", "total_value")})
 
 
 @register("a2_counts_by_axis", f"WITH {LEDGER_SQL} SELECT 'vector' AS axis, vector_id AS value, {n('count(*)', 'n')} FROM ledger WHERE is_fraud = 1 GROUP BY vector_id "
@@ -243,7 +250,7 @@ def _a3(spark, sf):
 @register("a4_group_profile", f"WITH {LEDGER_SQL} SELECT vector_id, {n('count(*)', 'transactions')}, {n('sum(is_fraud)', 'fraud_transactions')}, {r('sum(amount) FILTER (is_fraud = 1)', 'value_extracted', 2)} FROM ledger WHERE vector_id IS NOT NULL GROUP BY vector_id")
 def _a4(spark, sf):
     df = reports.group_profile(T.ledger(spark, sf))
-    return df.withColumn("value_extracted", F.floor(F.col("value_extracted") * 100 + 0.5) / 100)
+    return df.withColumn("value_extracted", F.floor(F.col("value_extracted") * 100 + HALF) / 100)
 
 
 def point_sql(where="TRUE", th=str(TH), by=""):
@@ -268,7 +275,7 @@ MONEY = ("value_caught", "value_missed", "review_cost", "false_decline_cost", "e
 
 
 def cents(df, cols=MONEY):
-    return df.withColumns({c: F.floor(F.col(c) * 100 + 0.5) / 100 for c in cols if c in df.columns})
+    return df.withColumns({c: F.floor(F.col(c) * 100 + HALF) / 100 for c in cols if c in df.columns})
 
 
 @register("a6_confusion_and_cost", f"{S} {confusion_sql(str(TH))}")
@@ -336,7 +343,7 @@ def _a16(spark, sf):
           f"{r('avg(CASE WHEN score >= 0.9 THEN 1.0 ELSE 0.0 END) - avg(CASE WHEN p_model >= 0.8 THEN 1.0 ELSE 0.0 END)', 'lift')}, {r('avg(score)', 'mean_score_full')}, {r('avg(p_model)', 'mean_score_without')} FROM scored GROUP BY rail")
 def _a17(spark, sf):
     df = reports.paired_lift(scored(spark, sf), "rail", "score", 0.9, "p_model", 0.8)
-    return df.withColumn("mean_amount", F.floor(F.col("mean_amount") * 1e4 + 0.5) / 1e4)
+    return df.withColumn("mean_amount", F.floor(F.col("mean_amount") * 1e4 + HALF) / 1e4)
 
 
 @register("a20_distinct_payers_24h", f"WITH {LEDGER_SQL} SELECT txn_id, {n('count(DISTINCT customer_id) OVER (PARTITION BY merchant_id ORDER BY ts_us RANGE BETWEEN 86400000000 PRECEDING AND 1 PRECEDING)', 'payers')} FROM ledger WHERE merchant_id IS NOT NULL")

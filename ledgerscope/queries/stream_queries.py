@@ -9,7 +9,7 @@ from ..sources import tables as T
 from ..streaming import OnlineFeatures, alerts, deduplicated, running_counters, sliding_velocity
 from .feature_queries import BASE_SQL, FEATURE_SQL
 from .other_queries import scratch
-from .registry import LEDGER_SQL, n, r
+from .registry import HALF, LEDGER_SQL, n, r
 from .report_queries import register
 
 
@@ -73,7 +73,7 @@ def _st5(spark, sf):
 def _st6(spark, sf):
     v = sliding_velocity(ledger_stream(spark, sf))
     out = finish(v.select("customer_id", F.unix_micros("window.start").alias("start_us"), "n", "amount"), spark, "velocity", "complete")
-    return out.withColumn("amount", F.floor(F.col("amount") * 100 + 0.5) / 100)
+    return out.withColumn("amount", F.floor(F.col("amount") * 100 + HALF) / 100)
 
 
 @register("st7_late_rows", "SELECT CAST(0 AS BIGINT) AS late, CAST(count(*) AS BIGINT) AS kept FROM events")

@@ -140,11 +140,11 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "customer").filter("c_custkey % 10 <> 9").selectExpr(*_select(CUSTOMER_COLUMNS))
+    return read(spark, sf_dir, "customer").selectExpr(*_select(CUSTOMER_COLUMNS))
 
 
 def merchants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "supplier").filter("s_suppkey % 7 <> 3").selectExpr(*_select(MERCHANT_COLUMNS))
+    return read(spark, sf_dir, "supplier").selectExpr(*_select(MERCHANT_COLUMNS))
 
 
 def episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -168,6 +168,19 @@ def episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def episode_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turn count and duration per conversation, without gathering its text."""
+    return read(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("episode_id")).agg(
+        F.count(F.lit(1)).alias("turn_count"), (F.sum(F.length("text")) * 0.5).alias("duration_s"))
+
+
+def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per spoken turn, with the label of its conversation."""
+    return read(spark, sf_dir, "conversations").select(
+        F.col("conv_id").alias("episode_id"), "turn", F.concat("role", F.lit(": "), "text").alias("text"),
+        F.expr("CASE WHEN conv_id % 3 = 0 THEN 1 ELSE 0 END").alias("is_fraud"))
+
+
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         read(spark, sf_dir, "orders")

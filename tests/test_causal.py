@@ -94,7 +94,7 @@ def test_first_seen_and_recent(frame, limit):
     hot = hot_slices(frame.select("key", "ts"), ["key"], "ts", limit)
     assert (hot is None) == (limit > len(ROWS))
     out = first_seen(frame, ["key"], "ts", "id", {"v": "value"}, recent=("recent", "amount", 60), hot=hot)
-    out = out.withColumn("p95", linear_percentile(F.col("recent"), 0.95)).collect()
+    out = out.withColumn("p95", linear_percentile(F.sort_array("recent"), 0.95)).collect()
     assert len(out) == len(ROWS)
     first = {}
     for r in sorted(ROWS, key=lambda o: (o[2], o[0])):
