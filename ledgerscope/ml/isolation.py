@@ -122,7 +122,7 @@ def fit_isolation(
         lambda t: F.pmod(F.xxhash64(F.col(tie), t, F.lit(seed)), F.lit(1 << 40)) < int(share * (1 << 40)))
     depth = max(1, math.ceil(math.log2(max(2, size))))
 
-    def one_tree(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def one_tree(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         return grow(int(key[0]), np.vstack(pdf["v"].to_numpy()), depth, seed)
 
     grown = (

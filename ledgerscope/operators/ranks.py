@@ -25,7 +25,7 @@ def nth_value(df: DataFrame, col: str, n: int) -> tuple[int, int]:
         width = max(1, -(-(hi - lo + 1) // _BINS))
         bins = (
             df.filter(F.col(col).between(lo, hi))
-            .groupBy(F.floor((F.col(col) - F.lit(lo)) / F.lit(width)).cast("long").alias("b"))
+            .groupBy(F.expr(f"(`{col}` - {lo}L) div {width}L").alias("b"))
             .count().orderBy("b").collect()
         )
         for row in bins:
@@ -41,7 +41,7 @@ def nth_value(df: DataFrame, col: str, n: int) -> tuple[int, int]:
 def _tie_number(df: DataFrame, tie: str) -> Column:
     """Whole-number tie-break: the id itself, or its hash for text ids."""
     kind = df.schema[tie].dataType.typeName()
-    return F.col(tie).cast("long") if kind in ("long", "integer", "short", "byte") else F.xxhash64(tie)
+    return F.col(tie).cast("long") if kind in ("long", "integer", "short", "byte") else F.shiftrightunsigned(F.xxhash64(tie), 1)
 
 
 def at_or_after(df: DataFrame, n: int, order: str = "ts_us", tie: str = "txn_id") -> Column:

@@ -175,10 +175,10 @@ def _j9(spark, sf):
 
 GRID_SQL = (
     "ordered AS (SELECT score, row_number() OVER (ORDER BY score) - 1 AS i, count(*) OVER () - 1 AS last FROM scored), "
-    "levels AS (SELECT q * last AS at, CAST(floor(q * last) AS BIGINT) AS lo, last FROM (SELECT unnest(["
+    "levels AS (SELECT q * last AS pos, CAST(floor(q * last) AS BIGINT) AS lo, last FROM (SELECT unnest(["
     + ", ".join(f"{q!r}e0" for q in curves.threshold_grid())
     + "]) AS q), (SELECT max(last) AS last FROM ordered)), "
-    "grid AS (SELECT DISTINCT a.score + (b.score - a.score) * (at - lo) AS threshold FROM levels l "
+    "grid AS (SELECT DISTINCT a.score + (b.score - a.score) * (pos - lo) AS threshold FROM levels l "
     "JOIN ordered a ON a.i = l.lo JOIN ordered b ON b.i = least(l.lo + 1, l.last))"
 )
 COST_SQL = ("cost AS (SELECT g.threshold, count(*) FILTER (score >= threshold) AS n, count(*) FILTER (score >= threshold AND y = 1) AS tp, "
