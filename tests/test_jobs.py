@@ -17,15 +17,16 @@ def test_reason_texts_name_real_features():
     assert len(REASON_TEXT) == 49 and set(REASON_TEXT) <= set(FEATURE_NAMES)
 
 
-def test_isolation_ranks_outliers_last(spark):
+def test_isolation_singles_out_a_planted_outlier(spark):
     df = spark.range(600).select(
         F.col("id").alias("txn_id"), (F.col("id") % 17 / 17.0).alias("a"), (F.col("id") % 13 / 13.0).alias("b"))
-    model = fit_isolation(df, ["a", "b"], {"a": 0.5, "b": 0.5}, trees=30, max_samples=128)
-    odd = spark.createDataFrame([(1, 9.0, -7.0), (2, 0.5, 0.5), (3, None, None)], "txn_id LONG, a DOUBLE, b DOUBLE")
-    got = {r["txn_id"]: r["novelty"] for r in model.transform(odd, percentile=False).collect()}
-    # Nothing the forest has seen is more anomalous than a point beyond every cut.
-    assert got[1] >= model.reference.max() - 1e-12
-    assert got[2] < sorted(model.reference)[300] and got[3] == got[2]
+    df = df.unionByName(spark.createDataFrame([(600, 9.0, -7.0)], df.schema))
+    model = fit_isolation(df, ["a", "b"], {"a": 0.5, "b": 0.5}, trees=60, max_samples=601)
+    got = {r["txn_id"]: r["novelty"] for r in model.transform(df).collect()}
+    assert max(got, key=got.get) == 600 and got[600] == pytest.approx(600 / 601)
+    blank = spark.createDataFrame([(1, 0.5, 0.5), (2, None, float("nan"))], "txn_id LONG, a DOUBLE, b DOUBLE")
+    pair = {r["txn_id"]: r["novelty"] for r in model.transform(blank).collect()}
+    assert pair[1] == pair[2]
 
 
 def test_model_is_bounded_and_separates_classes(spark):
@@ -97,3 +98,22 @@ def test_three_micro_batches_equal_one_batch_and_late_rows_are_counted(spark, tm
         for c in names:
             assert got[k][c] == pytest.approx(w[c]), (k, c)
     assert job.results(spark, "late").agg(F.sum("late")).first()[0] == 1
+
+
+def test_the_batch_job_end_to_end(spark, sf_dir):
+    from ledgerscope.plans.batch import explain_rows, feedback_round, run
+    from ledgerscope.queries.model_queries import MODEL_FEATURES, SMALL
+    from ledgerscope.sources import tables as T
+
+    result = run(T.ledger(spark, sf_dir), T.customers(spark, sf_dir), T.merchants(spark, sf_dir),
+                 T.episode_stats(spark, sf_dir), holdout=("v5",), columns=MODEL_FEATURES, turns=T.turns(spark, sf_dir), **SMALL)
+    point = result.reports["operating_point"].first()
+    test = result.scored.filter("split = 'test'").count()
+    assert point["tp"] + point["fp"] + point["fn"] + point["tn"] == test == result.reports["summary"].first()["n_test"]
+    assert {r["family"] for r in result.reports["holdout"].collect()} == {"v5", "__known_families__"}
+    told = explain_rows(result.table.filter("split = 'test'").limit(20), result).collect()
+    assert len(told) == 20 and {r["decision"] for r in told} <= {"approve", "review", "step_up", "decline"}
+    attacks = result.table.filter("split = 'test' AND y = 1").withColumn("group_id", F.col("strain_id"))
+    _, gains = feedback_round(result, attacks, MODEL_FEATURES, 0.5, max_iter=3, max_depth=3)
+    rows = gains.collect()
+    assert rows and all(0 <= r["evasion_pre"] <= 1 and 0 <= r["evasion_post"] <= 1 for r in rows)
