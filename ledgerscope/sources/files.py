@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..constants import DAY_US
 from ..functions.columns import json_safe
 from .schema import EPISODE_SCHEMA, LEDGER_SCHEMA
 
@@ -45,8 +46,9 @@ def read_report(spark: SparkSession, path: str, schema: str | None = None) -> Da
 
 
 def write_columnar(df: DataFrame, path: str, ts: str = "ts", mode: str = "errorifexists") -> None:
-    """Parquet, one folder per day; rows of a day are spread over many tasks."""
-    df.withColumn("dt", F.to_date(ts)).write.mode(mode).partitionBy("dt").parquet(path)
+    """Parquet, one folder per UTC day; rows of a day are spread over many tasks."""
+    day = F.date_from_unix_date(F.floor(F.unix_micros(ts) / F.lit(DAY_US)).cast("int"))
+    df.withColumn("dt", day).write.mode(mode).partitionBy("dt").parquet(path)
 
 
 def read_columnar(spark: SparkSession, path: str, first: str | None = None, last: str | None = None) -> DataFrame:
