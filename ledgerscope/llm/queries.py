@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, hilbert, quality_rules, token_counts
+from . import bpe, hilbert, quality_rules, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -65,3 +65,12 @@ def op3_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_token_counts")
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir), tokenizer(PIECE_BPE), limit=4096)
+
+
+@query("op10_toxicity_ftrl")
+def op10_toxicity_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    scored = toxicity.toxicity(docs, docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return scored.select(
+        "doc_id", (toxicity.fold(F.col("doc_id")) == 0).alias("held_out"), "score",
+        F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
