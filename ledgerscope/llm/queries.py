@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, hilbert, packing, pii, quality_rules, token_counts, toxicity
+from . import bpe, hilbert, packing, pii, quality_rules, token_counts, toxicity, vafile
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -88,3 +88,9 @@ def op5_pii_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", *[pii.counted(F.col("base"), kind).alias(f"n_{kind}") for kind in pii.KINDS],
         F.sha2(pii.joined(F.col("base")), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"))
+
+
+@query("op1_exact_top_k")
+def op1_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return vafile.top_k(vectors, F.col("vec_id") % 50 == 0, k=5)
