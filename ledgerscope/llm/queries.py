@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, hilbert, packing, pii, quality_rules, token_counts, toxicity, vafile
+from . import bpe, hilbert, packing, pii, quality_rules, substrings, token_counts, toxicity, vafile
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -94,3 +94,9 @@ def op5_pii_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     return vafile.top_k(vectors, F.col("vec_id") % 50 == 0, k=5)
+
+
+@query("op4_substring_dedup")
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = substrings.remove_repeats(documents(spark, sf_dir).select("doc_id", "text"), window=35)
+    return cleaned.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
