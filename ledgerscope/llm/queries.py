@@ -99,7 +99,7 @@ def op1_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_substring_dedup")
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = substrings.remove_repeats(documents(spark, sf_dir).select("doc_id", "text"), window=35)
-    return cleaned.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
+    return cleaned.select("row.doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
 
 
 @query("op7_jaccard_components")

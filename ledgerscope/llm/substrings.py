@@ -118,8 +118,8 @@ def _candidate_starts(text: _Text, shared: np.ndarray, window: int, period: int,
 _KEY = ["doc_id", "_sum"]
 
 
-def repeated_windows(docs: DataFrame, window: int = WINDOW, period: int = PERIOD, cover: tuple[int, ...] = COVER, bits: int = BITS) -> tuple[DataFrame, DataFrame]:
-    """The documents (doc_id, _sum, _maybe, text) and, for each with repeats, the sorted starts of its repeated windows."""
+def repeated_windows(docs: DataFrame, window: int = WINDOW, period: int = PERIOD, cover: tuple[int, ...] = COVER, bits: int = BITS) -> DataFrame:
+    """(doc_id, _sum, starts) of each document with repeats: the sorted starts of its repeated windows."""
     if not covers(cover, period) or period > window:
         raise ValueError("the cover must reach every difference modulo the period, and the period fit the window")
     spark = docs.sparkSession
@@ -161,24 +161,23 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, period: int = PERIOD
     others = F.lag("h1").over(same).isNotNull() | F.lead("h1").over(same).isNotNull()
     repeated = candidates.withColumn("_r", F.col("known") | others).where("_r").select(*_KEY, "start")
     # A document's own starts only: bounded by its length.
-    return source, repeated.groupBy(*_KEY).agg(F.sort_array(F.collect_set("start")).alias("starts"))
+    return repeated.groupBy(*_KEY).agg(F.sort_array(F.collect_set("start")).alias("starts"))
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, period: int = PERIOD, cover: tuple[int, ...] = COVER, bits: int = BITS) -> DataFrame:
-    """All columns of the documents with ``kept`` (kept words joined by a space), ``n_words`` and ``n_removed``."""
-    source, repeats = repeated_windows(docs, window, period, cover, bits)
-    checked = docs.withColumn("_sum", F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8")))
+    """``row`` (all columns but the text), text, ``kept`` (kept words joined by a space), n_words and n_removed."""
+    row = F.struct(*[c for c in docs.columns if c != "text"]).alias("row")
+    repeats = repeated_windows(docs, window, period, cover, bits)
+    checked = docs.select("doc_id", row, "text", F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("_sum"))
     found = repeats.select(F.col("doc_id").alias("_id"), F.col("_sum").alias("_check"), "starts")
     joined = checked.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_sum") == F.col("_check")), "left")
-    rest = [c for c in docs.columns if c != "text"]
-    ordered = joined.select(*rest, "starts", "text")
-    schema = T.StructType([*docs.select(*rest).schema.fields, docs.schema["text"], *T._parse_datatype_string("kept string, n_words long, n_removed long").fields])
+    ordered = joined.select("row", "starts", "text")
+    schema = T.StructType([ordered.schema["row"], ordered.schema["text"], *T._parse_datatype_string("kept string, n_words long, n_removed long").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = len(rest)
             kept, total, removed = [], [], []
-            for starts, t in zip(batch.column(n), batch.column(n + 1).to_pylist(), strict=True):
+            for starts, t in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
                 words = (t or "").encode().split()
                 total.append(len(words))
                 if starts.is_valid:
@@ -190,7 +189,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, period: int = PERIOD,
                 removed.append(total[-1] - len(words))
                 kept.append(b" ".join(words).decode())
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:n], batch.column(n + 1), pa.array(kept, pa.string()), pa.array(total, pa.int64()), pa.array(removed, pa.int64())],
-                names=[*rest, "text", "kept", "n_words", "n_removed"])
+                [batch.column(0), batch.column(2), pa.array(kept, pa.string()), pa.array(total, pa.int64()), pa.array(removed, pa.int64())],
+                names=["row", "text", "kept", "n_words", "n_removed"])
 
     return ordered.mapInArrow(run, schema)
