@@ -120,3 +120,117 @@ ABLATIONS = {
         "session_per_txn_value",
     ],
 }
+
+# The published feature set, in its published order.
+FEATURE_NAMES = [
+    "amount",
+    "log_amount",
+    "amount_z_customer",
+    "amount_to_p95",
+    "amount_to_balance",
+    "amount_to_merchant_mean",
+    "amount_round_ness",
+    "amount_below_threshold_gap",
+    "cust_txn_1h",
+    "cust_txn_24h",
+    "cust_txn_7d",
+    "cust_amt_1h",
+    "cust_amt_24h",
+    "cust_amt_7d",
+    "cust_burst_ratio",
+    "secs_since_last_txn",
+    "cust_txn_total",
+    "cust_amt_24h_to_balance",
+    "is_new_merchant",
+    "is_new_beneficiary",
+    "is_new_device",
+    "is_new_city",
+    "is_new_category",
+    "cust_tenure_days",
+    "cust_known_merchants",
+    "cust_known_beneficiaries",
+    "cust_known_devices",
+    "hour",
+    "hour_sin",
+    "hour_cos",
+    "is_night",
+    "day_of_week",
+    "is_weekend",
+    "hour_deviation",
+    "cust_night_rate",
+    "dist_from_home_km",
+    "dist_from_last_km",
+    "travel_speed_kmh",
+    "is_foreign",
+    "is_high_risk_country",
+    "merchant_is_foreign",
+    "device_age_days",
+    "device_is_emulator",
+    "device_is_rooted",
+    "device_sim_count",
+    "device_attested",
+    "device_customer_count",
+    "device_txn_1h",
+    "device_txn_24h",
+    "device_tenure_days",
+    "merchant_age_days",
+    "merchant_risk_tier",
+    "merchant_is_liquid",
+    "merchant_txn_1h",
+    "merchant_txn_24h",
+    "merchant_distinct_customers",
+    "merchant_repeat_rate",
+    "merchant_chargeback_rate",
+    "merchant_tenure_days",
+    "benef_age_days",
+    "benef_in_count_1h",
+    "benef_in_count_24h",
+    "benef_distinct_payers_24h",
+    "benef_in_amt_24h",
+    "benef_out_count_1h",
+    "benef_passthrough_ratio",
+    "benef_dwell_secs",
+    "benef_tenure_days",
+    "sender_passthrough_ratio",
+    "sender_dwell_secs",
+    "sender_in_24h",
+    "session_duration_s",
+    "session_ratio_customer",
+    "hesitation_ms",
+    "hesitation_ratio_customer",
+    "app_switches",
+    "form_corrections",
+    "typing_variance",
+    "typing_variance_ratio",
+    "screen_share",
+    "call_active",
+    "screen_share_and_new_benef",
+    "session_per_txn_value",
+    "threeds_result",
+    "otp_attempts",
+    "step_up_shown",
+    "instrument_age_days",
+    "customer_account_age_days",
+    "customer_balance",
+    "cust_prior_disputes_90d",
+    "cust_prior_dispute_rate",
+    "is_agentic",
+    "agent_attested",
+    "mandate_ceiling",
+    "mandate_age_h",
+    "mandate_scope_breadth",
+    "mandate_ceiling_to_typical",
+    "mandate_drawdown_ratio",
+    "mandate_intent_match",
+    "human_confirmations",
+    "amount_to_mandate_ceiling",
+    "has_episode",
+    "coercion_score",
+    "episode_turns",
+    "episode_duration_s",
+    "cat_rail",
+    "cat_auth_method",
+    "cat_merchant_category",
+    "cat_persona",
+    "cat_device_os",
+]

@@ -1,4 +1,4 @@
-"""Anomaly channel: isolation trees on a sample of legitimate payments.
+"""Anomaly channel: isolation trees over legitimate payments.
 
 Isolation Forest (Liu, Ting and Zhou, 2008). Spark samples the rows of every tree
 by hash and groups them by tree; a task grows one tree from its few thousand
@@ -16,9 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import uniform
-
-SAMPLE_CAP = 40_000
+STEPS = 1 << 16  # equal steps of the anomaly score in which the reference is counted
 _NODE = "tree INT, node INT, feature INT, cut DOUBLE, low INT, high INT, size DOUBLE, depth INT"
 
 
@@ -61,7 +59,7 @@ class IsolationModel:
     medians: dict[str, float]
     trees: list[dict[str, np.ndarray]]
     sample_size: int
-    reference: np.ndarray
+    reference: np.ndarray  # rows below each step, and all rows at the end
 
     def vector(self) -> Column:
         """Feature array with medians in place of missing values."""
@@ -78,12 +76,12 @@ class IsolationModel:
             if len(v) == 0:
                 return pd.Series([], dtype=float)
             s = anomaly(np.vstack(v.to_numpy()), trees, size)
-            return pd.Series(np.searchsorted(ref, s, side="left") / max(1, len(ref)) if percentile else s)
+            return pd.Series(ref[np.clip(s * STEPS, 0, STEPS - 1).astype(int)] / max(1, ref[-1]) if percentile else s)
 
         return score
 
     def transform(self, df: DataFrame, percentile: bool = True, name: str = "novelty") -> DataFrame:
-        """Adds the share of reference payments less anomalous than each row."""
+        """Adds the share of reference payments less anomalous than each row, by at least a step of the score."""
         return df.withColumn(name, self._score_udf(df.sparkSession, percentile)(self.vector()))
 
 
@@ -106,15 +104,17 @@ def anomaly(x: np.ndarray, trees: list[dict[str, np.ndarray]], size: int) -> np.
 
 def fit_isolation(
     legit: DataFrame, features: list[str], medians: dict[str, float], trees: int = 180, max_samples: int = 4096,
-    sample_cap: int = SAMPLE_CAP, seed: int = 13, tie: str = "txn_id",
+    seed: int = 13, tie: str = "txn_id",
 ) -> IsolationModel:
-    """Grows the forest on at most ``sample_cap`` rows, ``max_samples`` per tree."""
+    """Grows every tree on its own ``max_samples`` rows (the method's parameter), drawn by hash from all rows.
+
+    The reference distribution of the percentile counts all rows, in ``STEPS``
+    equal steps of the score, so what comes to the driver has a fixed size.
+    """
     spark = legit.sparkSession
-    model = IsolationModel(features, medians, [], max_samples, np.array([]))
-    sample = (
-        legit.select(tie, model.vector().alias("v")).orderBy(uniform(seed, F.col(tie)), tie).limit(sample_cap)
-    )
-    n = sample.count()
+    model = IsolationModel(features, medians, [], max_samples, np.zeros(STEPS + 1))
+    rows = legit.select(tie, model.vector().alias("v"))
+    n = rows.count()
     size = min(max_samples, n)
     share = size / max(1, n)
     picks = F.filter(
@@ -126,12 +126,15 @@ def fit_isolation(
         return grow(int(key[0]), np.vstack(pdf["v"].to_numpy()), depth, seed)
 
     grown = (
-        sample.select(F.explode(picks).alias("tree"), "v").groupBy("tree").applyInPandas(one_tree, _NODE).toPandas()
+        rows.select(F.explode(picks).alias("tree"), "v").groupBy("tree").applyInPandas(one_tree, _NODE).toPandas()
     )
     model.sample_size = size
     model.trees = [
         {c: g[c].to_numpy() for c in ("feature", "cut", "low", "high", "size", "depth")}
         for _, g in grown.sort_values(["tree", "node"]).groupby("tree")]
-    scores = model.transform(legit.join(sample.select(tie), tie, "left_semi"), percentile=False, name="__s")
-    model.reference = np.sort(scores.select("__s").toPandas()["__s"].to_numpy())
+    step = F.least(F.floor(F.col("__s") * STEPS), F.lit(STEPS - 1)).cast("int")
+    counted = model.transform(legit.select(tie, *features), percentile=False, name="__s").groupBy(step.alias("step")).count().toPandas()
+    sizes = np.zeros(STEPS)
+    sizes[counted["step"].to_numpy(int)] = counted["count"].to_numpy()
+    model.reference = np.append(0, np.cumsum(sizes))
     return model

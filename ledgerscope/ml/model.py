@@ -122,10 +122,9 @@ def fit(
 def calibrate(scored: DataFrame, label: str) -> IsotonicRegressionModel | None:
     """Isotonic map from raw to observed rate; None without rows.
 
-    Scores are pooled at six places first, so the learner sees at most a million
-    weighted points.
+    Rows of equal score are pooled first; different scores stay apart.
     """
-    points = scored.groupBy(F.round("p_raw", 6).alias("p_raw")).agg(
+    points = scored.groupBy("p_raw").agg(
         F.avg(F.col(label).cast("double")).alias("label"), F.count(F.lit(1)).cast("double").alias("weight"))
     if points.isEmpty():
         return None
@@ -154,18 +153,20 @@ def ablations(
 
 
 def importance(
-    scored: DataFrame, model, features: list[str], n: int = 9000, top: int = 28, seed: int = 5, tie: str = "txn_id"
+    scored: DataFrame, model, features: list[str], n: int | None = None, top: int = 28, seed: int = 5, tie: str = "txn_id"
 ) -> DataFrame:
     """Fall in AUC of the fused score when one feature is shuffled between rows.
 
-    Measured on every positive row topped up to ``n`` with negatives; ``model``
-    needs ``transform``. Every feature is scored in the same pass.
+    Measured on all rows, or with ``n`` on every positive row topped up to ``n``
+    with negatives; ``model`` needs ``transform``. Every feature is scored in the same pass.
     """
     from ..operators import curves
     from ..operators.ranks import keep_positives, shuffled_index
 
     rest = [c for c in features if c != "amount"]
-    sample = keep_positives(scored.select(tie, "y", "amount", *rest), n, seed=seed, tie=tie)
+    sample = scored.select(tie, "y", "amount", *rest)
+    if n is not None:
+        sample = keep_positives(sample, n, seed=seed, tie=tie)
     numbered = shuffled_index(sample, "__i", seed, tie)
     other = shuffled_index(sample, "__i", seed + 1, tie).select("__i", *[F.col(c).alias(f"__p_{c}") for c in features])
     both = numbered.join(other, "__i")

@@ -52,11 +52,15 @@ def edges_by_layer(edges: DataFrame) -> DataFrame:
 
 
 def largest_campaign(
-    edges: DataFrame, accounts: DataFrame, max_edges: int = 420, order: list[str] = ("ts_us",)
+    edges: DataFrame, accounts: DataFrame, max_edges: int | None = None, order: list[str] = ("ts_us",)
 ) -> tuple[DataFrame, DataFrame]:
-    """Node and edge tables of the biggest campaign's earliest edges."""
+    """Node and edge tables of the biggest campaign, or of its ``max_edges`` earliest edges.
+
+    Edges without a campaign belong to none and are left out.
+    """
     best = edges.join(F.broadcast(largest_campaign_id(edges).select("campaign_id")), "campaign_id")
-    best = earliest_edges(best, max_edges, list(order))
+    if max_edges is not None:
+        best = earliest_edges(best, max_edges, list(order))
     return node_table(best, accounts), best
 
 

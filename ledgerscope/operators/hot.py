@@ -14,11 +14,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import MINUTE_US
+from ..session import stored
 
 DEFAULT_LIMIT = 1_000_000
-# The row limit rises with the table so that no more than this many keys are
-# ever hot; that bound makes it safe to collect and broadcast the slice table.
-MAX_HOT_KEYS = 100_000
 
 SLICE = "__slice"
 START = "__start"
@@ -39,7 +37,7 @@ def hot_slices(
     single grain).
     """
     counts = df.groupBy(*key).agg(F.count(F.lit(1)).alias("__n"))
-    hot = _above(counts, limit).select(*key).collect()
+    hot = stored(counts.filter(F.col("__n") > limit).select(*key), "hot")
     return _cut(df, hot, key, order, limit, grain)
 
 
@@ -61,40 +59,29 @@ def hot_entities(
         .groupBy("s.kind", "s.id")
         .agg(F.count(F.lit(1)).alias("__n"))
     )
-    hot: dict[str, list] = {k: [] for k in entities}
-    for row in _above(counts, limit).select("kind", "id").collect():
-        hot[row["kind"]].append((row["id"],))
-    out = {}
+    hot = stored(counts.filter(F.col("__n") > limit).select("kind", "id"), "hot")
+    kinds = {row["kind"] for row in hot.select("kind").distinct().collect()}
+    out: dict[str, DataFrame | None] = {}
     for k, cols in entities.items():
+        if k not in kinds:
+            out[k] = None
+            continue
         rows = None
         for c in cols:
             part = df.select(F.col(c).cast("string").alias(k), order)
             rows = part if rows is None else rows.unionByName(part)
-        found = _cut(rows, hot[k], [k], order, limit, MINUTE_US)
-        if found is not None:
-            found = found.withColumn(k, F.col(k).cast(df.schema[cols[0]].dataType))
-        out[k] = found
+        found = _cut(rows, hot.filter(F.col("kind") == k).select(F.col("id").alias(k)), [k], order, limit, MINUTE_US)
+        out[k] = found.withColumn(k, F.col(k).cast(df.schema[cols[0]].dataType)) if found is not None else None
     return out
 
 
-def _above(counts: DataFrame, limit: int) -> DataFrame:
-    """Keys above the limit, never more than ``MAX_HOT_KEYS`` of them."""
-    total = counts.agg(F.sum("__n").alias("__total"))
-    return (
-        counts.filter(F.col("__n") > limit)
-        .crossJoin(F.broadcast(total))
-        .filter(F.col("__n") > F.floor(F.col("__total") / MAX_HOT_KEYS))
-    )
-
-
-def _cut(df: DataFrame, hot: list, key: list[str], order: str, limit: int, grain: int) -> DataFrame | None:
-    if not hot:
+def _cut(df: DataFrame, hot: DataFrame, key: list[str], order: str, limit: int, grain: int) -> DataFrame | None:
+    """The slice table of the hot keys, written once: it may hold any number of keys."""
+    if hot.isEmpty():
         return None
-    spark = df.sparkSession
-    keys = spark.createDataFrame(hot, df.select(*key).schema)
     per_grain = (
         df.select(*key, order)
-        .join(F.broadcast(keys), key)
+        .join(hot, key)
         .groupBy(*key, F.floor(F.col(order) / F.lit(grain)).alias("__g"))
         .agg(F.count(F.lit(1)).alias("__n"))
     )
@@ -102,14 +89,14 @@ def _cut(df: DataFrame, hot: list, key: list[str], order: str, limit: int, grain
         (F.min("__g") * grain).alias(START),
         (F.greatest(F.lit(1), F.floor(F.lit(limit) / F.max("__n"))) * grain).alias(WIDTH),
     )
-    return spark.createDataFrame(slices.collect(), slices.schema)
+    return stored(slices, "slices")
 
 
 def with_slice(df: DataFrame, hot: DataFrame, key: list[str], order: str) -> DataFrame:
     """Adds the slice number: 0 for ordinary keys, time-based for hot ones."""
     number = F.floor((F.col(order) - F.col(START)) / F.col(WIDTH)).cast("long")
     return (
-        df.join(F.broadcast(hot), key, "left")
+        df.join(hot, key, "left")
         .withColumns({SLICE: F.coalesce(number, F.lit(0).cast("long")), "__hot": F.col(START).isNotNull()})
         .drop(START, WIDTH)
     )

@@ -12,9 +12,9 @@ from ..ml.model import FraudModel, fit, medians_of
 from ..ml.text import text_score
 from ..operators import curves, feedback, quality, ranks, reports
 from ..operators.decisions import decision
-from ..operators.explain import REASON_TEXT, explain
+from ..operators.explain import explain
 from ..operators.features import FEATURE_NAMES, features
-from ..session import ensure_checkpoint_dir
+from ..session import stored
 from ..sources.schema import conform
 
 
@@ -26,6 +26,7 @@ class Run:
     model: FraudModel
     scored: DataFrame
     reports: dict[str, DataFrame]
+    holdout: tuple[str, ...] = ()
 
 
 def feature_job(
@@ -34,18 +35,17 @@ def feature_job(
 ) -> DataFrame:
     """Features with split, noisy labels and the text score, cut off from their lineage.
 
-    The table is read many times afterwards, so it is written once to the
-    checkpoint folder. Conversations come as ``turns`` (one row each, any length)
+    The table is read many times afterwards, so it is written once, as Parquet, to
+    the shared folder; later passes read the columns they need. Conversations come as ``turns`` (one row each, any length)
     or as whole texts in ``episodes``.
     """
-    ensure_checkpoint_dir(ledger.sparkSession)
     split = ranks.temporal_split(conform(ledger))
     if episodes is not None and (turns is not None or "text" in episodes.columns):
         scores, _ = text_score(split, turns if turns is not None else episodes)
         episodes = episodes.join(scores.withColumnRenamed("narrative_id", "episode_id"), "episode_id", "left")
     table = features(ledger, customers, merchants, episodes, columns=columns, **options)
     table = table.join(split.select("txn_id", "split"), "txn_id").withColumn("y", F.col("is_fraud"))
-    return quality.label_noise(table).checkpoint()
+    return stored(quality.label_noise(table), "features")
 
 
 def run(
@@ -57,10 +57,10 @@ def run(
     needed = sorted({*names, *_rule_inputs(), "amount"})
     table = feature_job(ledger, customers, merchants, episodes, columns=needed, turns=turns)
     model = fit(table, names, exclude=holdout, **fit_options)
-    scored = model.transform(table)
+    scored = stored(model.transform(table), "scored")  # reports read it many times
     test = scored.filter("split = 'test'")
     basis = scored.filter(F.col("split") == threshold_split)
-    return Run(table, model, scored, reports.evaluate(test, holdout=holdout, threshold_on=basis))
+    return Run(table, model, scored, reports.evaluate(test, holdout=holdout, threshold_on=basis), holdout)
 
 
 def _rule_inputs() -> set[str]:
@@ -78,12 +78,13 @@ def _rule_inputs() -> set[str]:
 
 
 def explain_rows(rows: DataFrame, result: Run, k: int = 4) -> DataFrame:
-    """Decision and reasons for any rows of the feature table."""
-    names = [c for c in REASON_TEXT if c in result.model.features][:34]
-    train = result.table.filter("split = 'train'")
-    spark = rows.sparkSession
-    meds = spark.createDataFrame([tuple(medians_of(train, names)[c] for c in names)], [*names])
-    out = explain(rows, result.model.transform, meds, names, k)
+    """Score parts, fired rules, decision and reasons for any rows of the feature table."""
+    names = list(result.model.features)
+    medians = medians_of(result.table.filter("split = 'train'"), names)
+    meds = rows.sparkSession.createDataFrame([tuple(medians[c] for c in names)], names)
+    out = explain(
+        rows, result.model.transform, meds, names, k, inputs=sorted({*names, *_rule_inputs()}),
+        parts=["p_model", "novelty", "rule_score", "fired"])
     basis = result.scored.filter("split = 'calib'")
     cost = curves.choose_threshold(curves.cost_curve(basis)).select(F.col("threshold").alias("t_cost"))
     budget = curves.budget_threshold(basis).withColumnRenamed("threshold", "t_budget")
@@ -102,7 +103,8 @@ def feedback_round(
     before = result.model.transform(candidates)
     mined = feedback.mine_evasions(before, threshold, cap).select(
         "txn_id", *names, "vector_id", F.lit(1).alias("y_observed"), "weight")
-    model = fit(result.table, names, mined=mined, novelty=result.model.novelty, **fit_options)
+    # Held-out families stay out of the refit too.
+    model = fit(result.table, names, mined=mined, novelty=result.model.novelty, **{"exclude": result.holdout, **fit_options})
     after = model.transform(candidates)
     test = result.table.filter("split = 'test'")
     b = feedback.frozen_measure(result.model.transform(test)).first()

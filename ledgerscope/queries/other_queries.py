@@ -367,7 +367,7 @@ def _c8(spark, sf):
 
 ACCOUNTS_SQL = ("accounts AS (SELECT s_suppkey AS account_id, 'bank' || CAST(s_nationkey AS VARCHAR) AS bank, s_acctbal / 10 AS age_days, s_suppkey % 5 = 0 AS is_mule, CAST(s_suppkey % 3 AS INTEGER) AS mule_layer FROM supplier)")
 BIG_SQL = ("edge AS (SELECT DISTINCT src, dst, ts_us, amount, layer, campaign_id, order_id FROM flows), big AS (SELECT campaign_id FROM edge GROUP BY 1 ORDER BY count(*) DESC, campaign_id LIMIT 1), "
-           "best AS (SELECT * FROM edge WHERE campaign_id = (SELECT campaign_id FROM big) ORDER BY ts_us, order_id, layer, dst, amount LIMIT 420), "
+           "best AS (SELECT * FROM edge WHERE campaign_id = (SELECT campaign_id FROM big)), "
            "deg AS (SELECT id, sum(i) AS din, sum(o) AS dout FROM (SELECT src AS id, 0 AS i, 1 AS o FROM best UNION ALL SELECT dst, 1, 0 FROM best) GROUP BY id)")
 
 

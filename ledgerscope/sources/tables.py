@@ -88,7 +88,7 @@ LEDGER_COLUMNS = {
     "strain_id": "CASE WHEN event_type = 'error' THEN 's' || CAST((event_id + k) % 24 AS VARCHAR(20)) END",
     "campaign_id": "CASE WHEN event_type = 'error' THEN 'g' || CAST(user_id % 40 AS VARCHAR(20)) END",
     "benign_anomaly": "CASE WHEN event_type <> 'error' AND event_id % 31 < 3 THEN " + pick("event_id % 31", ["travel", "big_ticket", "device_upgrade"]) + " END",
-    "narrative_id": "CASE WHEN event_id % 5 = 0 THEN event_id % 150 END",
+    "narrative_id": "CASE WHEN event_id % 5 = 0 THEN CAST(floor(event_id / 100.0e0) AS BIGINT) END",
     "coercion_score": "CAST(0 AS DOUBLE)",
 }
 

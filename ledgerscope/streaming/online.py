@@ -23,12 +23,26 @@ from ..operators.hot import DEFAULT_LIMIT
 from ..sources.schema import conform
 
 
+# Features that a window of the past does not determine.
+WINDOWED = {
+    "cust_txn_1h", "cust_txn_24h", "cust_txn_7d", "cust_amt_1h", "cust_amt_24h", "cust_amt_7d", "cust_burst_ratio",
+    "cust_amt_24h_to_balance", "device_txn_1h", "device_txn_24h", "merchant_txn_1h", "merchant_txn_24h",
+    "benef_in_count_1h", "benef_in_count_24h", "benef_distinct_payers_24h", "benef_in_amt_24h", "benef_out_count_1h",
+    "sender_in_24h", "cust_prior_disputes_90d",
+}
+LIFETIME = {
+    n for n in FEATURE_NAMES if n not in WINDOWED and n.startswith(("cust_", "is_new_", "secs_", "merchant_", "device_", "benef_", "sender_", "dist_from_last", "travel_", "hour_dev"))
+} | {"amount_z_customer", "amount_to_p95", "amount_to_merchant_mean", "session_ratio_customer", "hesitation_ratio_customer",
+     "typing_variance_ratio", "screen_share_and_new_benef", "mandate_ceiling_to_typical", "mandate_drawdown_ratio"}
+
+
 @dataclass
 class OnlineFeatures:
     """Use ``start`` on a ledger stream, read results with ``results``.
 
-    ``retention_us`` drops history older than the longest span in use; None keeps
-    all of it, which lifetime features need. Payments more than ``delay_us``
+    ``retention_us`` drops history older than the longest span in use. It is
+    refused together with features that look at a whole life (``LIFETIME``),
+    which need all of the history. Payments more than ``delay_us``
     behind the newest one seen before their batch are late: they are left out and
     counted in ``late``.
     """
@@ -40,6 +54,12 @@ class OnlineFeatures:
     retention_us: int | None = None
     delay_us: int | None = None
     limit: int = DEFAULT_LIMIT
+    episodes: DataFrame | None = None
+
+    def __post_init__(self) -> None:
+        lifetime = sorted(LIFETIME.intersection(self.columns))
+        if self.retention_us is not None and lifetime:
+            raise ValueError(f"retention would change lifetime features: {', '.join(lifetime)}")
 
     def start(self, stream: DataFrame, **trigger) -> StreamingQuery:
         return (
@@ -69,7 +89,7 @@ class OnlineFeatures:
             if self.retention_us is not None:
                 history = history.filter(F.col("ts_us") >= first - self.retention_us)
             known = fresh.unionByName(history.drop("ts_us", "batch"))
-        table = features(known, self.customers, self.merchants, columns=self.columns, limit=self.limit)
+        table = features(known, self.customers, self.merchants, self.episodes, columns=self.columns, limit=self.limit)
         self._write(table.join(fresh.select("txn_id"), "txn_id", "left_semi"), "features", batch_id)
 
     def _history(self, spark, batch_id: int) -> DataFrame | None:

@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 from ledgerscope.ml import text
 from ledgerscope.ml.isolation import fit_isolation
 from ledgerscope.ml.model import calibrate, fit
-from ledgerscope.operators.explain import REASON_TEXT, explain
+from ledgerscope.operators.explain import explain
 from ledgerscope.operators.features import FEATURE_NAMES, features
+from ledgerscope.operators.features.texts import FEATURE_TEXT
 from ledgerscope.streaming import OnlineFeatures
 
 
-def test_reason_texts_name_real_features():
-    assert len(REASON_TEXT) == 49 and set(REASON_TEXT) <= set(FEATURE_NAMES)
+def test_every_feature_has_a_text_of_its_own():
+    assert list(FEATURE_TEXT) == FEATURE_NAMES and len(set(FEATURE_TEXT.values())) == len(FEATURE_NAMES)
 
 
 def test_isolation_singles_out_a_planted_outlier(spark):
@@ -23,7 +24,7 @@ def test_isolation_singles_out_a_planted_outlier(spark):
     df = df.unionByName(spark.createDataFrame([(600, 9.0, -7.0)], df.schema))
     model = fit_isolation(df, ["a", "b"], {"a": 0.5, "b": 0.5}, trees=60, max_samples=601)
     got = {r["txn_id"]: r["novelty"] for r in model.transform(df).collect()}
-    assert max(got, key=got.get) == 600 and got[600] == pytest.approx(600 / 601)
+    assert max(got, key=got.get) == 600 and got[600] == pytest.approx(600 / 601, abs=0.01)
     blank = spark.createDataFrame([(1, 0.5, 0.5), (2, None, float("nan"))], "txn_id LONG, a DOUBLE, b DOUBLE")
     pair = {r["txn_id"]: r["novelty"] for r in model.transform(blank).collect()}
     assert pair[1] == pair[2]
@@ -60,9 +61,10 @@ def test_words_pairs_and_turns_agree(spark):
     assert a == b and ("ou", 1) in a and ("tu agent", 1) in a and not any(t == "a" for t, _ in a)
 
 
-def test_text_score_needs_both_classes_and_enough_texts(spark):
+def test_text_score_needs_both_classes(spark):
     few = spark.createDataFrame([(i, "pay now", 1) for i in range(30)], "episode_id LONG, text STRING, is_fraud INT")
-    assert text.fit_text(few).lr is None
+    none = text.fit_text(few)
+    assert none.lr is None and none.reason and {r["coercion_score"] for r in none.score(few).collect()} == {None}
     both = few.unionByName(spark.createDataFrame([(100 + i, "see you at lunch", 0) for i in range(30)], few.schema))
     model = text.fit_text(both)
     got = {r["episode_id"]: r["coercion_score"] for r in model.score(both).collect()}
@@ -75,7 +77,7 @@ def test_reasons_rank_the_feature_that_drove_the_score(spark):
     score = lambda d: d.withColumn("score", F.least(0.05 + 0.08 * F.col("amount_to_p95") + 0.1 * F.col("is_new_device"), F.lit(0.99)))
     got = {r["txn_id"]: r for r in explain(df, score, meds).collect()}
     assert [x["feature"] for x in got[1]["reasons"]] == ["amount_to_p95", "is_new_device"]
-    assert got[1]["reasons"][0]["text"] == REASON_TEXT["amount_to_p95"] and got[2]["reasons"] is None
+    assert got[1]["reasons"][0]["text"] == FEATURE_TEXT["amount_to_p95"] and got[2]["reasons"] == []
 
 
 def test_three_micro_batches_equal_one_batch_and_late_rows_are_counted(spark, tmp_path):
@@ -117,3 +119,9 @@ def test_the_batch_job_end_to_end(spark, sf_dir):
     _, gains = feedback_round(result, attacks, MODEL_FEATURES, 0.5, max_iter=3, max_depth=3)
     rows = gains.collect()
     assert rows and all(0 <= r["evasion_pre"] <= 1 and 0 <= r["evasion_post"] <= 1 for r in rows)
+
+
+def test_retention_is_refused_with_lifetime_features(tmp_path):
+    with pytest.raises(ValueError, match="cust_txn_total"):
+        OnlineFeatures(str(tmp_path), ["cust_txn_total", "cust_txn_1h"], retention_us=1)
+    OnlineFeatures(str(tmp_path), ["cust_txn_1h", "amount"], retention_us=1)
