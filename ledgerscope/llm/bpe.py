@@ -88,7 +88,7 @@ class Vocabulary:
 
 def encode_words(vocab: Vocabulary, distinct: list[bytes]) -> dict[bytes, bytes]:
     """Ids (little-endian unsigned 32-bit) of every word, walking their trie depth first."""
-    ids, pieces, follows, longest = vocab.ids, vocab.pieces, vocab.follows, vocab.longest
+    ids, pieces, follows, valid, longest = vocab.ids, vocab.pieces, vocab.follows, vocab.valid, vocab.longest
     out: dict[bytes, bytes] = {}
     path = [-1]  # path[d]: last token of the first d bytes of the current word
     before = b""
@@ -97,14 +97,19 @@ def encode_words(vocab: Vocabulary, distinct: list[bytes]) -> dict[bytes, bytes]
         while shared < most and word[shared] == before[shared]:
             shared += 1
         del path[shared + 1 :]
+        head = shared - len(pieces[path[shared]]) if shared else 0  # where the last token begins
         for end in range(shared + 1, len(word) + 1):
-            for start in range(max(0, end - longest), end):
-                token = ids.get(word[start:end])
-                if token is not None and (start == 0) == (path[start] < 0) and follows(path[start], token):
-                    path.append(token)
-                    break
-            else:
-                raise ValueError("a byte has no token")
+            # Only one token can end a prefix. Most often it is the one before with a byte more, or a new one.
+            token = ids.get(word[head:end])
+            before_it = path[head]
+            if token is None or not (valid.get((before_it, token)) or follows(before_it, token)):
+                for head in (end - 1, *range(end - 2, max(-1, end - longest - 1), -1)):
+                    token = ids.get(word[head:end])
+                    if token is not None and follows(path[head], token):
+                        break
+                else:
+                    raise ValueError("a byte has no token")
+            path.append(token)
         at, found = len(word), []
         while at:
             found.append(path[at])
@@ -127,8 +132,12 @@ class Encoder:
         self.uneven = re.compile(r"\s\s|\A\s|\s\Z")
         self.single = re.compile(r"(?<=\S) (?=\S)")
         self.units: dict[str, bytes] = {}
+        self.words: dict[bytes, bytes] = {}
 
-    def _words(self, unit: str) -> list[bytes]:
+    def _words(self, unit: str, space: str = "") -> list[bytes]:
+        if unit.isalpha() and (unit.isascii() or not self.rare.search(unit)):
+            return [(space + unit).encode()]
+        unit = space + unit
         if self.rare.search(unit):
             back = self.vocab.back
             return [bytes(back[c] for c in w) for w, _ in self.exact.pre_tokenize_str(unit)]
@@ -140,12 +149,13 @@ class Encoder:
 
     def _learn(self, units: set[str], heads: set[str]) -> dict[str, bytes]:
         """Encodings of new units, and of text starts, from one trie of their distinct words."""
-        found = {u: self._words(" " + u) for u in units}
+        found = {u: self._words(u, " ") for u in units}
         first = {u: self._words(u) for u in heads}
-        known = encode_words(self.vocab, list({w for words in (*found.values(), *first.values()) for w in words}))
-        if len(self.units) + len(units) > CACHE:
-            self.units.clear()
-        self.units.update((u, b"".join(map(known.__getitem__, words))) for u, words in found.items())
+        known = self.words
+        if len(known) > CACHE:
+            known.clear()
+        known.update(encode_words(self.vocab, list({w for words in (*found.values(), *first.values()) for w in words}.difference(known))))
+        self.units.update((u, known[words[0]] if len(words) == 1 else b"".join(map(known.__getitem__, words))) for u, words in found.items())
         return {u: b"".join(map(known.__getitem__, words)) for u, words in first.items()}
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -163,9 +173,11 @@ class Encoder:
         for pieces in parts:
             for units in pieces:
                 need.update(units[1:])
-        if len(self.units) > CACHE // 2 and len(need.difference(self.units)) + len(self.units) > CACHE:
+        fresh = need.difference(self.units)
+        if len(self.units) + len(fresh) > CACHE:
             self.units.clear()
-        heads = self._learn(need.difference(self.units), {units[0] for pieces in parts for units in pieces if units})
+            fresh = need
+        heads = self._learn(fresh, {units[0] for pieces in parts for units in pieces if units})
         get, out = self.units.__getitem__, []
         for (_, cut), pieces in zip(plain, parts, strict=True):
             whole = []
@@ -222,10 +234,12 @@ def _mapped(df: DataFrame, source: str, name: str, kind: T.DataType, arrow: pa.D
     return df.mapInArrow(run, schema)
 
 
-def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", drop_text: bool = True) -> DataFrame:
-    """Adds ``ids``, the token ids of the text as little-endian unsigned 32-bit integers."""
-    return _mapped(df, text, ids, T.BinaryType(), pa.binary(),
-                   lambda texts: encoder(path).encode([t or "" for t in texts]), drop_text)
+def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", drop_text: bool = True, by=encoder) -> DataFrame:
+    """Adds ``ids``, the token ids of the text as little-endian unsigned 32-bit integers.
+
+    ``by`` gives the encoder of a path in the Python worker.
+    """
+    return _mapped(df, text, ids, T.BinaryType(), pa.binary(), lambda texts: by(path).encode([t or "" for t in texts]), drop_text)
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded", drop_ids: bool = False) -> DataFrame:
