@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import bpe
+from . import bpe, library_ids
 from .common import saved
 
 CAPACITY = 2048
@@ -42,7 +42,7 @@ Bins = list[list[int]]
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, piece, start, length and checksum of the ids of every piece."""
-    ids = bpe.encode(docs.select("doc_id", "text"), path)
+    ids = bpe.encode(docs.select("doc_id", "text"), path, by=library_ids.encoder)
     ids = ids.select("doc_id", F.concat("ids", F.lit(SEPARATOR)).alias("ids"))
     cut = ids.withColumn("_first", F.expr(f"CASE WHEN octet_length(ids) div 4 % {capacity} = 0 THEN {capacity} ELSE octet_length(ids) div 4 % {capacity} END").cast("int"))
     cut = cut.withColumn("piece", F.explode(F.sequence(F.lit(0), F.expr(f"CAST((octet_length(ids) div 4 - 1) div {capacity} AS INT)"))))
