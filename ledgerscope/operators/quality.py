@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import (
@@ -14,9 +14,13 @@ from ..functions.columns import uniform
 def label_noise(
     df: DataFrame, splits: tuple[str, ...] = ("train", "calib"), missed: float = MISSED_FRAUD_RATE,
     false: float = FALSE_FRAUD_RATE, seed: int = 31, label: str = "y", tie: str = "txn_id",
+    draw: Column | None = None,
 ) -> DataFrame:
-    """Adds ``y_observed``: labels with unreported and mistaken fraud in the given splits only."""
-    u = uniform(seed, F.col(tie))
+    """Adds ``y_observed``: labels with unreported and mistaken fraud in the given splits only.
+
+    ``draw`` gives each row's number in [0, 1); by default a hash of ``tie``.
+    """
+    u = uniform(seed, F.col(tie)) if draw is None else draw
     y = F.col(label)
     flipped = F.when((y == 1) & (u < missed), 0).when((y == 0) & (u < false), 1).otherwise(y)
     return df.withColumn("y_observed", F.when(F.col("split").isin(*splits), flipped).otherwise(y).cast("int"))
@@ -24,12 +28,12 @@ def label_noise(
 
 def mask_columns(
     df: DataFrame, columns: list[str] = OPTIONAL_TELEMETRY, coverage: float = TELEMETRY_COVERAGE,
-    seed: int = 7, tie: str = "txn_id",
+    seed: int = 7, tie: str = "txn_id", draw: Column | None = None,
 ) -> DataFrame:
     """Removes the columns together from a share of rows, independent of the label."""
     if coverage >= 0.999:
         return df
-    keep = uniform(seed, F.col(tie)) < coverage
+    keep = (uniform(seed, F.col(tie)) if draw is None else draw) < coverage
     return df.withColumns({c: F.when(keep, F.col(c)) for c in columns})
 
 

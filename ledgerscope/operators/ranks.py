@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from ..constants import CALIBRATION_SIZE, TEST_SIZE
 from ..functions.columns import uniform
+from ..session import stored
 
 _BINS = 65_536
+_SORTED = 100_000  # rows around a boundary that are sorted at once
 
 
 def nth_value(df: DataFrame, col: str, n: int) -> tuple[int, int]:
@@ -38,19 +40,45 @@ def nth_value(df: DataFrame, col: str, n: int) -> tuple[int, int]:
     return lo, below
 
 
-def _tie_number(df: DataFrame, tie: str) -> Column:
-    """Whole-number tie-break: the id itself, or its hash for text ids."""
-    kind = df.schema[tie].dataType.typeName()
-    return F.col(tie).cast("long") if kind in ("long", "integer", "short", "byte") else F.shiftrightunsigned(F.xxhash64(tie), 1)
+def boundaries(df: DataFrame, positions: list[int], order: str = "ts_us", tie: str = "txn_id") -> list[tuple]:
+    """The (order, tie) found at 0-based positions of the whole order, by value of both columns.
+
+    Reads a narrow copy of the two columns. Histograms serve all positions at
+    once and are refined until few rows are left around each; those are sorted.
+    """
+    narrow = stored(df.select(F.col(order).alias("o"), F.col(tie).alias("t")).filter("o IS NOT NULL"), "order")
+    n, low, high = narrow.agg(F.count(F.lit(1)), F.min("o"), F.max("o")).first()
+    if any(p < 0 or p >= n for p in positions):
+        raise ValueError(f"a position lies outside 0..{n - 1}")
+    spans = [[low, high, 0, n] for _ in positions]  # first and last value, rows below, rows inside
+    while any(inside > _SORTED and lo < hi for lo, hi, _, inside in spans):
+        wide = [(i, lo, max(1, -(-(hi - lo + 1) // _BINS)), hi) for i, (lo, hi, _, inside) in enumerate(spans) if inside > _SORTED and lo < hi]
+        hit = F.array(*[
+            F.when(F.col("o").between(lo, hi), F.struct(F.lit(i).alias("i"), F.expr(f"(o - {lo}L) div {width}L").alias("b")))
+            for i, lo, width, hi in wide])
+        bins = narrow.select(F.explode(hit).alias("h")).filter("h IS NOT NULL").groupBy("h.i", "h.b").count().orderBy("i", "b").collect()
+        for i, lo, width, hi in wide:
+            below = spans[i][2]
+            for row in (r for r in bins if r["i"] == i):
+                if below + row["count"] > positions[i]:
+                    spans[i] = [lo + row["b"] * width, min(hi, lo + (row["b"] + 1) * width - 1), below, row["count"]]
+                    break
+                below += row["count"]
+    out = []
+    for p, (lo, hi, below, _) in zip(positions, spans, strict=True):
+        row = narrow.filter(F.col("o").between(lo, hi)).orderBy("o", "t").offset(p - below).limit(1).first()
+        out.append((row["o"], row["t"]))
+    return out
+
+
+def from_boundary(at, cut, order: str, tie: str) -> Column:
+    """Predicate: the row lies at or after the boundary."""
+    return (F.col(order) > F.lit(at)) | ((F.col(order) == F.lit(at)) & (F.col(tie) >= F.lit(cut)))
 
 
 def at_or_after(df: DataFrame, n: int, order: str = "ts_us", tie: str = "txn_id") -> Column:
     """Predicate: the row's position in (order, tie) is n or later."""
-    t = _tie_number(df, tie)
-    at, below = nth_value(df.select(order), order, n)
-    ties = df.filter(F.col(order) == at).select(t.alias("__t"))
-    cut, _ = nth_value(ties, "__t", n - below)
-    return (F.col(order) > at) | ((F.col(order) == at) & (t >= cut))
+    return from_boundary(*boundaries(df, [n], order, tie)[0], order, tie)
 
 
 def temporal_split(
@@ -61,12 +89,12 @@ def temporal_split(
     n = df.count()
     test_start = int(n * (1 - test))
     calib_start = int(test_start * (1 - calib))
-    return df.withColumn(
-        "split",
-        F.when(at_or_after(df, test_start, order, tie), "test")
-        .when(at_or_after(df, calib_start, order, tie), "calib")
-        .otherwise("train"),
-    )
+    if not n:
+        return df.withColumn("split", F.lit(None).cast("string"))
+    first_test, first_calib = boundaries(df, [min(test_start, n - 1), min(calib_start, n - 1)], order, tie)
+    is_test = from_boundary(*first_test, order, tie) if test_start < n else F.lit(False)
+    is_calib = from_boundary(*first_calib, order, tie) if calib_start < n else F.lit(False)
+    return df.withColumn("split", F.when(is_test, "test").when(is_calib, "calib").otherwise("train"))
 
 
 def tail_fraction(df: DataFrame, fraction: float, order: str = "ts_us", tie: str = "txn_id") -> DataFrame:
@@ -85,9 +113,8 @@ def best_per_group(df: DataFrame, group: list[str], by: str, tie: str = "txn_id"
     An aggregate, so a group of any size is reduced before it is shuffled.
     """
     rest = [c for c in df.columns if c not in group]
-    top = df.groupBy(*group).agg(F.max(by).alias("__top"))
-    same = df.join(top, group).filter(F.col(by) == F.col("__top")).drop("__top")
-    return same.groupBy(*group).agg(F.min_by(F.struct(*rest), tie).alias("r")).select(*group, "r.*")
+    best = F.min_by(F.struct(*rest), F.struct((-F.col(by)).alias("by"), F.col(tie).alias("tie"))).alias("r")
+    return df.filter(F.col(by).isNotNull()).groupBy(*group).agg(best).select(*group, "r.*")
 
 
 def keep_positives(df: DataFrame, n: int, label: str = "y", shuffle: Column | None = None, seed: int = 5,

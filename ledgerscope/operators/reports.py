@@ -237,12 +237,50 @@ def paired_lift(df: DataFrame, level: str, s1: str, t1: float, s2: str, t2: floa
         F.avg(s1).alias("mean_score_full"), F.avg(s2).alias("mean_score_without"))
 
 
+MEDIAN_BINS = 4_096
+
+
 def column_medians(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Median of each column over observed values, as (feature, median)."""
-    pairs = F.explode(F.array(*[
-        F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v")) for c in columns]))
-    long = df.select(pairs.alias("p")).select("p.feature", "p.v").filter("v IS NOT NULL AND NOT isnan(v)")
-    return median_by(long, ["feature"], "v", "median")
+    """Median of each column over observed values, as (feature, median).
+
+    Histograms of all columns at once close in on the middle: each pass moves bin
+    counts only (summed within a task first), never rows, and the result is exact.
+    Infinite values count as not observed.
+    """
+    names = {f"c{i}": c for i, c in enumerate(columns)}
+    clean = {k: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) for k, c in names.items()}
+    values = df.select(*[F.when(F.abs(e) < float("inf"), e).alias(k) for k, e in clean.items()])
+    ends = values.agg(*[f(k).alias(f"{k}_{tag}") for k in names for tag, f in (("n", F.count), ("lo", F.min), ("hi", F.max))]).first()
+    # lowest and highest value around the middle, rows below it, 0-based places of the two middle values
+    state = {k: (ends[f"{k}_lo"], ends[f"{k}_hi"], 0, (ends[f"{k}_n"] - 1) // 2, ends[f"{k}_n"] // 2) for k in names if ends[f"{k}_n"]}
+    found: dict[str, float] = {}
+    while state:
+        for k in [k for k, (lo, hi, *_) in state.items() if lo == hi]:
+            found[k] = state.pop(k)[0]
+        if not state:
+            break
+        hits = []
+        for k, (lo, hi, *_) in state.items():
+            share = (F.col(k) / 2 - lo / 2) / (hi / 2 - lo / 2)  # halves: the range itself may overflow
+            b = F.least(F.floor(share * MEDIAN_BINS), F.lit(MEDIAN_BINS - 1)).cast("int")
+            hits.append(F.when(F.col(k).between(lo, hi), F.struct(F.lit(k).alias("k"), b.alias("b"), F.col(k).alias("v"))))
+        bins = values.select(F.explode(F.array(*hits)).alias("h")).filter("h IS NOT NULL").groupBy("h.k", "h.b").agg(
+            F.count(F.lit(1)).alias("n"), F.min("h.v").alias("lo"), F.max("h.v").alias("hi")).collect()
+        for k, (_, _, below, first, second) in list(state.items()):
+            left = None
+            for row in sorted((r for r in bins if r["k"] == k), key=lambda r: r["b"]):
+                if left is not None:  # the middle lies between two bins
+                    found[k] = (left + row["lo"]) / 2
+                    del state[k]
+                    break
+                if below + row["n"] > first:
+                    if below + row["n"] > second:
+                        state[k] = (row["lo"], row["hi"], below, first, second)
+                        break
+                    left = row["hi"]
+                below += row["n"]
+    rows = [(names[k], float(v)) for k, v in found.items()]
+    return df.sparkSession.createDataFrame(rows, "feature STRING, median DOUBLE")
 
 
 def brier(scored: DataFrame) -> DataFrame:

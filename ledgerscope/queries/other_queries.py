@@ -10,7 +10,7 @@ from .. import constants as K
 from ..functions import columns as C
 from ..operators import catalogue as CAT
 from ..operators import decisions, explain, feedback, graph, quality, ranks, reports, requests
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, stored
 from ..sources import files
 from ..sources import tables as T
 from .feature_queries import BASE_SQL, FEATURE_SQL, feature_table
@@ -204,7 +204,7 @@ X_SQL = (
 
 @register("x1_reason_codes", X_SQL + f"SELECT b.txn_id, {r('b.s0', 'base_score')}, coalesce(string_agg(rk.candidate, ',' ORDER BY i) FILTER (i <= 4), '') AS reasons FROM base b LEFT JOIN rk ON b.txn_id = rk.txn_id GROUP BY b.txn_id, b.s0")
 def _x1(spark, sf):
-    df = rule_features(spark, sf)
+    df = stored(rule_features(spark, sf), "features")  # medians and scores read it, features are made once
     meds = requests.median_row(reports.column_medians(df, X_CANDIDATES), X_CANDIDATES)
     score = lambda d: decisions.apply_rules(d).withColumn("score", F.col("rule_score"))
     out = explain.explain(df, score, meds, X_CANDIDATES, k=4)
@@ -548,16 +548,23 @@ def _m5(spark, sf):
 
 # Quality.
 
-@query("q1_label_noise")
+DRAW = "(txn_id * 7919 % 10007) / 10007e0"
+_NOISY = (f"CASE WHEN split = 'test' THEN is_fraud WHEN is_fraud = 1 AND {DRAW} < {K.MISSED_FRAUD_RATE}e0 THEN 0 "
+          f"WHEN is_fraud = 0 AND {DRAW} < {K.FALSE_FRAUD_RATE}e0 THEN 1 ELSE is_fraud END")
+
+
+@register("q1_label_noise", f"WITH {LEDGER_SQL}, {SPLIT_SQL} SELECT split, {n('count(*)', 'rows')}, {n(f'count(*) FILTER (is_fraud <> {_NOISY})', 'changed')}, {n(f'sum({_NOISY})', 'observed')} FROM splits GROUP BY split")
 def _q1(spark, sf):
-    df = quality.label_noise(split_ledger(spark, sf).withColumn("y", F.col("is_fraud")))
-    return df.groupBy("split").agg(F.count(F.lit(1)).alias("rows"), F.sum((F.col("y") != F.col("y_observed")).cast("int")).alias("changed"))
+    df = quality.label_noise(split_ledger(spark, sf).withColumn("y", F.col("is_fraud")), draw=F.expr(DRAW))
+    return df.groupBy("split").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum((F.col("y") != F.col("y_observed")).cast("int")).alias("changed"), F.sum("y_observed").alias("observed"))
 
 
-@query("q2_telemetry_masking")
+@register("q2_telemetry_masking", f"WITH {LEDGER_SQL}, x AS (SELECT 'all' AS label, * FROM ledger UNION ALL SELECT CASE WHEN is_fraud = 1 THEN 'fraud' ELSE 'legit' END, * FROM ledger) "
+          + " UNION ALL ".join(f"SELECT label, '{c}' AS \"column\", {r(f'avg(CASE WHEN {DRAW} < {K.TELEMETRY_COVERAGE}e0 THEN 0.0 ELSE 1.0 END)', 'missing')} FROM x GROUP BY label" for c in K.OPTIONAL_TELEMETRY))
 def _q2(spark, sf):
     full = T.ledger(spark, sf).fillna(0, subset=K.OPTIONAL_TELEMETRY)
-    return reports.telemetry_coverage(quality.mask_columns(full))
+    return reports.telemetry_coverage(quality.mask_columns(full, draw=F.expr(DRAW)))
 
 
 @register("q3_split_overlap", f"WITH {LEDGER_SQL}, {SPLIT_SQL} SELECT max(ts_us) FILTER (split = 'train') > min(ts_us) FILTER (split = 'calib') AS train_overlaps_calib, max(ts_us) FILTER (split = 'calib') > min(ts_us) FILTER (split = 'test') AS calib_overlaps_test FROM splits")
@@ -565,11 +572,14 @@ def _q3(spark, sf):
     return quality.split_overlap(split_ledger(spark, sf))
 
 
-@query("q4_causality_gap")
+Q4 = ["cust_amt_24h", "amount_z_customer", "cust_known_merchants", "device_customer_count", "merchant_repeat_rate", "benef_distinct_payers_24h"]
+
+
+@register("q4_causality_gap", "SELECT CAST(floor(count(*) * 0.6) AS BIGINT) AS rows, " + ", ".join(f"0e0 AS {c}" for c in Q4) + " FROM events")
 def _q4(spark, sf):
     from ..operators.features import features
 
-    names = ["cust_amt_24h", "amount_z_customer", "cust_known_merchants", "device_customer_count", "merchant_repeat_rate", "benef_distinct_payers_24h"]
+    names = Q4
     led = T.ledger(spark, sf)
     cut = ranks.at_or_after(led.withColumn("ts_us", F.unix_micros("ts")), int(led.count() * 0.6))
     early = led.withColumn("ts_us", F.unix_micros("ts")).filter(~cut).drop("ts_us")
