@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..constants import FORBIDDEN_FEATURES, HIGH_RISK_COUNTRIES, LIQUID_CATEGORIES
 from ..constants import AUTH_METHODS, CATEGORIES, DEVICE_OS, PERSONAS, RAILS
 from ..operators.features import FEATURE_NAMES, features
+from ..session import stored
 from ..sources import tables as T
 from .registry import CUSTOMERS_SQL, EPISODES_SQL, LEDGER_SQL, MERCHANTS_SQL, fixed, query, r
 
@@ -241,9 +242,11 @@ GROUPS = {
 }
 
 
-def feature_table(spark, sf_dir, **options):
+def feature_table(spark, sf_dir, store=False, **options):
+    """``store`` writes the computed ledger view once, for jobs that read it for many entities."""
+    ledger = T.ledger(spark, sf_dir)
     return features(
-        T.ledger(spark, sf_dir), T.customers(spark, sf_dir), T.merchants(spark, sf_dir),
+        stored(ledger, "ledger") if store else ledger, T.customers(spark, sf_dir), T.merchants(spark, sf_dir),
         T.episode_stats(spark, sf_dir), **options,
     )
 
@@ -257,7 +260,7 @@ def _sql(names: list[str]) -> str:
 
 def _spark(names: list[str]):
     def run(spark, sf_dir):
-        df = feature_table(spark, sf_dir, columns=names)
+        df = feature_table(spark, sf_dir, store=len(names) == len(FEATURE_NAMES), columns=names)
         return df.select("txn_id", *[fixed(F.col(c), PLACES.get(c, 6)).alias(c) for c in names])
 
     return run

@@ -189,3 +189,37 @@ def test_json_safe_numbers_and_csv_columns(spark, tmp_path):
     files.write_csv(df, str(tmp_path / "c"), ["v", "id", "absent"])
     back = spark.read.option("header", "true").csv(str(tmp_path / "c"))
     assert back.columns == ["v", "id", "absent"] and back.count() == 3
+
+
+@pytest.mark.parametrize("text_ids", [False, True])
+def test_boundaries_with_one_instant_and_refined_bins(spark, monkeypatch, text_ids):
+    monkeypatch.setattr(ranks, "_SORTED", 20)
+    rng = random.Random(4)
+    for times in ([7] * 300, [5] * 270 + [rng.randint(-(10**15), 10**15) for _ in range(30)]):
+        rows = [(f"t{i:04d}" if text_ids else i, t) for i, t in enumerate(times)]
+        rng.shuffle(rows)
+        df = spark.createDataFrame(rows, f"txn_id {'STRING' if text_ids else 'LONG'}, ts_us LONG")
+        ordered = sorted((t, i) for i, t in rows)
+        at = [0, 1, 150, 298, 299]
+        assert ranks.boundaries(df, at) == [ordered[p] for p in at]
+        place = {r["txn_id"]: r["place"] for r in ranks.place(df).collect()}
+        assert all(place[i] == n + 1 for n, (_, i) in enumerate(ordered))
+
+
+def test_medians_close_in_on_the_middle(spark):
+    import statistics
+
+    from ledgerscope.operators import reports
+
+    rng = random.Random(9)
+    columns = {
+        "even": [rng.gauss(0, 1e6) for _ in range(400)], "ties": [3.0] * 390 + [rng.random() for _ in range(10)],
+        "wide": [rng.choice([-1, 1]) * 10.0 ** rng.randint(-200, 300) for _ in range(400)],
+        "gaps": [None if i % 3 else float("nan") if i % 2 else float(i) for i in range(400)],
+        "two": [1.0, 2.0] + [None] * 398, "none": [None] * 400,
+        "infinite": [float("inf"), float("-inf")] + [float(i) for i in range(398)],
+    }
+    df = spark.createDataFrame(list(zip(*columns.values())), ", ".join(f"{c} DOUBLE" for c in columns))
+    got = {r["feature"]: r["median"] for r in reports.column_medians(df, list(columns)).collect()}
+    want = {c: [x for x in v if x is not None and abs(x) < float("inf")] for c, v in columns.items()}
+    assert got == {c: statistics.median(v) for c, v in want.items() if v}
