@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -25,12 +26,23 @@ def shared_folder(spark: SparkSession) -> str:
     return _LOCAL.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="ledgerscope-llm-"))
 
 
+def release(spark: SparkSession) -> None:
+    """Lets go of finished jobs, so that Spark's context cleaner removes their shuffle files now.
+
+    The cleaner acts when the driver's JVM collects garbage, which a driver with little
+    to do puts off while the files fill the executors' disks.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Writes a table to the shared folder and reads it back: lineage ends here, and lost
     executors cost only their own tasks. The files go when the application ends."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    release(spark)
     jvm, sc = spark._jvm, spark.sparkContext
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(target)

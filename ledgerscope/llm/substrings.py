@@ -14,8 +14,8 @@ too, in the same document or another.
   a full bitmap would only send more windows.
 
 Repeats inside one batch are known at once: one window stands for them under the hash
-itself, the others travel under keys of their own. A passage in a third of all documents
-never gathers in one task.
+itself, the others travel as one list for each document. A passage in a third of all
+documents never gathers in one task.
 
 Nulls and odd input: null and empty texts have no words. Repeated rows are each other's
 repeats. Rows with the same id and different texts are told apart by a checksum of the
@@ -116,6 +116,7 @@ def _candidate_starts(text: _Text, shared: np.ndarray, window: int, period: int,
 
 
 _KEY = ["doc_id", "_sum"]
+_SPREAD = 0x5851F42D4C957F2D  # an odd number
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW, period: int = PERIOD, cover: tuple[int, ...] = COVER, bits: int = BITS) -> DataFrame:
@@ -129,14 +130,15 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, period: int = PERIOD
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in _texts(batches):
-            rows, starts, sums, digests = [], [], [], []
+            rows, starts, sums, digests, sums_of = [], [], [], [], {}
             for i, t in enumerate(texts):
                 text = _Text(t)
                 at = _candidate_starts(text, shared.value, window, period, cover)
                 if len(at):
                     rows.append(np.full(len(at), i))
                     starts.append(at)
-                    sums.append(np.full(len(at), zlib.crc32(t.encode()), np.int64))
+                    sums_of[i] = zlib.crc32(t.encode())
+                    sums.append(np.full(len(at), sums_of[i], np.int64))
                     digests.extend(map(xxhash.xxh3_128_digest, text.windows(at, window)))
             if not rows:
                 continue
@@ -148,20 +150,27 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, period: int = PERIOD
             known[order] = same | np.append(same[1:], False)
             spread = np.zeros(len(row), bool)  # all but the first of a run
             spread[order] = same
-            own = (start.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ check.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)).view(np.int64)
-            h1, h2 = np.where(spread, own, pair[:, 0]), np.where(spread, row + 1, pair[:, 1])
-            ids = batch.column(0).take(pa.array(row))
+            alone = np.flatnonzero(~spread)
+            owners, first = np.unique(row[spread], return_index=True)
+            lists = np.split(start[spread], first[1:]) if len(owners) else []
+            own = np.array([sums_of[i] for i in owners.tolist()], np.int64)
+            ids = batch.column(0).take(pa.array(np.concatenate([row[alone], owners])))
+            none = len(owners)
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(check), pa.array(start.astype(np.int32)), pa.array(h1), pa.array(h2), pa.array(known)],
-                names=["doc_id", "_sum", "start", "h1", "h2", "known"])
+                [ids, pa.array(np.concatenate([check[alone], own])), pa.array(start[alone].tolist() + [None] * none, pa.int32()),
+                 pa.array([None] * len(alone) + lists, pa.list_(pa.int32())),
+                 pa.array(np.concatenate([pair[alone, 0], own * _SPREAD])), pa.array(np.concatenate([pair[alone, 1], owners])),
+                 pa.array(np.concatenate([known[alone], np.ones(none, bool)]))],
+                names=["doc_id", "_sum", "start", "more", "h1", "h2", "known"])
 
-    schema = T.StructType([id_type, *T._parse_datatype_string("_sum long, start int, h1 long, h2 long, known boolean").fields])
+    schema = T.StructType([id_type, *T._parse_datatype_string("_sum long, start int, more array<int>, h1 long, h2 long, known boolean").fields])
     candidates = source.mapInArrow(hashed, schema)
     same = Window.partitionBy("h1", "h2").orderBy("h1")
     others = F.lag("h1").over(same).isNotNull() | F.lead("h1").over(same).isNotNull()
-    repeated = candidates.withColumn("_r", F.col("known") | others).where("_r").select(*_KEY, "start")
+    repeated = candidates.withColumn("_r", F.col("known") | others).where("_r")
     # A document's own starts only: bounded by its length.
-    return repeated.groupBy(*_KEY).agg(F.sort_array(F.collect_set("start")).alias("starts"))
+    starts = F.flatten(F.collect_list(F.coalesce("more", F.array("start"))))
+    return repeated.groupBy(*_KEY).agg(F.sort_array(F.array_distinct(starts)).alias("starts"))
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, period: int = PERIOD, cover: tuple[int, ...] = COVER, bits: int = BITS) -> DataFrame:
