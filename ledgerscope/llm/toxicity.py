@@ -126,8 +126,8 @@ def fit(training: DataFrame, rounds: int = ROUNDS, shards: int = SHARDS) -> tupl
                 yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(z[at]), pa.array(n[at])], names=["place", "z", "n"])
 
             # At most 2^18 rows come back.
-            new = dealt.mapInArrow(learned, "place long, z double, n double").groupBy("place").agg(F.avg("z").alias("z"), F.avg("n").alias("n")).toPandas()
-            at = new["place"].to_numpy(np.int64)
+            new = dealt.mapInArrow(learned, "place long, z double, n double").groupBy("place").agg(F.avg("z").alias("z"), F.avg("n").alias("n")).toArrow()
+            at = new["place"].to_numpy()
             z[at], n[at] = new["z"].to_numpy(), new["n"].to_numpy()
             state.destroy()
     finally:
