@@ -9,13 +9,17 @@ shingles; the answer is the connected components of all links.
    is the same for all. The order here is (seen in several sets of one batch, hash): a
    bitmap of fixed size holds the first part, and only moves tokens of common passages
    to the back. Tokens that one class alone holds drop out.
-3. *Groups.* Classes with an equal minimum hash are compared completely in chunks of
+3. *Cards.* Each class that is left has a card: its size, minimum hashes and the parity of
+   its tokens in twice as many places. Where the bits of two cards differ, the sets differ, so a count of
+   differing bits bounds the overlap from above; full sets are only fetched for classes
+   that have a possible partner.
+4. *Groups.* Classes with an equal minimum hash are compared completely in chunks of
    bounded size, under three hash functions; components of what links are the groups.
-4. *Matrix.* For each group chunk the union of its members' tokens is stored as (token,
+5. *Matrix.* For each group chunk the union of its members' tokens is stored as (token,
    chunk) rows. A class and a chunk of another group qualify when the class's overlap with
-   the union can reach the threshold: they share a token, and their sizes are compatible.
-   Only qualifying chunks are opened and compared exactly, and of a chunk one link is
-   enough, since its members are one group already.
+   the union can reach the threshold: they share a token, their sizes are compatible and
+   the cards allow it. Only qualifying chunks are opened and compared exactly, and of a
+   chunk one link is enough, since its members are one group already.
 
 Pairs inside a group are never listed, so a family with a third of all documents costs
 its members' tokens, not their square; yet every link between different groups is found,
@@ -32,11 +36,12 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from . import bitmap
 from .common import saved
@@ -45,39 +50,64 @@ SHINGLE = 5
 BITS = 25
 CHUNK = 256  # classes compared completely at a time
 ASKERS = 1_024  # classes that ask one chunk at a time
-SLICE = 4_000_000
+PARITY = 1_024  # least bits of a card
+SLICE = 2_000_000
 _B = np.uint64(0x9E3779B97F4A7C15)
 _KEYS = tuple(np.uint64(k) for k in (1, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
 
 
-class _WordHashes(dict):
-    """64-bit hash of a word, worked out once; starts anew at half a million words."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-_HASHES = _WordHashes()
-
-
-def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct hashes of the word shingles; A-Z are lower-cased."""
-    words = (text or "").encode().lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
-    width = min(size, len(words))
-    with np.errstate(over="ignore"):
-        total = np.full(len(words) - width + 1, width, np.uint64)
-        for i in range(width):
-            total = total * _B + h[i : len(words) - width + 1 + i]
-        total ^= total >> np.uint64(32)
-        total *= _KEYS[2]
-        total ^= total >> np.uint64(29)
-    return np.unique(total)
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_IS_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+_LONG = 1 << 12
+_WEIGHTS = np.random.default_rng(20240607).integers(0, 2**63, _LONG, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = h ^ (h >> np.uint64(32))
+    h = h * _KEYS[2]
+    return h ^ (h >> np.uint64(29))
+
+
+def _word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of every lower-cased word of a byte string, and where it starts: multilinear in its bytes."""
+    raw = _LOWER[np.frombuffer(data, np.uint8)]
+    inside = ~_IS_SPACE[raw]
+    edges = np.diff(inside.astype(np.int8), prepend=0, append=0)
+    starts, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+    if not len(starts):
+        return np.zeros(0, np.uint64), starts
+    lengths = ends - starts
+    first = np.cumsum(lengths) - lengths
+    at = np.arange(int(lengths.sum())) - np.repeat(first, lengths)
+    values = (raw[inside].astype(np.uint64) + np.uint64(1)) * _WEIGHTS[at % _LONG]
+    if lengths.max() > _LONG:
+        values *= (2 * (at // _LONG) + 1).astype(np.uint64)
+    return _mixed(np.add.reduceat(values, first) + lengths.astype(np.uint64) * _B), starts
+
+
+def shingle_sets(texts: list[str | None], size: int = SHINGLE) -> list[np.ndarray]:
+    """Sorted distinct hashes of each text's word shingles; A-Z are lower-cased."""
+    coded = [(t or "").encode() for t in texts]
+    h, starts = _word_hashes(b"\n".join(coded))
+    begins = np.cumsum([0, *(len(c) + 1 for c in coded)])
+    first = np.searchsorted(starts, begins)
+    whole = np.full(max(0, len(h) - size + 1), size, np.uint64)
+    for i in range(size):
+        whole = whole * _B + h[i : len(whole) + i]
+    whole = _mixed(whole)
+    out = []
+    for low, high in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+        if high - low >= size:
+            out.append(np.unique(whole[low : high - size + 1]))
+        elif high > low:  # fewer words: all of them are the one shingle
+            total = np.full(1, high - low, np.uint64)
+            for w in h[low:high]:
+                total = total * _B + w
+            out.append(_mixed(total))
+        else:
+            out.append(np.zeros(0, np.uint64))
+    return out
 
 
 def overlap_needed(n: int, percent: int) -> int:
@@ -92,7 +122,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, l
         for i, t in enumerate(texts):
             size += len(t or "")
             if size >= SLICE or i == len(texts) - 1:
-                yield batch.slice(start, i + 1 - start), [shingles(x) for x in texts[start : i + 1]]
+                yield batch.slice(start, i + 1 - start), shingle_sets(texts[start : i + 1])
                 start, size = i + 1, 0
 
 
@@ -113,42 +143,58 @@ def common_tokens(docs: DataFrame) -> DataFrame:
 
 
 def signatures(docs: DataFrame, common: np.ndarray, percent: int) -> DataFrame:
-    """doc_id, n, class, and the tokens that can matter (null for a copy inside a batch)."""
+    """doc_id, n, class; and unless a copy inside the batch has them: minimum hashes, parity bits, tokens that can matter."""
     shared = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, sets in _sets(batches):
             seen: set[int] = set()
-            names, tokens = [], []
+            names, least, parity, tokens = [], [], [], []
             for s in sets:
                 names.append(_name(s) if len(s) else None)
                 if names[-1] is None or names[-1] in seen:
+                    least.append(None)
+                    parity.append(None)
                     tokens.append(None)
                     continue
                 seen.add(names[-1])
+                with np.errstate(over="ignore"):
+                    least.append([int((s * k).min().view(np.int64)) for k in _KEYS])
+                parity.append(_card(s))
                 frequent = bitmap.holds(shared.value, s)
                 ordered = np.concatenate([s[~frequent], s[frequent]])
                 tokens.append(ordered[: len(s) - overlap_needed(len(s), percent) + 1].view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.int64()),
-                 pa.array(tokens, pa.list_(pa.int64()))],
-                names=["doc_id", "n", "class", "tokens"])
+                 pa.array(least, pa.list_(pa.int64())), pa.array(parity, pa.binary()), pa.array(tokens, pa.list_(pa.int64()))],
+                names=["doc_id", "n", "class", "least", "parity", "tokens"])
 
     source = docs.select("doc_id", "text")
     kind = source.schema["doc_id"].dataType.simpleString()
-    return source.mapInArrow(run, f"doc_id {kind}, n long, class long, tokens array<long>")
+    return source.mapInArrow(run, f"doc_id {kind}, n long, class long, least array<long>, parity binary, tokens array<long>")
 
 
 def shared_tokens(signed: DataFrame) -> DataFrame:
-    """(h, class, n) of tokens that at least two classes hold."""
-    rows = signed.where("tokens IS NOT NULL").select(F.explode("tokens").alias("h"), "class", "n")
+    """(h, class) of tokens that at least two classes hold."""
+    rows = signed.where("tokens IS NOT NULL").select(F.explode("tokens").alias("h"), "class")
     whole = Window.partitionBy("h")
     several = rows.withColumn("_low", F.min("class").over(whole)).withColumn("_high", F.max("class").over(whole))
-    return several.where("_low < _high").select("h", "class", "n").distinct()
+    return several.where("_low < _high").select("h", "class").distinct()
+
+
+def _first(rows: DataFrame) -> DataFrame:
+    """One row of each class."""
+    return rows.withColumn("_k", F.row_number().over(Window.partitionBy("class").orderBy("n"))).where("_k = 1").drop("_k")
+
+
+def class_cards(signed: DataFrame, tokens: DataFrame) -> DataFrame:
+    """(class, n, least, parity) of the classes that hold a shared token."""
+    rows = signed.where("tokens IS NOT NULL").select("class", "n", "least", "parity")
+    return _first(rows).join(tokens.select("class").distinct(), "class", "left_semi")
 
 
 def class_sets(docs: DataFrame, wanted: DataFrame, bits: int) -> DataFrame:
-    """(class, n, least, tokens as bytes) of the wanted classes, from a second pass over the texts."""
+    """(class, set as bytes) of the wanted classes, from another pass over the texts."""
     perhaps = docs.sparkSession.sparkContext.broadcast(bitmap.build(wanted.select(F.col("class").alias("h")), bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,15 +203,12 @@ def class_sets(docs: DataFrame, wanted: DataFrame, bits: int) -> DataFrame:
             names = np.fromiter(kept, np.int64, len(kept))
             if len(names):
                 names = names[bitmap.holds(perhaps.value, names.view(np.uint64))]
-            with np.errstate(over="ignore"):
-                least = [[int((kept[c] * k).min().view(np.int64)) for k in _KEYS] for c in names.tolist()]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(names), pa.array([len(kept[c]) for c in names.tolist()], pa.int64()), pa.array(least, pa.list_(pa.int64())),
-                 pa.array([kept[c].tobytes() for c in names.tolist()], pa.binary())], names=["class", "n", "least", "set"])
+                [pa.array(names), pa.array([len(kept[c]) for c in names.tolist()], pa.int64()),
+                 pa.array([kept[c].tobytes() for c in names.tolist()], pa.binary())], names=["class", "n", "set"])
 
-    found = docs.select("text").mapInArrow(run, "class long, n long, least array<long>, set binary")
-    one = found.withColumn("_k", F.row_number().over(Window.partitionBy("class").orderBy("n"))).where("_k = 1").drop("_k")
-    return one.join(wanted.select("class"), "class", "left_semi")
+    found = docs.select("text").mapInArrow(run, "class long, n long, set binary")
+    return _first(found).drop("n").join(wanted.select("class").distinct(), "class", "left_semi")
 
 
 def _overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
@@ -198,16 +241,111 @@ def _unpacked(column) -> list[np.ndarray]:
     return [np.frombuffer(x, np.uint64) for x in column]
 
 
-def group_links(sets: DataFrame, percent: int, chunk: int = CHUNK) -> DataFrame:
-    """Links (a, b) that join what is connected inside each chunk of an equal minimum hash."""
-    keyed = sets.select("class", "set", F.posexplode("least").alias("_j", "_m"))
+def _card(s: np.ndarray) -> bytes:
+    """Parity of the tokens per place: at least twice as many places as tokens, a power of two."""
+    places = max(PARITY, 1 << int(2 * len(s) - 1).bit_length())
+    counts = np.bincount(((s >> np.uint64(20)) % np.uint64(places)).astype(np.int64), minlength=places)
+    return np.packbits(counts & 1 == 1).tobytes()
+
+
+def _folded(bits: list[bytes], places: int) -> np.ndarray:
+    """Cards of one width as 0/1 rows, folded to fewer places."""
+    rows = np.unpackbits(np.frombuffer(b"".join(bits), np.uint8).reshape(len(bits), -1), axis=1)
+    return (rows.reshape(len(bits), -1, places).sum(axis=1) & 1).astype(np.float32)
+
+
+def _possible(a_bits: list[bytes], a_n: np.ndarray, b_bits: list[bytes], b_n: np.ndarray, percent: int) -> np.ndarray:
+    """Whether the cards allow a link: differing parity bits are differing tokens."""
+    out = np.zeros((len(a_bits), len(b_bits)), bool)
+    a_width, b_width = (np.array([8 * len(x) for x in bits]) for bits in (a_bits, b_bits))
+    for wa in np.unique(a_width):
+        for wb in np.unique(b_width):
+            i, j, places = np.flatnonzero(a_width == wa), np.flatnonzero(b_width == wb), int(min(wa, wb))
+            a, b = _folded([a_bits[x] for x in i], places), _folded([b_bits[x] for x in j], places)
+            differ = a.sum(axis=1)[:, None] + b.sum(axis=1)[None, :] - 2 * (a @ b.T)
+            out[np.ix_(i, j)] = differ * (100 + percent) <= (100 - percent) * (a_n[i][:, None] + b_n[j][None, :])
+    return out
+
+
+def _by_group(rows: DataFrame, keys: list[str], work, schema: str) -> DataFrame:
+    """Calls ``work(columns)`` for each group of whole-number keys and returns the rows it gives.
+
+    Partitions are sorted by key and walked, which costs far less than a call from
+    Spark for each of very many small groups; one group is held at a time. Binary
+    columns come as lists, others as arrays; ``keys`` order the rows, the last is not
+    part of the group's key but of the order inside it.
+    """
+    names = rows.columns
+    by = keys[:-1]
+    arrow = to_arrow_schema(T._parse_datatype_string(schema))
+
+    def columns(table: pa.Table) -> dict:
+        return {c: table[c].to_pylist() if pa.types.is_binary(table.schema.field(c).type) else table[c].to_numpy() for c in names}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left: pa.Table | None = None
+
+        def answers(table: pa.Table) -> pa.RecordBatch:
+            got = columns(table)
+            ends = np.flatnonzero(np.any([np.diff(got[k]) != 0 for k in by], axis=0)) + 1
+            out: list[tuple] = []
+            for low, high in zip([0, *ends.tolist()], [*ends.tolist(), len(table)], strict=True):
+                if high - low > 1:
+                    out += work({c: v[low:high] for c, v in got.items()})
+            made = list(zip(*out, strict=True)) if out else [[] for _ in arrow]
+            return pa.RecordBatch.from_arrays([pa.array(list(m), f.type) for m, f in zip(made, arrow, strict=True)], schema=arrow)
+
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = pa.concat_tables([left, table]) if left is not None else table
+            if not len(table):
+                continue
+            last = np.all([table[k].to_numpy() == table[k][-1].as_py() for k in by], axis=0)
+            start = len(table) - int(last.sum())  # the last group may go on in the next batch
+            left = table.slice(start)
+            if start:
+                yield answers(table.slice(0, start))
+        if left is not None:
+            yield answers(left)
+
+    dealt = rows.repartition(*by).sortWithinPartitions(*keys)
+    return dealt.mapInArrow(run, schema)
+
+
+def _chunks(cards: DataFrame, chunk: int) -> DataFrame:
+    """(class, _j, _m, _c): the chunks of each class among those of an equal minimum hash; alone in one, it has none."""
+    keyed = cards.select("class", F.posexplode("least").alias("_j", "_m"))
     sizes = keyed.groupBy("_j", "_m").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
     # A bucket of any size is cut into chunks by hash, under each key differently.
     cut = F.pmod(F.xxhash64("class", "_j"), F.ceil(F.col("_n") / (0.8 * chunk)).cast("long"))
-    chunked = keyed.join(sizes, ["_j", "_m"]).withColumn("_c", cut)
+    return keyed.join(sizes, ["_j", "_m"]).select("class", "_j", "_m", cut.alias("_c"))
+
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        names, members = frame["class"].tolist(), _unpacked(frame["set"])
+def possible_partners(cards: DataFrame, chunks: DataFrame, percent: int, chunk: int = CHUNK) -> DataFrame:
+    """(class, _j, _m, _c) of classes whose card allows a link inside the chunk."""
+
+    def work(g: dict) -> list[tuple]:
+        n = len(g["class"])
+        hit = np.zeros(n, bool)
+        for low in range(0, n, chunk):
+            for at in range(0, low + 1, chunk):
+                one, two = slice(low, low + chunk), slice(at, at + chunk)
+                allowed = _possible(g["parity"][one], g["n"][one], g["parity"][two], g["n"][two], percent)
+                if low == at:
+                    np.fill_diagonal(allowed, False)
+                hit[one] |= allowed.any(axis=1)
+                hit[two] |= allowed.any(axis=0)
+        return [(c, int(g["_j"][0]), int(g["_m"][0]), int(g["_c"][0])) for c in g["class"][hit].tolist()]
+
+    rows = chunks.join(cards.select("class", "n", "parity"), "class")
+    return _by_group(rows, ["_j", "_m", "_c", "class"], work, "class long, _j int, _m long, _c long")
+
+
+def group_links(sets: DataFrame, partners: DataFrame, percent: int, chunk: int = CHUNK) -> DataFrame:
+    """Links (a, b) that join what is connected inside each chunk."""
+
+    def work(g: dict) -> list[tuple]:
+        names, members = g["class"].tolist(), _unpacked(g["set"])
         root = list(range(len(names)))
 
         def find(i: int) -> int:
@@ -225,9 +363,9 @@ def group_links(sets: DataFrame, percent: int, chunk: int = CHUNK) -> DataFrame:
                     if a != b:
                         root[max(a, b)] = min(a, b)
                         links.append((names[low + int(i)], names[at + int(j)]))
-        return pd.DataFrame(links, columns=["a", "b"]).astype({"a": "int64", "b": "int64"})
+        return links
 
-    return chunked.select("_j", "_m", "_c", "class", "set").groupBy("_j", "_m", "_c").applyInPandas(run, "a long, b long")
+    return _by_group(partners.join(sets, "class"), ["_j", "_m", "_c", "class"], work, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -255,9 +393,25 @@ def _with_roots(classes: DataFrame, roots: DataFrame) -> DataFrame:
     return classes.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
 
 
-def matrix_links(sets: DataFrame, tokens: DataFrame, roots: DataFrame, percent: int, chunk: int = CHUNK) -> DataFrame:
-    """Links between different groups: qualifying (class, chunk) pairs of the token-group matrix, opened."""
-    members = _with_roots(sets, roots)
+_BY = ["root", "_c", "_q"]
+
+
+def _meetings(pairs: DataFrame, holding: DataFrame, placed: DataFrame, work, schema: str) -> DataFrame:
+    """Brings the classes that ask a chunk together with its members, by blocks of bounded size.
+
+    ``work`` gets the rows of a block: ``asks`` is 1 for classes that ask, and 0 for members.
+    """
+    blocks = pairs.groupBy("root", "_c").agg(F.ceil(F.count(F.lit(1)) / ASKERS).cast("long").alias("_blocks"))
+    asking = pairs.join(blocks, ["root", "_c"]).withColumn("_q", F.pmod(F.xxhash64("class"), "_blocks"))
+    held = placed.select("class", "root", "_c").join(blocks, ["root", "_c"])
+    held = held.withColumn("_q", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)))
+    both = asking.select(*_BY, "class", F.lit(1).alias("asks")).union(held.select(*_BY, "class", F.lit(0).alias("asks")))
+    return _by_group(both.join(holding, "class").select(*_BY, "asks", "class", *[c for c in holding.columns if c != "class"]), [*_BY, "asks"], work, schema)
+
+
+def qualifying(cards: DataFrame, tokens: DataFrame, roots: DataFrame, percent: int, chunk: int = CHUNK) -> tuple[DataFrame, DataFrame]:
+    """The matrix's answer: (class, root, _c, members) of chunks to open with the members a card allows, and where each class is."""
+    members = _with_roots(cards.select("class", "n"), roots)
     sizes = members.groupBy("root").agg(F.count(F.lit(1)).alias("_n"))
     members = members.join(sizes, "root").withColumn("_c", F.pmod(F.xxhash64("class"), F.ceil(F.col("_n") / (0.8 * chunk)).cast("long")))
     placed = saved(members.select("class", "n", "root", "_c"), "groups")
@@ -266,31 +420,43 @@ def matrix_links(sets: DataFrame, tokens: DataFrame, roots: DataFrame, percent:
     spans = placed.groupBy("root", "_c").agg(F.min("n").alias("_low"), F.max("n").alias("_high"))
     # A token that one group alone holds asks nobody.
     several = unions.groupBy("h").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).where("_a < _b").select("h")
+    unions = unions.join(several, "h", "left_semi")
     asks = named.join(several, "h", "left_semi").select("h", "class", "n", F.col("root").alias("_own"))
-    met = asks.join(unions.join(several, "h", "left_semi"), "h").where("_own <> root")
+    met = asks.join(unions, "h").where("_own <> root")
     pairs = met.select("class", "n", "root", "_c").distinct().join(spans, ["root", "_c"])
     fits = (F.col("_high") * 100 >= percent * F.col("n")) & (F.col("_low") * percent <= 100 * F.col("n"))
-    pairs = saved(pairs.where(fits).select("class", "root", "_c"), "qualifying")
-    blocks = pairs.groupBy("root", "_c").agg(F.ceil(F.count(F.lit(1)) / ASKERS).cast("long").alias("_blocks"))
-    asking = pairs.join(blocks, ["root", "_c"]).withColumn("_q", F.pmod(F.xxhash64("class"), "_blocks"))
-    asking = asking.join(sets.select("class", "set"), "class").select("root", "_c", "_q", "class", "set")
-    held = sets.select("class", F.col("set").alias("held")).join(placed, "class").join(blocks, ["root", "_c"])
-    held = held.withColumn("_q", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)))
-    held = held.select("root", "_c", "_q", F.col("class").alias("member"), "held")
+    pairs = saved(pairs.where(fits).select("class", "root", "_c"), "meetings")
+
+    def allowed(g: dict) -> list[tuple]:
+        held = int(np.searchsorted(g["asks"], 1))
+        if held in (0, len(g["asks"])):
+            return []
+        names, out = g["class"], []
+        for low in range(held, len(names), CHUNK):
+            asked = slice(low, low + CHUNK)
+            hits = _possible(g["parity"][asked], g["n"][asked], g["parity"][:held], g["n"][:held], percent)
+            for i in np.flatnonzero(hits.any(axis=1)).tolist():
+                out.append((int(names[low + i]), int(g["root"][0]), int(g["_c"][0]), names[:held][hits[i]].tolist()))
+        return out
+
+    card = cards.select("class", "n", "parity")
+    return saved(_meetings(pairs, card, placed, allowed, "class long, root long, _c long, members array<long>"), "qualifying"), placed
+
+
+def matrix_links(open_: DataFrame, placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between different groups: qualifying chunks, opened and compared exactly."""
 
-    def run(asked: pd.DataFrame, chunk_: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(asked) and len(chunk_):
-            mine, names, theirs = _unpacked(chunk_["held"]), asked["class"].tolist(), _unpacked(asked["set"])
-            for low in range(0, len(theirs), 256):
-                hits = _linked(theirs[low : low + 256], mine, percent)
-                for i in np.flatnonzero(hits.any(axis=1)).tolist():
-                    out.append((names[low + i], int(chunk_["member"].iloc[int(hits[i].argmax())])))
-        return pd.DataFrame(out, columns=["a", "b"]).astype({"a": "int64", "b": "int64"})
+    def work(g: dict) -> list[tuple]:
+        held = int(np.searchsorted(g["asks"], 1))
+        if held in (0, len(g["asks"])):
+            return []
+        names, members, out = g["class"].tolist(), _unpacked(g["set"]), []
+        for low in range(held, len(members), CHUNK):
+            hits = _linked(members[low : low + CHUNK], members[:held], percent)
+            out += [(names[low + i], names[int(hits[i].argmax())]) for i in np.flatnonzero(hits.any(axis=1)).tolist()]
+        return out
 
-    by, other = ["root", "_c", "_q"], ["_root", "_chunk", "_block"]
-    held = held.toDF(*other, "member", "held")
-    return asking.groupBy(*by).cogroup(held.groupBy(*other)).applyInPandas(run, "a long, b long")
+    return _meetings(open_.select("class", "root", "_c"), sets, placed, work, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, bits: int = BITS) -> DataFrame:
@@ -298,9 +464,14 @@ def near_duplicates(docs: DataFrame, percent: int = 75, bits: int = BITS) -> Dat
     common = bitmap.build(common_tokens(docs), bits)
     signed = saved(signatures(docs, common, percent), "signatures")
     tokens = saved(shared_tokens(signed), "tokens")
-    sets = saved(class_sets(docs, tokens.select("class").distinct(), bits), "sets")
-    first = saved(group_links(sets, percent), "links")
-    more = matrix_links(sets, tokens, components(first), percent)
+    cards = saved(class_cards(signed, tokens), "cards")
+    partners = saved(possible_partners(cards, _chunks(cards, CHUNK), percent), "partners")
+    sets = saved(class_sets(docs, partners, bits), "sets")
+    first = saved(group_links(sets, partners, percent), "links")
+    open_, placed = qualifying(cards, tokens, components(first), percent)
+    ends = open_.select("class").union(open_.select(F.explode("members").alias("class"))).distinct()
+    more_sets = saved(class_sets(docs, ends, bits), "sets")
+    more = matrix_links(open_, placed, more_sets, percent)
     roots = components(reduce(DataFrame.union, [first, more]))
     # The smallest id of a class, then of a component: both are reduced before they travel.
     classes = signed.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("_id"))

@@ -92,12 +92,14 @@ def test_matrix_finds_links_that_groups_miss(spark):
     want = _components(texts)
     docs = frame(spark, texts)
     common = bitmap.build(jaccard.common_tokens(docs), 12)
-    tokens = jaccard.shared_tokens(jaccard.signatures(docs, common, 75))
-    sets = jaccard.class_sets(docs, tokens.select("class").distinct(), 12)
-    alone = spark.createDataFrame([], "class long, root long")
-    links = jaccard.matrix_links(sets, tokens, alone, 75, chunk=4)  # every class its own group
+    signed = jaccard.signatures(docs, common, 75)
+    tokens = jaccard.shared_tokens(signed)
+    cards = jaccard.class_cards(signed, tokens)
+    alone = spark.createDataFrame([], "class long, root long")  # every class its own group
+    open_, placed = jaccard.qualifying(cards, tokens, alone, 75, chunk=4)
+    links = jaccard.matrix_links(open_, placed, jaccard.class_sets(docs, cards, 12), 75)
     roots = {r["class"]: r.root for r in jaccard.components(links).collect()}
-    names = {r.doc_id: r["class"] for r in jaccard.signatures(docs, common, 75).collect()}
+    names = {r.doc_id: r["class"] for r in signed.collect()}
     got = collections.defaultdict(set)
     for d, c in names.items():
         got[roots.get(c, c)].add(d)
