@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import functions as F
@@ -190,27 +191,45 @@ def _d2(spark, sf):
         "code", "confidence", F.coalesce("n", F.lit(0)).alias("fired"))
 
 
-_X_MED = "med AS (SELECT " + ", ".join(f"median({c}) AS m_{c}" for c in X_CANDIDATES) + " FROM feat)"
-_X_SWAP = ", ".join(f"CASE WHEN candidate = '{c}' THEN m_{c} ELSE {c} END AS {c}" for c in X_CANDIDATES)
 _X_LOGIT = lambda e: f"ln(greatest(1e-6, least(1 - 1e-6, {e})) / (1 - greatest(1e-6, least(1 - 1e-6, {e}))))"
-X_SQL = (
-    f"{BASE_SQL}, {FEATS}, {_X_MED}, base AS (SELECT *, CAST({RULE_SCORE} AS DOUBLE) AS s0 FROM feat), "
-    f"abl AS (SELECT txn_id, s0, candidate, CAST({RULE_SCORE} AS DOUBLE) AS s1 FROM (SELECT base.* REPLACE ({_X_SWAP}), candidate FROM base, med, "
-    "(VALUES " + ", ".join(f"('{c}')" for c in X_CANDIDATES) + ") t(candidate))), "
-    f"d AS (SELECT txn_id, candidate, {_X_LOGIT('s0')} - {_X_LOGIT('s1')} AS drop FROM abl), "
-    "rk AS (SELECT *, row_number() OVER (PARTITION BY txn_id ORDER BY round(drop, 9) DESC, candidate) AS i FROM d WHERE drop > 0.08) "
-)
 
 
-@register("x1_reason_codes", X_SQL + f"SELECT b.txn_id, {r('b.s0', 'base_score')}, coalesce(string_agg(rk.candidate, ',' ORDER BY i) FILTER (i <= 4), '') AS reasons FROM base b LEFT JOIN rk ON b.txn_id = rk.txn_id GROUP BY b.txn_id, b.s0")
-def _x1(spark, sf):
-    df = stored(rule_features(spark, sf), "features")  # medians and scores read it, features are made once
-    meds = requests.median_row(reports.column_medians(df, X_CANDIDATES), X_CANDIDATES)
+def _x_sql(candidates: list[str]) -> str:
+    med = "med AS (SELECT " + ", ".join(f"median({c}) AS m_{c}" for c in candidates) + " FROM feat)"
+    swap = ", ".join(f"CASE WHEN candidate = '{c}' THEN m_{c} ELSE {c} END AS {c}" for c in candidates)
+    return (
+        f"{BASE_SQL}, {FEATS}, {med}, base AS (SELECT *, CAST({RULE_SCORE} AS DOUBLE) AS s0 FROM feat), "
+        f"abl AS (SELECT txn_id, s0, candidate, CAST({RULE_SCORE} AS DOUBLE) AS s1 FROM (SELECT base.* REPLACE ({swap}), candidate FROM base, med, "
+        "(VALUES " + ", ".join(f"('{c}')" for c in candidates) + ") t(candidate))), "
+        f"d AS (SELECT txn_id, candidate, {_X_LOGIT('s0')} - {_X_LOGIT('s1')} AS drop FROM abl), "
+        "rk AS (SELECT *, row_number() OVER (PARTITION BY txn_id ORDER BY round(drop, 9) DESC, candidate) AS i FROM d WHERE drop > 0.08) "
+        f"SELECT b.txn_id, {r('b.s0', 'base_score')}, coalesce(string_agg(rk.candidate, ',' ORDER BY i) FILTER (i <= 4), '') AS reasons FROM base b LEFT JOIN rk ON b.txn_id = rk.txn_id GROUP BY b.txn_id, b.s0"
+    )
+
+
+def rule_reasons(df, candidates):
+    """Reasons of the rule score over a table with the features that rules look at."""
+    meds = requests.median_row(reports.column_medians(df, candidates), candidates)
     score = lambda d: decisions.apply_rules(d).withColumn("score", F.col("rule_score"))
-    out = explain.explain(df, score, meds, X_CANDIDATES, k=4)
+    out = explain.explain(df, score, meds, candidates, k=4)
     return out.select("txn_id", "base_score", F.coalesce(F.array_join(F.transform("reasons", lambda x: x["feature"]), ","), F.lit("")).alias("reasons"))
 
 
+@register("x1_reason_codes", _x_sql(X_CANDIDATES))
+def _x1(spark, sf):
+    df = stored(rule_features(spark, sf), "features")  # medians and scores read it, features are made once
+    return rule_reasons(df, X_CANDIDATES)
+
+
+#: Every feature a rule looks at.
+X_ALL = sorted({c for _, _, p in RULE_SQL for c in re.findall("[a-z][a-z0-9_]+", p)})
+
+
+@register("x1_reason_codes_all_inputs", _x_sql(X_ALL))
+def _x1_all(spark, sf):
+    return rule_reasons(stored(rule_features(spark, sf), "features"), X_ALL)
+
+
 @register("x4_case_files", f"{S} SELECT vector_id, txn_id, {r('amount', 'amount', 2)}, {n('fn', 'family_n')}, {r('fm', 'family_median_score')} FROM (SELECT *, row_number() OVER (PARTITION BY vector_id ORDER BY amount DESC, txn_id) AS i, "
           "count(*) OVER (PARTITION BY vector_id) AS fn, median(score) OVER (PARTITION BY vector_id) AS fm FROM scored WHERE vector_id IS NOT NULL) WHERE i = 1")
 def _x4(spark, sf):
