@@ -11,6 +11,7 @@ from ..session import stored
 
 _BINS = 65_536
 _SORTED = 100_000  # rows around a boundary that are sorted at once
+_SPLITS = 64  # values that cut the ids of one instant into ranges
 
 
 def nth_value(df: DataFrame, col: str, n: int) -> tuple[int, int]:
@@ -45,6 +46,7 @@ def boundaries(df: DataFrame, positions: list[int], order: str = "ts_us", tie: s
 
     Reads a narrow copy of the two columns. Histograms serve all positions at
     once and are refined until few rows are left around each; those are sorted.
+    One instant with more rows than that is narrowed by its ids in the same way.
     """
     narrow = stored(df.select(F.col(order).alias("o"), F.col(tie).alias("t")).filter("o IS NOT NULL"), "order")
     n, low, high = narrow.agg(F.count(F.lit(1)), F.min("o"), F.max("o")).first()
@@ -65,12 +67,43 @@ def boundaries(df: DataFrame, positions: list[int], order: str = "ts_us", tie: s
                     break
                 below += row["count"]
     out = []
-    for p, (lo, hi, below, _) in zip(positions, spans, strict=True):
+    for p, (lo, hi, below, inside) in zip(positions, spans, strict=True):
+        if inside > _SORTED:
+            out.append((lo, _nth_tie(narrow.filter(F.col("o") == lo).select("t"), p - below, inside)))
+            continue
         row = narrow.filter(F.col("o").between(lo, hi)).orderBy("o", "t").offset(p - below).limit(1).first()
         out.append((row["o"], row["t"]))
     return out
 
 
+def _nth_tie(ties: DataFrame, n: int, inside: int):
+    """The n-th smallest (0-based) value of ``t``, of any type with an order, nulls first.
+
+    Sampled values cut the rows into ranges and are ranges of their own, so each
+    round, one distributed count, gets nearer also where one value fills most rows.
+    """
+    turn = 0
+    while inside > _SORTED:
+        share = min(1.0, 32 * _SPLITS / inside)
+        lucky = F.shiftrightunsigned(F.xxhash64("t", F.lit(turn)), 11) < F.lit(int(share * (1 << 53)))
+        some = [r["t"] for r in ties.filter(F.col("t").isNotNull() & lucky).distinct().orderBy("t").collect()]
+        least = ties.agg(F.min("t")).first()[0]
+        splits = [v for v in dict.fromkeys([least, *some[:: max(1, len(some) // _SPLITS)]]) if v is not None]
+        place = F.when(F.col("t").isNull(), -1)
+        for i, v in enumerate(splits):
+            place = place.when(F.col("t") < F.lit(v), 2 * i).when(F.col("t") == F.lit(v), 2 * i + 1)
+        ranges = ties.groupBy(place.otherwise(2 * len(splits)).alias("b")).agg(
+            F.count(F.lit(1)).alias("rows"), F.min("t").alias("lo"), F.max("t").alias("hi")).orderBy("b").collect()
+        for row in ranges:
+            if n < row["rows"]:
+                break
+            n -= row["rows"]
+        if row["lo"] == row["hi"]:
+            return row["lo"]
+        ties, inside, turn = ties.filter(F.col("t").between(row["lo"], row["hi"])), row["rows"], turn + 1
+    return ties.orderBy("t").offset(n).limit(1).first()["t"]
+
+
 def from_boundary(at, cut, order: str, tie: str) -> Column:
     """Predicate: the row lies at or after the boundary."""
     return (F.col(order) > F.lit(at)) | ((F.col(order) == F.lit(at)) & (F.col(tie) >= F.lit(cut)))
