@@ -177,9 +177,9 @@ def signatures(docs: DataFrame, common: np.ndarray, percent: int) -> DataFrame:
 def shared_tokens(signed: DataFrame) -> DataFrame:
     """(h, class) of tokens that at least two classes hold."""
     rows = signed.where("tokens IS NOT NULL").select(F.explode("tokens").alias("h"), "class")
-    whole = Window.partitionBy("h")
-    several = rows.withColumn("_low", F.min("class").over(whole)).withColumn("_high", F.max("class").over(whole))
-    return several.where("_low < _high").select("h", "class").distinct()
+    # Aggregated before the shuffle, then a join that Spark can split: no token gathers its rows in one task.
+    several = rows.groupBy("h").agg(F.min("class").alias("_low"), F.max("class").alias("_high")).where("_low < _high").select("h")
+    return rows.distinct().join(several, "h", "left_semi").select("h", "class")
 
 
 def _first(rows: DataFrame) -> DataFrame:
