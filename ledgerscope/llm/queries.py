@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, hilbert, jaccard, packing, pii, quality_rules, substrings, token_counts, toxicity, vafile
+from . import bpe, hilbert, jaccard, packing, periodic_runs, pii, quality_rules, substrings, token_counts, toxicity, vafile
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -105,3 +105,18 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_jaccard_components")
 def op7_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(documents(spark, sf_dir), percent=75).select("doc_id", "n_shingles", "component_id")
+
+
+@query("op13_periodic_runs")
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.find_runs(documents(spark, sf_dir).select("doc_id", "text"), altered=True)
+    runs = F.col("runs")
+    # The longest run; of equally long ones the first to start, then the one of the smaller period.
+    longest = F.array_min(F.transform(runs, lambda r: F.struct((-r["length"]).alias("n"), r["start"].alias("s"), r["period"].alias("q"))))
+    lines = F.transform(runs, lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    text = F.when(F.size(runs) > 0, F.concat(F.array_join(lines, "\n"), F.lit("\n"))).otherwise("")
+    top = found.withColumns({"top": longest, "listed": text})
+    return top.select(
+        "row.doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("top.s").alias("start"), (-F.col("top.n")).alias("length"),
+        F.col("top.q").alias("period"), F.expr("1000 * -top.n div top.q").alias("exponent_milli"),
+        F.sha2(F.encode("listed", "UTF-8"), 256).alias("runs_sha256"), F.sha2(F.encode("collapsed", "UTF-8"), 256).alias("collapsed_sha256"))
