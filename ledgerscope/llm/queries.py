@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, hilbert, jaccard, packing, periodic_runs, pii, quality_rules, substrings, token_counts, toxicity, vafile
+from . import bpe, conversations, hilbert, jaccard, packing, periodic_runs, pii, quality_rules, substrings, token_counts, toxicity, vafile
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -120,3 +120,9 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         "row.doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("top.s").alias("start"), (-F.col("top.n")).alias("length"),
         F.col("top.q").alias("period"), F.expr("1000 * -top.n div top.q").alias("exponent_milli"),
         F.sha2(F.encode("listed", "UTF-8"), 256).alias("runs_sha256"), F.sha2(F.encode("collapsed", "UTF-8"), 256).alias("collapsed_sha256"))
+
+
+@query("op12_conversation_repair")
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return conversations.repair(conversations.damage(rows), present=F.col("present"))
