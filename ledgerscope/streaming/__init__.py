@@ -1,6 +1,7 @@
 """Structured Streaming jobs over a payment stream."""
 
-from .online import OnlineFeatures
+from .keyed import KeyedFeatures, assembled
 from .monitors import alerts, deduplicated, running_counters, sliding_velocity
+from .online import OnlineFeatures
 
-__all__ = ["OnlineFeatures", "alerts", "deduplicated", "running_counters", "sliding_velocity"]
+__all__ = ["KeyedFeatures", "OnlineFeatures", "alerts", "assembled", "deduplicated", "running_counters", "sliding_velocity"]
