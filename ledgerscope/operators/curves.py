@@ -1,105 +1,115 @@
 """Exact cumulative curves, quantiles and ranking metrics at any size.
 
-A global order over raw rows would put everything in one task. Instead rows are
-first summed per distinct value, values are grouped into order-preserving bins,
-and running totals are taken within each bin and across the (bounded) bin table.
+A global order over raw rows would put everything in one task. Instead rows are first
+summed per distinct value, and the distinct values, stored once, are cut into ordered
+ranges of bounded size (``ranges``) with running sums across them.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import ALERT_BUDGET, COSTS, FPR_TARGETS
-
-BIN = "__bin"
-
-
-def order_bin(c: Column) -> Column:
-    """Monotone bin number; a few million bins cover all magnitudes of interest."""
-    size = F.floor(F.log1p(F.abs(c) * 1e6) * 65536).cast("long")
-    return F.when(c < 0, -size - 1).otherwise(size)
+from ..session import stored
+from . import ranges
+
+
+@dataclass(frozen=True)
+class Points:
+    """One stored row per distinct value (and group) with its own sums."""
+
+    table: DataFrame
+    value: str
+    names: list[str]
+    by: list[str]
+
+    def running(self, descending: bool = True, marks: DataFrame | None = None) -> DataFrame:
+        """Adds for every sum ``s`` the sum up to and including the value (``cum_s``) and of all (``all_s``);
+        ``rank`` numbers the values.
+
+        ``marks`` has further values, of no weight, that take their place in the order after an equal
+        value; with it the result has them alone, so ``cum_s`` is the sum over all that is reached at a mark.
+        """
+        direction = F.desc if descending else F.asc
+        names = ["points", *self.names]
+        table = self.table.withColumn("points", F.lit(1).cast("long"))
+        order = [direction(self.value)]
+        if marks is not None:
+            nothing = [F.lit(0).cast(table.schema[n].dataType).alias(n) for n in names]
+            table = table.withColumn("__mark", F.lit(False)).unionByName(marks.select(self.value, *nothing, F.lit(True).alias("__mark")))
+            order.append(F.asc("__mark"))
+        # One order of all groups: a group of many values is cut like the table of a single one.
+        cut, single = ranges.ranged(table, [F.asc(c) for c in self.by] + order)
+        out = ranges.running(cut, order, {n: F.col(n) for n in names}, self.by, single)
+        if marks is not None:
+            out = out.filter("__mark").drop("__mark")
+        return out.withColumnRenamed("cum_points", "rank").drop("points")
+
+
+def points(df: DataFrame, value: str, sums: dict[str, Column], by: list[str] = ()) -> Points:
+    """Sums per distinct value; ``rows`` (how many rows share it) is added to them."""
+    by, sums = list(by), {"rows": F.lit(1).cast("long"), **sums}
+    table = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
+    return Points(stored(table, "points"), value, list(sums), by)
 
 
 def cumulative(
     df: DataFrame, value: str, sums: dict[str, Column], by: list[str] = (), descending: bool = True
 ) -> DataFrame:
-    """One row per distinct value with its own sums and the sums up to and including it.
-
-    Adds ``rows`` (how many rows share the value) to the sums. For every sum ``s``
-    the result has ``s``, ``cum_s`` and ``all_s``; ``rank`` numbers the values.
-    """
-    by = list(by)
-    sums = {"rows": F.lit(1).cast("long"), **sums}
-    points = (
-        df.filter(F.col(value).isNotNull())
-        .groupBy(*by, value)
-        .agg(*[F.sum(c).alias(n) for n, c in sums.items()])
-        .withColumns({"points": F.lit(1).cast("long"), BIN: order_bin(F.col(value))})
-    )
-    names = ["points", *sums]
-    direction = F.desc if descending else F.asc
-    bins = points.groupBy(*by, BIN).agg(*[F.sum(n).alias(f"__t_{n}") for n in names])
-    earlier = Window.partitionBy(*by).orderBy(direction(BIN)).rowsBetween(Window.unboundedPreceding, -1)
-    every = Window.partitionBy(*by).orderBy(direction(BIN)).rowsBetween(
-        Window.unboundedPreceding, Window.unboundedFollowing)
-    bins = bins.select(
-        *by, BIN,
-        *[F.coalesce(F.sum(f"__t_{n}").over(earlier), F.lit(0)).alias(f"__c_{n}") for n in names],
-        *[F.sum(f"__t_{n}").over(every).alias(f"all_{n}") for n in names],
-    )
-    inside = Window.partitionBy(*by, BIN).orderBy(direction(value)).rowsBetween(Window.unboundedPreceding, 0)
-    own = points.select("*", *[F.sum(n).over(inside).alias(f"__o_{n}") for n in names])
-    if by:
-        bins = bins.select(*[F.col(c).alias(f"__k_{c}") if c in by else F.col(c) for c in bins.columns])
-        same = F.lit(True)
-        for c in by:
-            same = same & F.col(c).eqNullSafe(F.col(f"__k_{c}"))
-        joined = own.join(bins.withColumnRenamed(BIN, "__b"), same & (F.col(BIN) == F.col("__b")))
-    else:
-        joined = own.join(bins, BIN)
-    return joined.select(
-        *by, value,
-        (F.col("__c_points") + F.col("__o_points")).alias("rank"), F.col("all_points"),
-        *[c for n in sums for c in (
-            F.col(n), (F.col(f"__c_{n}") + F.col(f"__o_{n}")).alias(f"cum_{n}"), F.col(f"all_{n}"))],
-    )
+    """One row per distinct value with its own sums and the sums up to and including it (``Points.running``)."""
+    found = points(df, value, sums, by)
+    first = ["rank", "all_points"]
+    rest = [c for n in found.names for c in (n, f"cum_{n}", f"all_{n}")]
+    return found.running(descending).select(*found.by, value, *first, *rest)
 
 
 def quantiles(df: DataFrame, value: str, qs: list[float], by: list[str] = ()) -> DataFrame:
     """Linear-interpolated quantiles, exact: one row per group and q."""
-    by = list(by)
-    table = cumulative(df, value, {}, by, descending=False)
-    low, high = F.col("cum_rows") - F.col("rows"), F.col("cum_rows")
-    last = F.col("all_rows") - 1
-
-    def wanted(q: Column) -> Column:
-        at = q * last
-        lo = F.floor(at)
-        return F.array(
-            F.struct(q.alias("q"), lo.alias("i"), F.lit(False).alias("upper"), (at - lo).alias("w")),
-            F.struct(q.alias("q"), F.least(lo + 1, last).alias("i"), F.lit(True).alias("upper"), (at - lo).alias("w")),
-        )
-
-    asks = F.flatten(F.transform(F.array(*[F.lit(float(q)) for q in qs]), wanted))
-    # Each q lies between the values at two neighbouring positions.
-    hits = F.filter(asks, lambda a: (a["i"] >= low) & (a["i"] < high))
-    table = table.filter(F.col("cum_rows") > F.floor(F.lit(float(min(qs))) * last))
-    picked = table.select(*by, F.col(value).alias("__v"), F.explode(hits).alias("a"))
-    upper = F.max(F.when(F.col("a.upper"), F.col("__v")))
-    lower = F.max(F.when(~F.col("a.upper"), F.col("__v")))
-    return picked.groupBy(*by, F.col("a.q").alias("q")).agg(
-        (lower + (upper - lower) * F.max("a.w")).alias("value"))
+    return quantiles_of(points(df, value, {}, by), qs)
 
 
-def score_curve(scored: DataFrame, by: list[str] = ()) -> DataFrame:
-    """Distinct scores, highest first, with hits and value above each.
+def quantiles_of(found: Points, qs: list[float]) -> DataFrame:
+    """The quantiles of the value whose distinct values are given.
 
-    Needs ``score``, ``y`` and ``amount``.
+    Each q lies between the values at two neighbouring positions. Positions and the
+    stretches of positions that values fill meet in as many equal steps as there are qs, so
+    a value is looked at only beside the few positions of its own steps.
     """
+    by, value = found.by, found.value
+    steps = F.greatest(F.lit(1), F.expr(f"all_rows div {len(qs)}"))
+    step_of = lambda at: F.floor(at / steps)
+    totals = found.table.groupBy(*by).agg(F.sum("rows").alias("all_rows")).filter("all_rows > 0")
+    asks = totals.withColumn("q", F.explode(F.array(*[F.lit(float(q)) for q in qs])))
+    at = F.col("q") * (F.col("all_rows") - 1)
+    ends = F.array(F.struct(F.floor(at).alias("i"), F.lit(False).alias("upper")),
+                   F.struct(F.least(F.floor(at) + 1, F.col("all_rows") - 1).alias("i"), F.lit(True).alias("upper")))
+    asks = asks.withColumns({"__w": at - F.floor(at), "e": F.explode(ends)})
+    asks = asks.select(*[F.col(c).alias(f"__k_{c}") for c in by], "q", "__w", "e.i", "e.upper", step_of(F.col("e.i")).alias("__ask"))
+    low, high = F.col("cum_rows") - F.col("rows"), F.col("cum_rows")
+    table = found.running(descending=False).select(
+        *by, F.col(value).alias("__v"), low.alias("__low"), high.alias("__high"), F.explode(F.sequence(step_of(low), step_of(high - 1))).alias("__step"))
+    same = F.col("__step") == F.col("__ask")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"__k_{c}"))
+    hits = table.join(asks if by else F.broadcast(asks), same).filter("i >= __low AND i < __high")
+    upper = F.max(F.when(F.col("upper"), F.col("__v")))
+    lower = F.max(F.when(~F.col("upper"), F.col("__v")))
+    return hits.groupBy(*by, "q").agg((lower + (upper - lower) * F.max("__w")).alias("value"))
+
+
+def score_points(scored: DataFrame, by: list[str] = ()) -> Points:
+    """Distinct scores with their hits and the value of those. Needs ``score``, ``y`` and ``amount``."""
     pos = F.when(F.col("y") == 1, 1).otherwise(0).cast("long")
     amount = F.when(F.col("y") == 1, F.col("amount")).otherwise(0.0)
-    return cumulative(scored, "score", {"pos": pos, "pos_amount": amount}, by)
+    return points(scored, "score", {"pos": pos, "pos_amount": amount}, by)
+
+
+def score_curve(scored: DataFrame, by: list[str] = ()) -> DataFrame:
+    """Distinct scores, highest first, with hits and value above each."""
+    return score_points(scored, by).running()
 
 
 def ranking_metrics(curve: DataFrame, by: list[str] = ()) -> DataFrame:
@@ -167,20 +177,12 @@ def threshold_grid() -> list[float]:
 def cost_curve(scored: DataFrame, costs: dict = COSTS, qs: list[float] | None = None) -> DataFrame:
     """Expected cost at each distinct quantile of the score.
 
-    The grid is one row holding at most a few hundred values, so it is safe to
-    broadcast. A threshold belongs to the lowest score at or above it.
+    The scores are summed once. The thresholds then stand among them in the same ranges as
+    rows of no weight, so what lies at or above each is a running sum, and nothing is joined.
     """
-    curve = score_curve(scored)
-    grid = quantiles(scored, "score", qs or threshold_grid()).select(F.col("value").alias("threshold")).distinct()
-    packed = grid.agg(F.sort_array(F.collect_set("threshold")).alias("grid"))
-    lower = curve.select((F.col("rank") - 1).alias("rank"), F.col("score").alias("lower"))
-    steps = (
-        curve.join(lower, "rank", "left")
-        .crossJoin(F.broadcast(packed))
-        .withColumn("threshold", F.explode(F.filter(
-            "grid", lambda g: (g <= F.col("score")) & (F.col("lower").isNull() | (g > F.col("lower"))))))
-    )
-    return _costed(steps, costs)
+    found = score_points(scored)
+    grid = quantiles_of(found, qs or threshold_grid()).select(F.col("value").alias("score")).distinct()
+    return _costed(found.running(marks=grid).withColumnRenamed("score", "threshold"), costs)
 
 
 def _costed(steps: DataFrame, costs: dict) -> DataFrame:
@@ -219,15 +221,19 @@ def budget_threshold(scored: DataFrame, budget: float = ALERT_BUDGET) -> DataFra
 def percentile_in_reference(df: DataFrame, value: str, reference: DataFrame, ref_value: str) -> DataFrame:
     """Share of the reference strictly below each row's value, as ``percentile``.
 
-    Both sides are reduced to distinct values, ranked together, and joined back,
-    so neither side has to fit anywhere.
+    The reference's distinct values and the rows are put in one order, rows before the
+    reference's equal value, and cut into ranges together; rows of one value are told apart
+    by a hash, so none of them gathers. Nothing is joined back. NULL without a value.
     """
-    both = (
-        reference.select(F.col(ref_value).alias("__v"), F.lit(1).cast("long").alias("__ref"))
-        .unionByName(df.select(F.col(value).alias("__v"), F.lit(0).cast("long").alias("__ref")))
-    )
-    ranked = cumulative(both, "__v", {"ref": F.col("__ref")}, descending=False)
-    ranked = ranked.select(
-        F.col("__v").alias(value),
-        ((F.col("cum_ref") - F.col("ref")) / F.greatest(F.col("all_ref"), F.lit(1))).alias("percentile"))
-    return df.join(ranked, value, "left")
+    weights = reference.filter(F.col(ref_value).isNotNull()).groupBy(F.col(ref_value).alias("__v")).agg(F.count(F.lit(1)).alias("__w"))
+    row = F.struct(*df.columns)
+    asks = df.select(F.col(value).alias("__v"), F.lit(0).cast("long").alias("__w"), row.alias("__row"))
+    none = F.lit(None).cast(asks.schema["__row"].dataType)
+    both = asks.withColumn("__h", F.xxhash64("__row")).unionByName(
+        weights.select("__v", "__w", none.alias("__row"), F.lit(0).cast("long").alias("__h")))
+    # Rows come first at a value, and rows without one before all others.
+    order = [F.asc_nulls_first("__v"), F.asc("__kind"), F.asc("__h")]
+    cut, single = ranges.ranged(both.withColumn("__kind", F.col("__row").isNull().cast("int")), order)
+    ranked = ranges.running(cut, order, {"__w": F.col("__w")}, single=single).filter("__kind = 0")
+    share = F.when(F.col("__v").isNotNull(), F.col("cum___w") / F.greatest(F.col("all___w"), F.lit(1)))
+    return ranked.select("__row.*", share.alias("percentile"))

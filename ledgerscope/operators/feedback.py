@@ -5,11 +5,11 @@ Input: scored attack candidates with ``group_id, vector_id, amount, score``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from . import curves
+from . import curves, ranges
 from .ranks import cap_rows
 from .reports import at_threshold, median_by
 
@@ -137,12 +137,8 @@ def clip_parameters(parameters: DataFrame, bounds: DataFrame, family: str = "fam
 
 
 def elite_centroid(groups: DataFrame, columns: list[str], share: float = 0.25, least: int = 3) -> DataFrame:
-    """Mean parameters of the fittest groups (a share of them, never fewer than ``least``)."""
-    ranked = curves.cumulative(groups, "fitness", {})
-    sized = groups.join(ranked.select("fitness", "cum_rows", "rows", "all_rows"), "fitness")
-    keep = F.greatest(F.lit(least), F.floor(F.col("all_rows") * share))
-    # Groups tied at the edge are ordered by id within their shared fitness.
-    tied = Window.partitionBy("fitness").orderBy("group_id")
-    place = F.col("cum_rows") - F.col("rows") + F.row_number().over(tied)
-    return sized.withColumn("__place", place).filter(F.col("__place") <= keep).agg(
-        F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(c) for c in columns])
+    """Mean parameters of the fittest groups (a share of them, never fewer than ``least``); the smaller id wins a tie."""
+    rated = groups.filter(F.col("fitness").isNotNull())
+    keep = max(least, int(rated.count() * share))
+    placed = ranges.numbered(rated.select("fitness", "group_id", *columns), [F.desc("fitness"), F.asc("group_id")], "__place")
+    return placed.filter(F.col("__place") <= keep).agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(c) for c in columns])

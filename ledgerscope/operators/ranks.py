@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..constants import CALIBRATION_SIZE, TEST_SIZE
 from ..functions.columns import uniform
 from ..session import stored
+from . import ranges
 
 _BINS = 65_536
 _SORTED = 100_000  # rows around a boundary that are sorted at once
@@ -199,29 +200,10 @@ def review_slice(
 
 
 def place(df: DataFrame, order: str = "ts_us", tie: str = "txn_id", name: str = "place") -> DataFrame:
-    """Position of every row in (order, tie), from 1, without one global sort.
-
-    Rows at one instant are ranked among themselves; instants are counted up
-    through the bin table of ``curves.cumulative``.
-    """
-    from .curves import cumulative
-
-    before = cumulative(df, order, {}, descending=False).select(order, (F.col("cum_rows") - F.col("rows")).alias("__before"))
-    within = F.row_number().over(Window.partitionBy(order).orderBy(tie))
-    return df.withColumn("__r", within).join(before, order).withColumn(
-        name, F.col("__before") + F.col("__r")).drop("__r", "__before")
+    """Position of every row in (order, tie), from 1; rows without an order come first."""
+    return ranges.numbered(df, [F.asc_nulls_first(order), F.asc_nulls_first(tie)], name)
 
 
-def shuffled_index(df: DataFrame, name: str, seed: int, tie: str = "txn_id", bins: int = 4096) -> DataFrame:
-    """Numbers rows 0..n-1 in hash order: within hash bins, then across the small bin table."""
-    h = df.withColumn("__h", F.xxhash64(tie, F.lit(seed))).withColumn("__bin", F.pmod("__h", F.lit(bins)))
-    sizes = h.groupBy("__bin").agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("__bin", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
-    inside = Window.partitionBy("__bin").orderBy("__h", tie)
-    return (
-        h.withColumn("__r", F.row_number().over(inside) - 1)
-        .join(F.broadcast(starts), "__bin")
-        .withColumn(name, F.col("__start") + F.col("__r"))
-        .drop("__h", "__bin", "__r", "__start")
-    )
+def shuffled_index(df: DataFrame, name: str, seed: int, tie: str = "txn_id") -> DataFrame:
+    """Numbers rows 0..n-1 in hash order."""
+    return ranges.numbered(df, [F.xxhash64(tie, F.lit(seed)), F.asc_nulls_first(tie)], name, first=0)
