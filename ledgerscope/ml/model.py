@@ -55,13 +55,29 @@ class FraudModel:
         return df.withColumns({c: F.lit(0.0) for c in self.blank}) if self.blank else df
 
 
+# Levels of the declared categories; -1, a value outside the list, is a level of its own.
+CATEGORICAL = {
+    "cat_rail": K.RAILS, "cat_auth_method": K.AUTH_METHODS, "cat_merchant_category": K.CATEGORIES, "cat_persona": K.PERSONAS, "cat_device_os": K.DEVICE_OS,
+}
+
+
+def _as_levels(df: DataFrame, features: list[str]) -> DataFrame:
+    """Categories as level numbers from 0 with the attribute that makes trees split them by sets of levels."""
+    for c in (c for c in features if c in CATEGORICAL):
+        names = ["none", *CATEGORICAL[c]]
+        level = F.least(F.greatest(F.col(f"__x_{c}") + 1, F.lit(0.0)), F.lit(float(len(names) - 1)))
+        df = df.withColumn(f"__x_{c}", level.alias(f"__x_{c}", metadata={"ml_attr": {"type": "nominal", "name": c, "vals": names}}))
+    return df
+
+
 def _assemble(df: DataFrame, features: list[str], medians: dict[str, float]) -> DataFrame:
-    """Medians for missing values, one indicator per nullable column, one vector."""
+    """Medians for missing values, one indicator per nullable column, categories as levels, one vector."""
     seen = {c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) for c in features}
     flags = [c for c in features if c in NULLABLE]
     out = df.withColumns({
         **{f"__x_{c}": F.coalesce(e, F.lit(medians[c])) for c, e in seen.items()},
         **{f"__m_{c}": seen[c].isNull().cast("double") for c in flags}})
+    out = _as_levels(out, features)
     inputs = [f"__x_{c}" for c in features] + [f"__m_{c}" for c in flags]
     return VectorAssembler(inputCols=inputs, outputCol="features").transform(out).drop(*inputs)
 

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import stored
+
 from ..constants import PRIORITY_CUTS, SURFACE_CHAINS, THREAT_WEIGHTS
 
 COMPOSITE_FAMILY = "Composite (discovered)"
@@ -73,6 +75,14 @@ def ordered(catalogue: DataFrame, by: str = "threat_score") -> DataFrame:
     return catalogue.orderBy(F.desc(by), F.desc("threat_score"), "id")
 
 
+# What a first stage on each surface leaves for a second one to use.
+HANDED_OVER = {
+    "model": "knowledge of what is let through", "onboarding": "an account in another name", "authentication": "a session that passes as the owner's",
+    "authorisation": "money that has been sent", "settlement": "money that has been moved on", "dispute": "a refund that has been paid",
+}
+LINKS = ["one entity, device or payee in both stages", "little time between the stages"]
+
+
 def seam_bonus(a: str, b: str) -> Column:
     """How much harder a pair is to see than its harder half."""
     of = lambda side, c: F.col(f"{side}.{c}")
@@ -107,41 +117,44 @@ def pair_candidates(catalogue: DataFrame, exclude_families: list[str] = (), chai
         (0.5 * (F.col("a.threat_score") + F.col("b.threat_score")) / 100.0 + 0.6 * bonus).alias("pre_score"))
 
 
-def select_pairs(pairs: DataFrame, k: int, cap: int = 2, pool: int | None = None) -> DataFrame:
+def select_pairs(pairs: DataFrame, k: int, cap: int = 2) -> DataFrame:
     """First ``k`` pairs by pre-score in which no parent appears more than ``cap`` times.
 
-    Each round walks the best ``k`` pairs still open and then drops every pair of
-    a full parent, until ``k`` are picked or none is left. The outcome equals
-    walking the whole list in order, and only ``k`` ids a round reach the driver.
+    Equal to walking all pairs in order, but in rounds: a pair that is among the best still
+    open of both its parents, within what room they have left, would be picked by the walk
+    whatever comes before it, so all such pairs are picked at once. Pairs of full parents
+    close. Every round picks at least the best open pair. Pairs, picks and rooms are tables;
+    the driver sees one row a round. Rounds end when the first ``k`` are certain.
     """
-    keyed = pairs.select(
-        F.col("a.id").alias("a_id"), F.col("b.id").alias("b_id"), "pre_score", *[c for c in ("a", "b", "bonus")])
-    picked: list[tuple] = []
-    used: dict[str, int] = {}
+    order = ["pre_score", "a_id", "b_id"]
+    keyed = pairs.select(F.col("a.id").alias("a_id"), F.col("b.id").alias("b_id"), "pre_score", *[c for c in ("a", "b", "bonus")])
+    open_ = stored(keyed.select(*order), "open-pairs")
+    picked: DataFrame | None = None
+    by_order = [F.desc("pre_score"), F.asc("a_id"), F.asc("b_id")]
+    parents = lambda df: df.select(*order, F.explode(F.array("a_id", "b_id")).alias("parent"))
     while True:
-        full = [p for p, c in used.items() if c >= cap]
-        rest = keyed
-        if full:
-            rest = rest.filter(~F.col("a_id").isin(full) & ~F.col("b_id").isin(full))
-        if picked:
-            done = [f"{a}\x00{b}" for a, b, _ in picked]
-            rest = rest.filter(~F.concat_ws("\x00", "a_id", "b_id").isin(done))
-        nxt = rest.orderBy(F.desc("pre_score"), "a_id", "b_id").select("a_id", "b_id", "pre_score").limit(max(k, 1)).collect()
-        progressed = False
-        for row in nxt:
-            if len(picked) >= k:
-                break
-            if used.get(row.a_id, 0) >= cap or used.get(row.b_id, 0) >= cap:
-                continue
-            used[row.a_id] = used.get(row.a_id, 0) + 1
-            used[row.b_id] = used.get(row.b_id, 0) + 1
-            picked.append((row.a_id, row.b_id, len(picked) + 1))
-            progressed = True
-        if len(picked) >= k or not progressed:
+        best = F.row_number().over(Window.partitionBy("parent").orderBy(*by_order))
+        ranked = parents(open_).withColumn("__r", best).filter(F.col("__r") <= cap)  # cut before the shuffle
+        if picked is not None:
+            used = parents(picked).groupBy("parent").agg(F.count(F.lit(1)).alias("__used"))
+            ranked = ranked.join(used, "parent", "left").filter(F.col("__r") <= cap - F.coalesce("__used", F.lit(0)))
+        chosen = ranked.groupBy(*order).count().filter("count = 2").drop("count")
+        picked = stored(chosen if picked is None else picked.unionByName(chosen), "picked-pairs")
+        full = parents(picked).groupBy("parent").count().filter(F.col("count") >= cap).select("parent")
+        rest = open_.join(picked.select("a_id", "b_id"), ["a_id", "b_id"], "left_anti")
+        for side in ("a_id", "b_id"):
+            rest = rest.join(full.withColumnRenamed("parent", side), side, "left_anti")
+        open_ = stored(rest.select(*order), "open-pairs")
+        best_open = open_.orderBy(*by_order).first()
+        if best_open is None:
             break
-    spark = pairs.sparkSession
-    picks = spark.createDataFrame(picked, "a_id STRING, b_id STRING, pick INT")
-    return keyed.join(F.broadcast(picks), ["a_id", "b_id"])
+        ahead = (F.col("pre_score") > best_open["pre_score"]) | (
+            (F.col("pre_score") == best_open["pre_score"]) & (F.struct("a_id", "b_id") < F.struct(F.lit(best_open["a_id"]), F.lit(best_open["b_id"]))))
+        if picked.filter(ahead).count() >= k:
+            break
+    first = picked.orderBy(*by_order).limit(k)
+    numbered = first.withColumn("pick", F.row_number().over(Window.orderBy(*by_order)))  # k rows
+    return keyed.join(F.broadcast(numbered.drop("pre_score")), ["a_id", "b_id"])
 
 
 def _scale(c: Column) -> Column:
@@ -163,7 +176,13 @@ def composed_scales(pairs: DataFrame) -> DataFrame:
 
 
 def compose(selected: DataFrame) -> DataFrame:
-    """Composite records of the selected pairs, numbered by threat score."""
+    """Composite records of the selected pairs, numbered by threat score.
+
+    Between the stages stands what the first one hands over; the signals end with those
+    that only show when both stages are looked at together.
+    """
+    gains = F.create_map(*[F.lit(x) for kv in HANDED_OVER.items() for x in kv])
+    handed = F.concat(F.lit("[hand-off] "), F.coalesce(gains[F.col("a.surface")], F.lit("the result of the first stage")))
     selected = composed_scales(selected)
     first_last = lambda side, n: F.transform(
         F.array(F.element_at(f"{side}.kill_chain", 1), F.element_at(f"{side}.kill_chain", -1)),
@@ -176,8 +195,8 @@ def compose(selected: DataFrame) -> DataFrame:
         F.col("b.surface").alias("surface"),
         F.concat_ws(" ", F.lit("Two stages:"), F.lower("a.name"), F.lit("hands over to"), F.lower("b.name")).alias("summary"),
         "genai_uplift", "detection_gap", "impact", "feasibility", "scale_velocity",
-        F.concat(first_last("a", 1), first_last("b", 2)).alias("kill_chain"),
-        F.array_distinct(F.concat(F.slice("a.observable_signals", 1, 3), F.slice("b.observable_signals", 1, 3)))
+        F.concat(first_last("a", 1), F.array(handed), first_last("b", 2)).alias("kill_chain"),
+        F.array_distinct(F.concat(F.slice("a.observable_signals", 1, 3), F.slice("b.observable_signals", 1, 3), F.array(*[F.lit(x) for x in LINKS])))
         .alias("observable_signals"),
         F.array_distinct(F.concat(F.slice("a.mitigations", 1, 1), F.slice("b.mitigations", 1, 1))).alias("mitigations"),
         F.lit("discovered").alias("status"), F.lit(None).cast("string").alias("injector"),

@@ -213,3 +213,28 @@ def next_after(
     back = df.withColumn("__back", -F.col(order))
     out = causal(back, key, "__back", running=[Running("__next", F.col("__back"), "max")], hot=hot, limit=limit)
     return out.withColumn(name, -F.col("__next")).drop("__back", "__next")
+
+
+def seen_since(
+    df: DataFrame, key: list[str], order: str, visible: str, name: str, value: Column, span: int,
+    limit: int = DEFAULT_LIMIT, hot: DataFrame | None | object = AUTO,
+) -> DataFrame:
+    """``df`` with ``name``: the sum of ``value`` over the key's rows of ``[t - span, t)`` that were visible before t.
+
+    Two clocks: a row happens at ``order`` and its value becomes known at ``visible`` (never
+    known where NULL). It counts from the later of both until the span from when it
+    happened has passed, so a dispute filed weeks after its payment is not seen by the
+    payments in between. Both ends are steps on the key's one timeline.
+    """
+    payload = [c for c in df.columns if c not in {*key, order}]
+    start = F.greatest(F.col(order), F.col(visible))
+    end = F.col(order) + F.lit(span)
+    v = value.cast("long")
+    counted = df.filter(F.col(visible).isNotNull() & (v != 0) & (start <= end))
+    ends = F.array(F.struct(start.alias("at"), v.alias("step")), F.struct(end.alias("at"), (-v).alias("step")))
+    steps = counted.select(*key, F.explode(ends).alias("__s")).select(
+        *key, F.col("__s.at").alias(order), F.col("__s.step").alias("__step"), F.lit(False).alias("__ask"))
+    asks = df.select(*key, order, F.lit(0).cast("long").alias("__step"), F.lit(True).alias("__ask"), F.struct(*payload).alias("__row"))
+    line = asks.unionByName(steps, allowMissingColumns=True)
+    out = causal(line, key, order, [Running(name, F.col("__step"))], limit=limit, hot=hot).filter("__ask")
+    return out.select(*key, order, *[F.col(f"__row.{c}").alias(c) for c in payload], name)

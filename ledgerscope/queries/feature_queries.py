@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..constants import FORBIDDEN_FEATURES, HIGH_RISK_COUNTRIES, LIQUID_CATEGORIES
 from ..constants import AUTH_METHODS, CATEGORIES, DEVICE_OS, PERSONAS, RAILS
+from ..operators.causal import seen_since
 from ..operators.features import FEATURE_NAMES, features
 from ..session import stored
 from ..sources import tables as T
@@ -269,3 +270,15 @@ def _spark(names: list[str]):
 assert not FORBIDDEN_FEATURES & set(FEATURE_NAMES)
 for _name, _cols in GROUPS.items():
     query(_name, _sql(_cols))(_spark(_cols))
+
+
+FILED_US = f"CASE WHEN dispute_filed = 1 THEN ts_us + (txn_id % 40) * {D} END"
+
+
+@query("f42_disputes_on_two_clocks", f"WITH {LEDGER_SQL}, l AS (SELECT *, {FILED_US} AS filed_us FROM ledger) SELECT a.txn_id, CAST(count(d.txn_id) AS BIGINT) AS known_disputes_90d "
+       f"FROM l a LEFT JOIN l d ON a.customer_id = d.customer_id AND d.ts_us < a.ts_us AND d.ts_us >= a.ts_us - {90 * D} AND d.filed_us < a.ts_us GROUP BY a.txn_id")
+def _f42_two_clocks(spark, sf):
+    """Disputes of the last 90 days that had been filed by then; filing takes up to 39 days."""
+    led = T.ledger(spark, sf).withColumn("ts_us", F.unix_micros("ts")).withColumn("filed_us", F.expr(FILED_US))
+    seen = seen_since(led.select("txn_id", "customer_id", "ts_us", "filed_us"), ["customer_id"], "ts_us", "filed_us", "known_disputes_90d", F.lit(1), 90 * D)
+    return seen.select("txn_id", "known_disputes_90d")

@@ -238,6 +238,24 @@ def _x4(spark, sf):
     return explain.case_files(df, none).select("vector_id", "txn_id", "amount", "family_n", "family_median_score")
 
 
+CASE_SQL = (
+    f"x AS ({_x_sql(X_CANDIDATES)}), t AS (WITH {LEDGER_SQL} SELECT txn_id, vector_id, amount, narrative_id FROM ledger WHERE vector_id IS NOT NULL), "
+    "joint AS (SELECT t.*, x.base_score, x.reasons, row_number() OVER (PARTITION BY vector_id ORDER BY amount DESC, t.txn_id) AS i, count(*) OVER (PARTITION BY vector_id) AS fn, "
+    "median(base_score) OVER (PARTITION BY vector_id) AS fm FROM t JOIN x ON t.txn_id = x.txn_id), "
+    "talk AS (SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS said, CASE WHEN conv_id % 3 = 0 THEN 'coercion' ELSE 'benign' END AS kind FROM conversations GROUP BY conv_id)")
+
+
+@register("x4_case_files_with_reasons", f"WITH {CASE_SQL} SELECT vector_id, txn_id, {r('amount', 'amount', 2)}, {r('base_score', 'base_score')}, reasons, {n('fn', 'family_n')}, {r('fm', 'family_median_score')}, talk.kind AS episode_kind, said "
+          "FROM joint LEFT JOIN talk ON narrative_id = conv_id WHERE i = 1")
+def _x4_full(spark, sf):
+    """The case file as an analyst gets it: the payment, why it scored, its family, and what was said."""
+    told = rule_reasons(stored(rule_features(spark, sf), "features"), X_CANDIDATES)
+    scored_ = T.ledger(spark, sf).select("txn_id", "vector_id", "amount", "narrative_id").join(told.select("txn_id", F.col("base_score").alias("score")), "txn_id")
+    files_ = explain.case_files(scored_, told, T.episodes(spark, sf))
+    said = F.array_join(F.transform("episode.turns", lambda t: F.concat(t["speaker"], F.lit(": "), t["text"])), "\n")
+    return files_.select("vector_id", "txn_id", "amount", "base_score", "reasons", "family_n", "family_median_score", F.col("episode.kind").alias("episode_kind"), said.alias("said"))
+
+
 # Requests.
 
 REQ_FEATURES = ["amount", "log_amount", "is_new_beneficiary", "screen_share", "screen_share_and_new_benef", "coercion_score", "has_episode", "cat_rail"]
@@ -369,7 +387,22 @@ def _c6(spark, sf):
     return CAT.compose_pairs(cat(spark, sf), 10)
 
 
-@query("c7_k10_select_pairs")
+def _greedy_sql(k: int = 10, cap: int = 2) -> str:
+    """The walk over all pairs, one step a pick: the best pair not picked whose parents are picked less than ``cap`` times."""
+    steps = ["o AS MATERIALIZED (SELECT a_id, b_id, 0.5 * (ats + bts) / 100.0 + 0.6 * bonus AS pre_score FROM bon)"]
+    for i in range(1, k + 1):
+        before = " UNION ALL ".join(f"SELECT * FROM p{j}" for j in range(1, i))
+        if i == 1:
+            steps.append("p1 AS MATERIALIZED (SELECT 1 AS pick, * FROM o ORDER BY pre_score DESC, a_id, b_id LIMIT 1)")
+            continue
+        steps.append(
+            f"u{i} AS MATERIALIZED ({before}), f{i} AS MATERIALIZED (SELECT id FROM (SELECT a_id AS id FROM u{i} UNION ALL SELECT b_id FROM u{i}) GROUP BY id HAVING count(*) >= {cap}), "
+            f"p{i} AS MATERIALIZED (SELECT {i} AS pick, * FROM o WHERE a_id NOT IN (SELECT id FROM f{i}) AND b_id NOT IN (SELECT id FROM f{i}) "
+            f"AND (a_id, b_id) NOT IN (SELECT (a_id, b_id) FROM u{i}) ORDER BY pre_score DESC, a_id, b_id LIMIT 1)")
+    return ", ".join(steps) + ", picks AS (" + " UNION ALL ".join(f"SELECT * FROM p{j}" for j in range(1, k + 1)) + ")"
+
+
+@register("c7_k10_select_pairs", f"WITH {CAT_SQL}, {PAIR_SQL}, {_greedy_sql()} SELECT a_id, b_id, CAST(pick AS INT) AS pick, {r('pre_score', 'pre_score')} FROM picks")
 def _c7(spark, sf):
     picked = CAT.select_pairs(CAT.pair_candidates(cat(spark, sf)), 10)
     return picked.select("a_id", "b_id", "pick", "pre_score")
@@ -670,3 +703,23 @@ def _io7(spark, sf):
     eps = files.read_ndjson(spark, f"{path}/episodes", "episode_id LONG").agg(F.count("episode_id").alias("n")).select(F.lit("episodes").alias("part"), "n")
     return led.unionByName(eps)
 
+
+@register("io6_files_per_day", f"SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS dt, {n('count(*)', 'n')}, true AS bounded FROM events GROUP BY 1")
+def _io6_files(spark, sf):
+    """Rows of each day, and whether its files are as few and as large as asked."""
+    path, limit = scratch(spark, "days"), 200
+    files.write_columnar(T.read(spark, sf, "events"), path, rows_per_file=limit)
+    per_file = spark.read.parquet(path).groupBy("dt", F.input_file_name().alias("file")).count()
+    days = per_file.groupBy("dt").agg(F.sum("count").alias("n"), F.count(F.lit(1)).alias("files"), F.max("count").alias("largest"))
+    return days.select(F.col("dt").cast("string"), "n", ((F.col("largest") <= limit) & (F.col("files") <= 2 * F.ceil(F.col("n") / limit))).alias("bounded"))
+
+
+@register("io7_episode_turns", "SELECT conv_id AS episode_id, CASE WHEN conv_id % 3 = 0 THEN 'coercion' ELSE 'benign' END AS kind, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS BIGINT) AS place, role AS speaker, text FROM conversations")
+def _io7_turns(spark, sf):
+    """Conversations written as one nested line each and read back turn by turn."""
+    path = scratch(spark, "episodes")
+    turns = T.read(spark, sf, "conversations").select(
+        F.col("conv_id").alias("episode_id"), F.expr("CASE WHEN conv_id % 3 = 0 THEN 'coercion' ELSE 'benign' END").alias("kind"), "turn", F.col("role").alias("speaker"), "text")
+    files.write_nested(turns, path, ["episode_id"], ["turn"], ["speaker", "text"], "turns")
+    back = files.read_ndjson(spark, path, "episode_id LONG, kind STRING, turns ARRAY<STRUCT<speaker: STRING, text: STRING>>")
+    return back.select("episode_id", "kind", F.posexplode("turns").alias("place", "t")).select("episode_id", "kind", F.col("place").cast("long").alias("place"), "t.speaker", "t.text")

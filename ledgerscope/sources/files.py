@@ -45,10 +45,21 @@ def read_report(spark: SparkSession, path: str, schema: str | None = None) -> Da
     return (reader.schema(schema) if schema else reader).json(path)
 
 
-def write_columnar(df: DataFrame, path: str, ts: str = "ts", mode: str = "errorifexists") -> None:
-    """Parquet, one folder per UTC day; rows of a day are spread over many tasks."""
+def write_columnar(df: DataFrame, path: str, ts: str = "ts", mode: str = "errorifexists", rows_per_file: int = 5_000_000) -> None:
+    """Parquet, one folder per UTC day, in files of at most ``rows_per_file`` rows.
+
+    The rows of each day are counted first. A day gets as many pieces as it needs, dealt
+    out by hash, so a busy day is written by many tasks and a quiet one is one file.
+    """
     day = F.date_from_unix_date(F.floor(F.unix_micros(ts) / F.lit(DAY_US)).cast("int"))
-    df.withColumn("dt", day).write.mode(mode).partitionBy("dt").parquet(path)
+    dated = df.withColumn("dt", day)
+    pieces = dated.groupBy("dt").agg(F.ceil(F.count(F.lit(1)) / rows_per_file).cast("int").alias("__pieces"))  # a row a day
+    count = pieces.agg(F.sum("__pieces")).first()[0] or 1
+    found = pieces.select(F.col("dt").alias("__dt"), "__pieces")
+    cut = dated.join(F.broadcast(found), F.col("dt").eqNullSafe(F.col("__dt")))
+    piece = F.pmod(F.xxhash64(*df.columns), F.col("__pieces"))
+    dealt = cut.withColumn("__piece", piece).repartition(count, "dt", "__piece").drop("__dt", "__pieces", "__piece")
+    dealt.write.mode(mode).option("maxRecordsPerFile", rows_per_file).partitionBy("dt").parquet(path)
 
 
 def read_columnar(spark: SparkSession, path: str, first: str | None = None, last: str | None = None) -> DataFrame:
@@ -67,7 +78,43 @@ def dump(ledger: DataFrame, episodes: DataFrame, path: str, mode: str = "errorif
     write_ndjson(episodes, f"{path}/episodes", mode)
 
 
+def write_nested(
+    rows: DataFrame, path: str, key: list[str], order: list[str], fields: list[str], name: str, mode: str = "errorifexists",
+) -> None:
+    """One gzipped JSON line per key: its constant columns, then ``name``, the array of its rows' ``fields`` in ``order``.
+
+    Rows are dealt out by key, sorted inside each task, and joined to lines as they pass,
+    each already JSON text; no row is gathered in an array. A line is as long as its key's text.
+    """
+    constant = [c for c in rows.columns if c not in {*order, *fields}]
+    as_json = lambda cols: F.to_json(F.struct(*cols), {"ignoreNullFields": "false"})
+    told = normalise(rows).select(*key, *order, F.xxhash64(*key).alias("__key"), as_json(constant).alias("__head"), as_json(fields).alias("__item"))
+    sorted_ = told.repartition(*key).sortWithinPartitions("__key", "__head", *order, "__item").select("__head", "__item")
+
+    def lines(batches):
+        import pyarrow as pa
+
+        head, items = None, []
+        for batch in batches:
+            done = []
+            for h, item in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if h != head:
+                    if head is not None:
+                        done.append(_nested_line(head, name, items))
+                    head, items = h, []
+                items.append(item)
+            yield pa.RecordBatch.from_arrays([pa.array(done, pa.string())], names=["value"])
+        if head is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([_nested_line(head, name, items)], pa.string())], names=["value"])
+
+    sorted_.mapInArrow(lines, "value string").write.mode(mode).option("compression", "gzip").text(path)
+
+
+def _nested_line(head: str, name: str, items: list[str]) -> str:
+    return f'{head[:-1]}{"," if len(head) > 2 else ""}"{name}":[{",".join(items)}]}}'
+
+
 __all__ = [
     "EPISODE_SCHEMA", "LEDGER_SCHEMA", "dump", "normalise", "read_columnar", "read_ndjson", "read_report",
-    "write_columnar", "write_csv", "write_ndjson", "write_report",
+    "write_columnar", "write_csv", "write_ndjson", "write_nested", "write_report",
 ]
