@@ -22,19 +22,23 @@ CAPACITY = 2048
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below the limit; empty texts are scored like all others."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    rows = docs.select(F.struct(*docs.columns).alias("row"), "text")
-    scored = toxicity.score(rows, *toxicity.fit(toxicity.training_rows(docs, labels)), keep=("row",))
-    return scored.where(F.col("score") < TOXIC_FROM).select("row.*")
+    rows = docs.select(F.struct(*[c for c in docs.columns if c != "text"]).alias("row"), "text")
+    scored = toxicity.score(rows, *toxicity.fit(toxicity.training_rows(docs, labels)), keep=("row", "text"))
+    return scored.where(F.col("score") < TOXIC_FROM).select("row.*", "text").select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest id; of equal rows one stays."""
-    groups = saved(jaccard.near_duplicates(docs, SIMILAR_PERCENT), "groups")
-    stays = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id"))
-    kept = docs.join(stays.distinct(), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    if stays.groupBy("_id").count().where("count > 1").isEmpty():
-        return kept
-    return kept.dropDuplicates(["doc_id", "text"])  # ids that come several times
+    """One document of each group of near copies: the one with the smallest id, one without an id only
+    where none has one; of equal rows one stays."""
+    # Rows are told apart by id and text, since ids may be missing or come several times.
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(7), "text").alias("h2"))
+    groups = saved(jaccard.near_duplicates(docs.select(key.alias("doc_id"), "text"), SIMILAR_PERCENT), "groups")
+    stays = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), key.alias("key"))
+    kept = rows.join(stays.distinct().select(F.col("doc_id").alias("stays")), F.col("key").eqNullSafe(F.col("stays")), "left_semi")
+    if not stays.groupBy("doc_id").count().where("count > 1").isEmpty():
+        kept = kept.dropDuplicates(["key"])
+    return kept.select("row.*")
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
