@@ -26,7 +26,8 @@ its members' tokens, not their square; yet every link between different groups i
 so no component is split.
 
 Nulls and odd input: documents without words have an empty set and are linked with
-nothing; ids that are null are given no component. Repeated rows are copies. Shingles
+nothing. A null id counts as the largest: a document without one gets the smallest id of
+its component, and none where no document there has one. Repeated rows are copies. Shingles
 are 64-bit hashes and classes 64-bit digests of their sets.
 """
 
@@ -37,8 +38,9 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -174,41 +176,80 @@ def signatures(docs: DataFrame, common: np.ndarray, percent: int) -> DataFrame:
     return source.mapInArrow(run, f"doc_id {kind}, n long, class long, least array<long>, parity binary, tokens array<long>")
 
 
-def shared_tokens(signed: DataFrame) -> DataFrame:
-    """(h, class) of tokens that at least two classes hold."""
-    rows = signed.where("tokens IS NOT NULL").select(F.explode("tokens").alias("h"), "class")
-    # Aggregated before the shuffle, then a join that Spark can split: no token gathers its rows in one task.
-    several = rows.groupBy("h").agg(F.min("class").alias("_low"), F.max("class").alias("_high")).where("_low < _high").select("h")
-    return rows.distinct().join(several, "h", "left_semi").select("h", "class")
+def representatives(signed: DataFrame) -> DataFrame:
+    """(class, d): of each class one document with tokens, by the hash of its id."""
+    return signed.where("tokens IS NOT NULL").groupBy("class").agg(F.min(F.xxhash64("doc_id")).alias("d"))
+
+
+def _chosen(reps: DataFrame, bits: int):
+    """Broadcast bitmap of the representatives: asks for one row of each class, and perhaps a few more."""
+    return reps.sparkSession.sparkContext.broadcast(bitmap.build(reps.select(F.col("class").bitwiseXOR(F.col("d")).alias("h")), bits))
+
+
+def _speaks(chosen, names: np.ndarray, d: np.ndarray) -> np.ndarray:
+    return bitmap.holds(chosen, (names ^ d).view(np.uint64))
+
+
+def shared_tokens(signed: DataFrame, chosen, bits: int) -> DataFrame:
+    """(h, class) of tokens that at least two classes hold.
+
+    Only representatives speak for their class. A first pass counts tokens; those met twice
+    set a bit in a bitmap of fixed size, and only they travel with their class in the second.
+    What copies or a full bitmap let through drops out in the exact count at the end.
+    """
+    rows = signed.where("tokens IS NOT NULL").select("class", F.xxhash64("doc_id").alias("d"), "tokens")
+
+    def speaking(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        names = batch.column(0).to_numpy()
+        on = np.flatnonzero(_speaks(chosen.value, names, batch.column(1).to_numpy()))
+        tokens = batch.column(2).take(pa.array(on))
+        return names[on].repeat(pc.list_value_length(tokens).to_numpy()), tokens.flatten().to_numpy()
 
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h, n = np.unique(speaking(batch)[1], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.minimum(n, 2).astype(np.int8))], names=["h", "n"])
+
+    twice = rows.mapInArrow(counted, "h long, n byte").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
+    perhaps = signed.sparkSession.sparkContext.broadcast(bitmap.build(twice, bits))
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, h = speaking(batch)
+            on = bitmap.holds(perhaps.value, h.view(np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(h[on]), pa.array(names[on])], names=["h", "class"])
+
+    known = rows.mapInArrow(told, "h long, class long")
+    # Aggregated before the shuffle, then a join that Spark can split: no token gathers its rows in one task.
+    several = known.groupBy("h").agg(F.min("class").alias("_low"), F.max("class").alias("_high")).where("_low < _high").select("h")
+    return known.distinct().join(several, "h", "left_semi").select("h", "class")
 
-def _first(rows: DataFrame) -> DataFrame:
-    """One row of each class."""
-    return rows.withColumn("_k", F.row_number().over(Window.partitionBy("class").orderBy("n"))).where("_k = 1").drop("_k")
 
+def class_cards(signed: DataFrame, tokens: DataFrame, reps: DataFrame) -> DataFrame:
+    """(class, n, least, parity) of the classes that hold a shared token, from their representatives."""
+    rows = signed.where("tokens IS NOT NULL").select("class", F.xxhash64("doc_id").alias("d"), "n", "least", "parity")
+    wanted = reps.join(tokens.select("class").distinct(), "class", "left_semi")
+    return rows.join(wanted, ["class", "d"], "left_semi").drop("d").dropDuplicates(["class"])
 
-def class_cards(signed: DataFrame, tokens: DataFrame) -> DataFrame:
-    """(class, n, least, parity) of the classes that hold a shared token."""
-    rows = signed.where("tokens IS NOT NULL").select("class", "n", "least", "parity")
-    return _first(rows).join(tokens.select("class").distinct(), "class", "left_semi")
 
+def class_sets(docs: DataFrame, wanted: DataFrame, reps: DataFrame, bits: int) -> DataFrame:
+    """(class, set as bytes) of the wanted classes, from another pass over the texts.
 
-def class_sets(docs: DataFrame, wanted: DataFrame, bits: int) -> DataFrame:
-    """(class, set as bytes) of the wanted classes, from another pass over the texts."""
-    perhaps = docs.sparkSession.sparkContext.broadcast(bitmap.build(wanted.select(F.col("class").alias("h")), bits))
+    Only the representative of a class gives its set, so a class of a third of all documents sends one.
+    """
+    asked = reps.join(wanted.select("class").distinct(), "class", "left_semi")
+    chosen = _chosen(asked, bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, sets in _sets(batches):
-            kept: dict[int, np.ndarray] = {_name(s): s for s in sets if len(s)}
-            names = np.fromiter(kept, np.int64, len(kept))
-            if len(names):
-                names = names[bitmap.holds(perhaps.value, names.view(np.uint64))]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(names), pa.array([len(kept[c]) for c in names.tolist()], pa.int64()),
-                 pa.array([kept[c].tobytes() for c in names.tolist()], pa.binary())], names=["class", "n", "set"])
+        for batch, sets in _sets(batches):
+            names = np.array([_name(s) if len(s) else 0 for s in sets], np.int64)
+            on = np.flatnonzero(_speaks(chosen.value, names, batch.column(0).to_numpy()) & (np.array([len(s) for s in sets]) > 0))
+            kept = {int(names[i]): sets[i].tobytes() for i in on.tolist()}
+            yield pa.RecordBatch.from_arrays([pa.array(list(kept), pa.int64()), pa.array(list(kept.values()), pa.binary())], names=["class", "set"])
 
-    found = docs.select("text").mapInArrow(run, "class long, n long, set binary")
-    return _first(found).drop("n").join(wanted.select("class").distinct(), "class", "left_semi")
+    found = docs.select(F.xxhash64("doc_id").alias("d"), "text").mapInArrow(run, "class long, set binary")
+    # A row that the bitmap let through by chance, and repeated rows, are equal to the representative's.
+    return found.join(wanted.select("class").distinct(), "class", "left_semi").dropDuplicates(["class"])
 
 
 def _overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
@@ -463,14 +504,16 @@ def near_duplicates(docs: DataFrame, percent: int = 75, bits: int = BITS) -> Dat
     """doc_id, n_shingles, class and component_id of every document."""
     common = bitmap.build(common_tokens(docs), bits)
     signed = saved(signatures(docs, common, percent), "signatures")
-    tokens = saved(shared_tokens(signed), "tokens")
-    cards = saved(class_cards(signed, tokens), "cards")
+    reps = saved(representatives(signed), "representatives")
+    chosen = _chosen(reps, bits)
+    tokens = saved(shared_tokens(signed, chosen, bits), "tokens")
+    cards = saved(class_cards(signed, tokens, reps), "cards")
     partners = saved(possible_partners(cards, _chunks(cards, CHUNK), percent), "partners")
-    sets = saved(class_sets(docs, partners, bits), "sets")
+    sets = saved(class_sets(docs, partners, reps, bits), "sets")
     first = saved(group_links(sets, partners, percent), "links")
     open_, placed = qualifying(cards, tokens, components(first), percent)
     ends = open_.select("class").union(open_.select(F.explode("members").alias("class"))).distinct()
-    more_sets = saved(class_sets(docs, ends, bits), "sets")
+    more_sets = saved(class_sets(docs, ends, reps, bits), "sets")
     more = matrix_links(open_, placed, more_sets, percent)
     roots = components(reduce(DataFrame.union, [first, more]))
     # The smallest id of a class, then of a component: both are reduced before they travel.

@@ -92,7 +92,7 @@ def fit(training: DataFrame, rounds: int = ROUNDS, shards: int = SHARDS) -> tupl
     """Places and weights that are not zero. ``training`` holds doc_id, _text and _label."""
     spark = training.sparkSession
     size = 1 << BITS
-    schema = "doc_id long, _label int, _places array<long>"
+    schema = T.StructType([training.schema["doc_id"], *T._parse_datatype_string("_label int, _places array<long>").fields])
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -138,10 +138,12 @@ def fit(training: DataFrame, rounds: int = ROUNDS, shards: int = SHARDS) -> tupl
 
 
 def score(docs: DataFrame, kept: np.ndarray, weights: np.ndarray, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns and ``score`` between 0 and 1 for every row."""
+    """``keep`` columns and ``score`` between 0 and 1 for every row. A text that is kept travels once."""
     shared = docs.sparkSession.sparkContext.broadcast((kept.astype(np.int64), weights))
-    source = docs.select(*keep, F.col("text").alias("_text"))
-    schema = T.StructType([*source.schema.fields[:-1], T.StructField("score", T.DoubleType())])
+    told = [c for c in keep if c != "text"]
+    source = docs.select(*told, "text")
+    names = [*told, "text"] if "text" in keep else told
+    schema = T.StructType([*source.select(*names).schema.fields, T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept, weights = shared.value
@@ -150,7 +152,7 @@ def score(docs: DataFrame, kept: np.ndarray, weights: np.ndarray, keep: tuple[st
         for batch in batches:
             texts = batch.column(batch.num_columns - 1).to_pylist()
             scores = [_sigmoid(dense[places(t or "")].sum()) if len(kept) else 0.0 for t in texts]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64())], names=[*batch.schema.names[:-1], "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(scores, pa.float64())], names=[*names, "score"])
 
     return source.mapInArrow(run, schema)
 

@@ -26,6 +26,19 @@ def test_stages(spark, sf_dir):
     assert {r.doc_id - 10_000_000 for r in packed} == set(rows)
 
 
+def test_near_duplicates_without_ids_and_with_clashing_columns(spark, sf_dir):
+    rows = [(None, "a b c d e f", "x"), (3, "a b c d e f", "y"), (None, "q r s t u v", "z"), (None, "q r s t u v", "z"), (9, None, "n"), (None, None, "m"),
+            (5, "same id one text here", "p"), (5, "same id other text there", "q"), (7, "k l m n o p", "r"), (7, "k l m n o p", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _id string").selectExpr("*", "'k' AS key", "'r' AS row", "0L AS class", "'st' AS stays")
+    for table in (docs, docs.withColumn("doc_id", docs.doc_id.cast("string"))):
+        kept = corpus_pipeline.drop_near_duplicates(spark, table, sf_dir)
+        assert kept.columns == table.columns
+        got = sorted((str(r.doc_id), str(r.text)) for r in kept.collect())
+        assert got == sorted([("3", "a b c d e f"), ("None", "q r s t u v"), ("9", "None"), ("None", "None"), ("5", "same id one text here"),
+                              ("5", "same id other text there"), ("7", "k l m n o p")])
+    assert corpus_pipeline.drop_near_duplicates(spark, docs.limit(0), sf_dir).count() == 0
+
+
 def test_toxic_documents_go_and_clean_ones_stay(spark):
     sf_dir = "/root/testdata/sf0.1"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")

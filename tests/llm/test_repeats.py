@@ -93,11 +93,12 @@ def test_matrix_finds_links_that_groups_miss(spark):
     docs = frame(spark, texts)
     common = bitmap.build(jaccard.common_tokens(docs), 12)
     signed = jaccard.signatures(docs, common, 75)
-    tokens = jaccard.shared_tokens(signed)
-    cards = jaccard.class_cards(signed, tokens)
+    reps = jaccard.representatives(signed)
+    tokens = jaccard.shared_tokens(signed, jaccard._chosen(reps, 12), 12)
+    cards = jaccard.class_cards(signed, tokens, reps)
     alone = spark.createDataFrame([], "class long, root long")  # every class its own group
     open_, placed = jaccard.qualifying(cards, tokens, alone, 75, chunk=4)
-    links = jaccard.matrix_links(open_, placed, jaccard.class_sets(docs, cards, 12), 75)
+    links = jaccard.matrix_links(open_, placed, jaccard.class_sets(docs, cards, reps, 12), 75)
     roots = {r["class"]: r.root for r in jaccard.components(links).collect()}
     names = {r.doc_id: r["class"] for r in signed.collect()}
     got = collections.defaultdict(set)
