@@ -53,7 +53,8 @@ BITS = 25
 CHUNK = 256  # classes compared completely at a time
 ASKERS = 1_024  # classes that ask one chunk at a time
 PARITY = 1_024  # least bits of a card
-SLICE = 2_000_000
+SLICE = 2_000_000  # characters looked at together
+PART = 400_000  # of them in work at once, at some 50 bytes each
 _B = np.uint64(0x9E3779B97F4A7C15)
 _KEYS = tuple(np.uint64(k) for k in (1, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
 
@@ -89,7 +90,18 @@ def _word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def shingle_sets(texts: list[str | None], size: int = SHINGLE) -> list[np.ndarray]:
-    """Sorted distinct hashes of each text's word shingles; A-Z are lower-cased."""
+    """Sorted distinct hashes of each text's word shingles; A-Z are lower-cased. A few texts at a time are in work."""
+    out: list[np.ndarray] = []
+    start = held = 0
+    for i, t in enumerate(texts):
+        held += len(t or "")
+        if held >= PART or i == len(texts) - 1:
+            out += _shingles(texts[start : i + 1], size)
+            start, held = i + 1, 0
+    return out
+
+
+def _shingles(texts: list[str | None], size: int) -> list[np.ndarray]:
     coded = [(t or "").encode() for t in texts]
     h, starts = _word_hashes(b"\n".join(coded))
     begins = np.cumsum([0, *(len(c) + 1 for c in coded)])
@@ -126,6 +138,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, l
             if size >= SLICE or i == len(texts) - 1:
                 yield batch.slice(start, i + 1 - start), shingle_sets(texts[start : i + 1])
                 start, size = i + 1, 0
+    pa.default_memory_pool().release_unused()  # the worker goes on to other stages
 
 
 def _name(s: np.ndarray) -> int:
