@@ -27,6 +27,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import release
+
 BITS = 18
 FIT_ROWS = 20_000
 SHARDS = 2
@@ -130,6 +132,7 @@ def fit(training: DataFrame, rounds: int = ROUNDS, shards: int = SHARDS) -> tupl
             at = new["place"].to_numpy()
             z[at], n[at] = new["z"].to_numpy(), new["n"].to_numpy()
             state.destroy()
+            release(spark)  # a round's shuffle files go before the next one's come
     finally:
         dealt.unpersist()
     w = _weights(z, n)
