@@ -128,6 +128,16 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repair(conversations.damage(rows), present=F.col("present"))
 
 
-@query("op11_nn_descent")
+VECTOR_LINKS_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+links AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.95),
+reach(x, y) AS (SELECT vec_id, vec_id FROM v UNION SELECT reach.x, links.y FROM reach JOIN links ON reach.y = links.x),
+least AS (SELECT x, min(y) AS component_id FROM reach GROUP BY x),
+degree AS (SELECT x, count(*) AS n FROM links GROUP BY x)
+SELECT v.vec_id, CAST(coalesce(degree.n, 0) AS BIGINT) AS n_links, least.component_id, v.vec_id = least.component_id AS kept
+FROM v JOIN least ON v.vec_id = least.x LEFT JOIN degree ON v.vec_id = degree.x"""
+
+
+@query("op11_nn_descent", VECTOR_LINKS_SQL)
 def op11_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nn_descent.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), threshold=0.95)
