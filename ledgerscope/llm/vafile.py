@@ -1,9 +1,11 @@
 """Exact top-k inner products by a vector-approximation file.
 
-Vectors are integer arrays. Each dimension is cut into 2^``BITS`` cells of equal width; the
-approximation file keeps one byte per dimension, the cell. Every value lies within half a
-cell of its cell's middle, so the product with the middles bounds the product with the
-vector from above and below.
+Vectors hold whole numbers, as doubles, since ``floor(scale * x)`` of a large x fits no
+integer type. Each dimension is cut into 2^``BITS`` cells of equal width; the approximation
+file keeps one byte per dimension, the cell. Every value lies within half a cell of its
+cell's middle, so the product with the middles bounds the product with the vector from
+above and below; the bounds allow for the rounding of doubles. Vectors of like magnitude
+share a grid, so a huge vector does not widen the cells of the others.
 
 1. *Scan of the approximations.* Blocks of queries meet blocks of cells; per query the
    k-th largest lower bound so far rules out all whose upper bound is smaller.
@@ -16,9 +18,11 @@ k can show (one of them may be the query itself), so a vector with very many cop
 as much as one. Each query is compared with every class in blocks, none is sampled.
 
 Nulls and odd input: vectors that are null, empty, or hold a null or non-finite component
-take no part; vectors of different length are not compared with each other; scaled
-components are held to +-2^25. Rows of one id and equal vectors count once. Empty tables
-give no rows.
+take no part, nor do those whose scaled component is beyond a double; vectors of different
+length are not compared with each other. Components of any size are multiplied exactly:
+where a product may leave a long, in whole numbers of Python. Lists are ordered by the exact
+score; a score beyond a long is shown as the nearest long. Rows of one id and equal vectors
+count once. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -29,6 +33,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from .common import saved
 
@@ -37,17 +42,30 @@ SCALE = 256
 BLOCK = 4_096  # vectors in a block of the approximation file
 QUERY_BLOCK = 512
 HELD = 400_000  # candidates that a task holds before it writes them
-LIMIT = 1 << 25
+SMALL = 1 << 25  # components up to here, in vectors of up to DIMS, have products that fit a long
+DIMS = 4_096
+EPS = 2.0**-52
+LEAST, MOST = -(1 << 63), (1 << 63) - 1
 
 
 def integer_vectors(vectors: DataFrame, vector: str = "embedding", scale: int = SCALE) -> DataFrame:
     """vec_id and ``v``, the scaled and floored components, without unusable vectors."""
     x = F.col(vector)
-    bad = F.exists(x, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
-    whole = F.transform(x, lambda c: F.greatest(F.lit(-LIMIT), F.least(F.lit(LIMIT), F.floor(c.cast("double") * scale))).cast("int"))
+    unbounded = lambda c: F.isnan(c) | (F.abs(c) == float("inf"))
+    bad = F.exists(x, lambda c: c.isNull() | unbounded(c.cast("double") * scale))
+    # From 2^53 on every double is whole already, and might not fit the long that floor gives.
+    floored = lambda y: F.when(F.abs(y) < 2.0**53, F.floor(y).cast("double")).otherwise(y)
+    whole = F.transform(x, lambda c: floored(c.cast("double") * scale))
     return vectors.where(F.col("vec_id").isNotNull() & x.isNotNull() & (F.size(x) > 0) & ~bad).select("vec_id", whole.alias("v"))
 
 
+def _band() -> Column:
+    """Magnitude of a vector: 0 where products of such vectors fit a long, then one number for each factor of 256."""
+    widest = F.array_max(F.transform("v", lambda c: F.abs(c)))
+    above = F.greatest(F.lit(1), F.ceil((F.log2(widest) - 25) / 8).cast("int"))
+    return F.when((widest <= SMALL) & (F.size("v") <= DIMS), 0).otherwise(above)
+
+
 def classes(vectors: DataFrame, k: int, is_query: Column) -> DataFrame:
     """One row per distinct vector: class, v, dim, its k + 1 smallest ids, and whether a query has it."""
     by_id = Window.partitionBy("_h", "v").orderBy("vec_id")
@@ -58,25 +76,35 @@ def classes(vectors: DataFrame, k: int, is_query: Column) -> DataFrame:
     found = least.groupBy("_h", "v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
     found = found.join(asks, ["_h", "v"], "left")
     return found.select(
-        F.monotonically_increasing_id().alias("class"), "v", F.size("v").alias("dim"), "ids", F.coalesce("asked", F.lit(False)).alias("asked"))
+        F.monotonically_increasing_id().alias("class"), "v", F.size("v").alias("dim"), _band().alias("band"), "ids",
+        F.coalesce("asked", F.lit(False)).alias("asked"))
 
 
 def cell_grid(found: DataFrame, bits: int) -> DataFrame:
-    """Lowest value and cell width of every dimension."""
-    ends = found.select("dim", F.posexplode("v").alias("at", "x")).groupBy("dim", "at").agg(F.min("x").alias("low"), F.max("x").alias("high"))
-    width = F.ceil((F.col("high") - F.col("low") + 1) / F.lit(1 << bits)).cast("int")
-    cells = ends.groupBy("dim").agg(F.sort_array(F.collect_list(F.struct("at", "low", width.alias("width")))).alias("_g"))
-    return cells.select("dim", F.col("_g.low").alias("low"), F.col("_g.width").alias("width"))
+    """Lowest value and cell width of every dimension of the vectors of one length and magnitude."""
+    ends = found.select("dim", "band", F.posexplode("v").alias("at", "x"))
+    ends = ends.groupBy("dim", "band", "at").agg(F.min("x").alias("low"), F.max("x").alias("high"))
+    # Halves before the difference: two ends may be further apart than the largest double.
+    width = F.greatest(F.lit(1.0), ((F.col("high") / 2 - F.col("low") / 2) / (1 << (bits - 1))) * (1 + 1e-12) + F.lit(1.0) / (1 << bits))
+    cells = ends.groupBy("dim", "band").agg(F.sort_array(F.collect_list(F.struct("at", "low", width.alias("width")))).alias("_g"))
+    return cells.select("dim", "band", F.col("_g.low").alias("low"), F.col("_g.width").alias("width"))
+
 
+def cell_bytes(bits: int) -> Column:
+    """One byte for each dimension of ``v``: its cell in the grid's ``low`` and ``width``."""
+    steps = F.zip_with(F.zip_with("v", "low", lambda x, low: x / 2 - low / 2), "width", lambda d, w: d / w * 2)
+    inside = F.transform(steps, lambda c: F.least(F.lit((1 << bits) - 1), F.greatest(F.lit(0), F.floor(c).cast("int"))))
+    return F.unhex(F.array_join(F.transform(inside, lambda c: F.lpad(F.hex(c), 2, "0")), ""))
 
-def _blocks(rows: DataFrame, count: int, size: int, columns: list[str]) -> DataFrame:
-    """Packs rows of one length into blocks of about ``size``, by hash."""
+
+def _blocks(rows: DataFrame, by: list[str], count: int, size: int, columns: list[str]) -> DataFrame:
+    """Packs rows of one kind into blocks of about ``size``, by hash."""
     n = max(1, -(-count // size))
-    return rows.groupBy("dim", F.pmod(F.xxhash64("class"), F.lit(n)).alias("block")).agg(*[F.collect_list(F.struct("class", *columns)).alias("rows")])
+    return rows.groupBy(*by, F.pmod(F.xxhash64("class"), F.lit(n)).alias("block")).agg(*[F.collect_list(F.struct("class", *columns)).alias("rows")])
 
 
 def _scan(pairs: DataFrame, k: int) -> DataFrame:
-    """Candidates of every block pair: query class, class, upper and lower bound (both doubled)."""
+    """Candidates of every block pair: query class, class, upper and lower bound."""
 
     def flush(held: list[tuple[np.ndarray, ...]], need: int) -> pd.DataFrame | None:
         if not held:
@@ -86,7 +114,7 @@ def _scan(pairs: DataFrame, k: int) -> DataFrame:
         _, first = np.unique(q[order], return_index=True)
         last = np.append(first[1:], len(q))
         kth = np.minimum(first + need, last) - 1
-        bar = np.where(last - first >= need, low[order][kth], np.iinfo(np.int64).min)
+        bar = np.where(last - first >= need, low[order][kth], -np.inf)
         keep = up[order] >= np.repeat(bar, last - first)
         at = order[keep]
         return pd.DataFrame({"query": q[at], "class": c[at], "upper": up[at], "lower": low[at]})
@@ -95,22 +123,26 @@ def _scan(pairs: DataFrame, k: int) -> DataFrame:
         need, held, size = k + 1, [], 0
         for frame in frames:
             for row in frame.itertuples(index=False):
-                low, width = np.array(row.low, np.int64), np.array(row.width, np.int64)
+                low, width = np.array(row.low, np.float64), np.array(row.width, np.float64)
                 ids = np.fromiter((r["class"] for r in row.rows), np.int64, len(row.rows))
-                cells = np.array([r["cells"] for r in row.rows], np.int64)
-                middle = (2 * low + (2 * cells + 1) * width - 1).astype(np.float64)  # doubled
+                cells = np.frombuffer(b"".join(r["cells"] for r in row.rows), np.uint8).reshape(len(ids), len(low))
+                middle = low + (cells + 0.5) * width
                 asked = np.fromiter((r["class"] for r in row.queries), np.int64, len(row.queries))
                 q = np.array([r["v"] for r in row.queries], np.float64)
-                score = q @ middle.T
-                slack = np.abs(q) @ (width - 1).astype(np.float64)
+                with np.errstate(over="ignore", invalid="ignore"):  # beyond a double: no bound, read exactly
+                    score = q @ middle.T
+                    slack = np.abs(q) @ (width / 2)
+                    # What doubles may lose in cells, middles, products and their sums.
+                    slack += 1 + (4 * len(low) + 64) * EPS * (np.abs(q) @ (np.abs(low) + np.abs(middle).max(axis=0) + 256 * width))
+                    up, down = score + slack[:, None], score - slack[:, None]
+                up[~np.isfinite(up)], down[~np.isfinite(down)] = np.inf, -np.inf
                 take = min(need, len(ids))
-                kth = np.partition(score, len(ids) - take, axis=1)[:, len(ids) - take]
-                # Rounding of the products is far below one when they stay under 2^53; else it is allowed for.
-                fuzz = 1 + np.abs(score).max() * 1e-12
-                bar = kth - 2 * slack - 2 * fuzz if take == need else np.full(len(q), -np.inf)
-                i, j = np.nonzero(score >= bar[:, None])
-                up, down = np.ceil(score[i, j] + slack[i] + fuzz), np.floor(score[i, j] - slack[i] - fuzz)
-                held.append((asked[i], ids[j], up.astype(np.int64), down.astype(np.int64)))
+                if take == need:
+                    bar = np.partition(down, len(ids) - take, axis=1)[:, len(ids) - take]
+                else:
+                    bar = np.full(len(q), -np.inf)
+                i, j = np.nonzero(up >= bar[:, None])
+                held.append((asked[i], ids[j], up[i, j], down[i, j]))
                 size += len(i)
                 if size > HELD:
                     yield flush(held, need)
@@ -118,7 +150,7 @@ def _scan(pairs: DataFrame, k: int) -> DataFrame:
         if held:
             yield flush(held, need)
 
-    return pairs.mapInPandas(run, "query long, class long, upper long, lower long")
+    return pairs.mapInPandas(run, "query long, class long, upper double, lower double")
 
 
 def _product() -> Column:
@@ -126,11 +158,34 @@ def _product() -> Column:
     return F.aggregate(products, F.lit(0).cast("long"), lambda s, x: s + x)
 
 
-def _read(candidates: DataFrame, vectors: DataFrame) -> DataFrame:
-    """Exact products of candidates; ``query`` and ``class`` name the vectors."""
-    asked = vectors.where("asked").select(F.col("class").alias("query"), F.col("v").alias("q"))
-    exact = candidates.join(vectors.select("class", "v"), "class").join(asked, "query")
-    return exact.select("query", "class", _product().alias("score"))
+def _digits(value: int) -> str:
+    """A text that sorts as the whole number does."""
+    text = f"{len(str(abs(value))):06d}{abs(value)}"
+    return "1" + text if value >= 0 else "0" + "".join(str(9 - int(d)) for d in text)
+
+
+@F.pandas_udf(StructType([StructField("score", LongType()), StructField("beyond", StringType())]))
+def _any_product(q: pd.Series, v: pd.Series) -> pd.DataFrame:
+    out = []
+    for a, b in zip(q, v, strict=True):
+        s = sum(int(x) * int(y) for x, y in zip(a, b, strict=True))
+        out.append((s, "") if LEAST < s < MOST else (MOST if s > 0 else LEAST, _digits(s)))
+    return pd.DataFrame(out, columns=["score", "beyond"])
+
+
+def _read(candidates: DataFrame, vectors: DataFrame, wide: bool) -> DataFrame:
+    """Exact products of candidates; ``query`` and ``class`` name the vectors.
+
+    ``beyond`` orders scores that are shown as the same end of the longs; it is empty for all others.
+    """
+    asked = vectors.where("asked").select(F.col("class").alias("query"), F.col("v").alias("q"), F.col("band").alias("_qb"))
+    pairs = candidates.join(vectors.select("class", "v", "band"), "class").join(asked, "query")
+    small = (F.col("band") == 0) & (F.col("_qb") == 0)
+    exact = pairs.where(small).select("query", "class", _product().alias("score"), F.lit("").alias("beyond"))
+    if wide:
+        rest = pairs.where(~small).select("query", "class", _any_product("q", "v").alias("_s"))
+        exact = exact.unionByName(rest.select("query", "class", "_s.score", "_s.beyond"))
+    return exact
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, vector: str = "embedding", bits: int = BITS, scale: int = SCALE) -> DataFrame:
@@ -140,11 +195,12 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, vector: str = "embed
     """
     whole = integer_vectors(vectors, vector, scale)
     found = saved(classes(whole, k, is_query), "classes")
-    grid = cell_grid(found, bits)  # one row per vector length
-    cells = F.zip_with(F.zip_with("v", "low", lambda x, low: x - low), "width", lambda d, w: F.floor(d / w).cast("int"))
-    counts = found.agg(F.count(F.lit(1)), F.count(F.when(F.col("asked"), 1))).first()
-    approximations = _blocks(found.join(grid, "dim").select("dim", "class", cells.alias("cells")), counts[0], BLOCK, ["cells"]).join(grid, "dim")
-    asked = _blocks(found.where("asked"), counts[1], QUERY_BLOCK, ["v"]).select("dim", F.col("block").alias("query_block"), F.col("rows").alias("queries"))
+    grid = cell_grid(found, bits)  # one row per length and magnitude
+    counts = found.agg(F.count(F.lit(1)), F.count(F.when(F.col("asked"), 1)), F.max("band")).first()
+    wide = bool(counts[2])
+    cells = found.join(grid, ["dim", "band"]).select("dim", "band", "class", cell_bytes(bits).alias("cells"))
+    approximations = _blocks(cells, ["dim", "band"], counts[0], BLOCK, ["cells"]).join(grid, ["dim", "band"])
+    asked = _blocks(found.where("asked"), ["dim"], counts[1], QUERY_BLOCK, ["v"]).select("dim", F.col("block").alias("query_block"), F.col("rows").alias("queries"))
     # Block by block: every block of queries is sent to every block of the file of its length.
     blocks = -(-counts[0] // BLOCK) or 1
     sent = asked.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
@@ -153,17 +209,18 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, vector: str = "embed
 
     best_bounds = Window.partitionBy("query").orderBy(F.desc("upper"), "class")
     first = candidates.withColumn("_n", F.row_number().over(best_bounds)).where(F.col("_n") <= k + 1)
-    reached = _read(first, found).groupBy("query").agg(F.count(F.lit(1)).alias("_read"), F.min("score").alias("_sure"))
-    bar = F.when(F.col("_read") > k, F.col("_sure"))
-    open_ = candidates.join(reached, "query").where(bar.isNull() | (F.col("upper") >= 2 * bar))
-    exact = _read(open_.select("query", "class"), found)
+    reached = _read(first, found, wide).groupBy("query").agg(F.count(F.lit(1)).alias("_read"), F.min("score").alias("_sure"))
+    # A score shown as the least long may be smaller still and rules out nothing.
+    bar = F.when((F.col("_read") > k) & (F.col("_sure") > LEAST), F.col("_sure"))
+    open_ = candidates.join(reached, "query").where(bar.isNull() | (F.col("upper") >= bar.cast("double")))
+    exact = _read(open_.select("query", "class"), found, wide)
     exact = exact.join(found.select("class", "ids"), "class")
-    by_score = Window.partitionBy("query").orderBy(F.desc("score"), F.col("ids")[0], "class")
+    by_score = Window.partitionBy("query").orderBy(F.desc("score"), F.desc("beyond"), F.col("ids")[0], "class")
     lists = exact.withColumn("_n", F.row_number().over(by_score)).where(F.col("_n") <= k + 1)
 
     # From classes back to rows: every query row of a class has the class's list without itself.
-    members = lists.select("query", "score", F.explode("ids").alias("vec_id"))
-    by_row = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
+    members = lists.select("query", "score", "beyond", F.explode("ids").alias("vec_id"))
+    by_row = Window.partitionBy("query").orderBy(F.desc("score"), F.desc("beyond"), "vec_id")
     members = members.withColumn("_n", F.row_number().over(by_row)).where(F.col("_n") <= k + 1)
     answers = members.groupBy("query").agg(F.sort_array(F.collect_list(F.struct("_n", "vec_id", "score"))).alias("_list"))
     asks = whole.where(is_query).select("vec_id", "v").distinct().withColumn("_h", F.xxhash64("v"))

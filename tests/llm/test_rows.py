@@ -158,7 +158,7 @@ def _nearest(vectors, every, k):
     for q, v in usable.items():
         if q % every == 0:
             scores = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in usable.items() if i != q and len(w) == len(v))
-            out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scores[:k])]
+            out += [(q, n + 1, i, max(-(1 << 63), min((1 << 63) - 1, -s))) for n, (s, i) in enumerate(scores[:k])]
     return sorted(out)
 
 
@@ -168,7 +168,8 @@ def test_vectors_as_brute_force(spark):
     vectors += [(1000 + i, vectors[0][1]) for i in range(40)] + [(2000 + i, vectors[0][1] if i % 2 else vectors[1][1]) for i in range(20)]
     vectors += [(3000, None), (3010, []), (3020, [None] * 12), (3030, [float("nan")] * 12), (3040, [float("inf")] * 12), (None, vectors[1][1])]
     vectors += [(4000, [1.0, 2.0]), (4010, [3.0, 1.0]), (4020, [3.0, 1.0]), (5000, [0.0] * 12), (5010, [1e30] * 12)]
-    vectors = [v for v in vectors if v[0] != 5010]
+    vectors += [(5020, [1e6] + [0.0] * 11), (5021, [2e6, 1.0] + [0.0] * 10), (5022, [3e6] + [0.0] * 11), (5023, [-1e30] * 12), (5024, [-3e30] + [1e25] * 11)]
+    vectors += [(5030, [1e6, 0.0]), (5031, [2e6, 1.0]), (5032, [3e6, 0.0])]
     df = spark.createDataFrame([(i, v, 0) for i, v in vectors], "vec_id long, embedding array<float>, rank int")
     got = vafile.top_k(df, df["vec_id"] % 10 == 0, 5)
     assert sorted(map(tuple, got.collect())) == _nearest(vectors, 10, 5)
