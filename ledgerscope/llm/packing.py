@@ -2,15 +2,20 @@
 
 A document of more than ``capacity`` tokens is cut so that all pieces but the first are
 full. Full pieces are sequences of their own. The others are dealt by hash into pools of
-about ``POOL`` pieces, so no task ever holds more than a pool, whatever one source or
+about ``POOL`` pieces, so no task ever holds more than a few pools, whatever one source or
 length holds. Each pool is evolved on ``ISLANDS`` islands, with other seeds, for
 ``EPOCHS`` epochs; between epochs an island gets the best packing of its neighbour.
 
-A packing is a list of bins. Crossover takes whole well-filled bins of one parent into
-the other, takes out the bins that now hold a piece twice, and best-fits the pieces
+A packing is a list of bins. First packings put the pieces, in random orders, where they
+fit best. Crossover takes whole well-filled bins of one parent into the other, takes out
+the bins that now hold a piece twice, gives up the emptiest ones, and best-fits the pieces
 displaced by that, longest first. A pool that reaches ceil(tokens / capacity) bins, which
-no packing can beat, stops there. A pool wastes at most its last bins, so what the split
-into pools costs is below one bin in ``POOL`` pieces.
+no packing can beat, stops there.
+
+Pools meet: the emptiest eighth of each pool's bins, one at least, goes on to a further
+round, dealt by whole bins into fewer pools, until there is one pool or no packing could
+be better. A round starts from the bins it was given too, so none makes it worse. What the
+split into pools costs is the last bin of the last pool.
 
 Nulls and odd input: a null text is the empty text, one token (the separator). Repeated
 rows are packed each. Empty tables give empty tables.
@@ -33,8 +38,9 @@ CAPACITY = 2048
 POOL = 4_000
 ISLANDS = 2
 EPOCHS = 2
-GENERATIONS = 6
+GENERATIONS = 10
 POPULATION = 4
+OPEN = 8  # one bin in so many, the emptiest, goes on to the next round
 SEPARATOR = b"\x00\x00\x00\x00"  # id 0, little-endian
 
 Bins = list[list[int]]
@@ -114,11 +120,9 @@ class Packer:
 def evolve(sizes: list[int], population: list[Bins], rng: random.Random, capacity: int, generations: int, most: int) -> list[Bins]:
     """Best packings first. ``population`` may be empty."""
     packer, floor = Packer(sizes, capacity), -(-sum(sizes) // capacity)
-    if not population:
-        population = [packer.best_fit([], sorted(range(len(sizes)), key=lambda i: -sizes[i]))]
-    while len(population) < most and len(population[0]) > floor:
-        jitter = [s * (1 + 0.1 * rng.random()) for s in sizes]
-        population.append(packer.best_fit([], sorted(range(len(sizes)), key=lambda i: -jitter[i])))
+    population = list(population)
+    while len(population) < most:
+        population.append(packer.best_fit([], rng.sample(range(len(sizes)), len(sizes))))
     rank = lambda all_: sorted(all_, key=packer.fitness, reverse=True)[:most]
     population = rank(population)
     for _ in range(generations):
@@ -153,20 +157,58 @@ def _offsets(bin_of: list[int], sizes: list[int]) -> list[int]:
     return out
 
 
-def _epoch(islands: DataFrame, capacity: int, generations: int, most: int, epoch: int) -> DataFrame:
-    """One epoch on every island: its population (bin of each piece), best first, and the best one's offsets."""
+def _open(bins: Bins, sizes: list[int], capacity: int) -> list[bool]:
+    """Whether a piece lies in one of the emptiest bins, which go on to the next round."""
+    packer = Packer(sizes, capacity)
+    emptiest = sorted(bins, key=packer.fill)[: -(-len(bins) // OPEN)]
+    out = [False] * len(sizes)
+    for held in emptiest:
+        if packer.fill(held) < capacity:
+            for item in held:
+                out[item] = True
+    return out
+
+
+def _epoch(islands: DataFrame, capacity: int, generations: int, most: int, seed: tuple[int, int]) -> DataFrame:
+    """One epoch on every island: its population (bin of each piece), best first, and of the best one the
+    offsets and the pieces of its emptiest bins."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for row in frame.itertuples(index=False):
-                sizes, rng = [int(s) for s in row.sizes], random.Random(hash((row.pool, row.island, epoch)))
+                sizes, rng = [int(s) for s in row.sizes], random.Random(hash((row.pool, row.island, *seed)))
                 found = evolve(sizes, [_bins(g) for g in row.genomes], rng, capacity, generations, most)
                 genomes = [_bin_of(b, len(sizes)) for b in found]
                 yield pd.DataFrame({
-                    "pool": [row.pool], "island": [row.island], "bins": [len(found[0])],
-                    "genomes": [genomes], "offsets": [_offsets(genomes[0], sizes)]})
+                    "pool": [row.pool], "island": [row.island], "bins": [len(found[0])], "genomes": [genomes],
+                    "offsets": [_offsets(genomes[0], sizes)], "open": [_open(found[0], sizes, capacity)]})
+
+    return islands.mapInPandas(
+        run, "pool long, island int, bins long, genomes array<array<long>>, offsets array<int>, open array<boolean>")
 
-    return islands.mapInPandas(run, "pool long, island int, bins long, genomes array<array<int>>, offsets array<int>")
+
+def _round(grouped: DataFrame, size: str, pools: int, capacity: int, islands: int, epochs: int, generations: int, population: int, number: int) -> DataFrame:
+    """Best packing of every pool: pool, bins, and the bin, the offset and the openness of each piece.
+
+    ``grouped`` has the pieces of a pool in ``_rows``; ``_rows._bin`` is the bin they came in, null at first.
+    """
+    problem = grouped.select(
+        F.col("_pool").alias("pool"), F.transform("_rows", lambda r: r[size].cast("int")).alias("sizes"),
+        F.transform("_rows", lambda r: r["_bin"]).alias("_given"))
+    given = F.when(F.exists("_given", lambda b: b.isNotNull()), F.array("_given")).otherwise(F.array().cast("array<array<long>>"))
+    problem = problem.select("pool", "sizes", given.alias("genomes"), F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"))
+    tasks = min(pools * islands, 4 * grouped.sparkSession.sparkContext.defaultParallelism)
+    now, state = problem, None
+    for epoch in range(epochs):
+        if state is not None:  # the best of the neighbour joins the island's own
+            own = state.select("pool", "island", "genomes")
+            elite = state.select("pool", ((F.col("island") + 1) % islands).alias("island"), F.slice("genomes", 1, 1).alias("_elite"))
+            now = problem.drop("genomes").join(own, ["pool", "island"]).join(elite, ["pool", "island"])
+            now = now.select("pool", "island", "sizes", F.concat("genomes", "_elite").alias("genomes"))
+        state = saved(_epoch(now.repartition(tasks, "pool", "island"), capacity, generations, population, (number, epoch)), "islands")
+    one = F.struct("bins", F.col("genomes")[0].alias("bin"), F.col("offsets").alias("at"), "open")
+    best = state.groupBy("pool").agg(F.min_by(one, F.struct("bins", "island")).alias("_best"))
+    return best.select("pool", "_best.*")
 
 
 def pack(rows: DataFrame, size: str = "length", capacity: int = CAPACITY, pool: int = POOL, islands: int = ISLANDS,
@@ -174,33 +216,36 @@ def pack(rows: DataFrame, size: str = "length", capacity: int = CAPACITY, pool:
     """Adds ``sequence_id`` and ``offset`` to rows whose ``size`` lies between 1 and ``capacity``."""
     names = rows.columns
     base = saved(rows.withColumn("_row", F.monotonically_increasing_id()), "pieces")
-    full = base.where(F.col(size) >= capacity).select(
+    packed = base.where(F.col(size) >= capacity).select(
         *names, (-F.col("_row") - 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     rest = base.where(F.col(size) < capacity)
-    pools = max(1, -(-rest.count() // pool))
-    dealt = rest.withColumn("_pool", F.pmod(F.xxhash64("_row"), F.lit(pools)))
-    # About ``pool`` rows each, whatever the data: a pool is a hash of row numbers.
-    grouped = dealt.groupBy("_pool").agg(F.sort_array(F.collect_list(F.struct("_row", *names))).alias("_rows"))
-    grouped = saved(grouped, "pools")
-    problem = grouped.select(F.col("_pool").alias("pool"), F.transform("_rows", lambda r: r[size].cast("int")).alias("sizes"))
-    problem = problem.withColumn("island", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))))
-    tasks = min(pools * islands, 4 * rows.sparkSession.sparkContext.defaultParallelism)
-    now, state = problem.withColumn("genomes", F.array().cast("array<array<int>>")), None
-    for epoch in range(epochs):
-        if state is not None:  # the best of the neighbour joins the island's own
-            own = state.select("pool", "island", "genomes")
-            elite = state.select("pool", ((F.col("island") + 1) % islands).alias("island"), F.slice("genomes", 1, 1).alias("_elite"))
-            now = problem.join(own, ["pool", "island"]).join(elite, ["pool", "island"])
-            now = now.select("pool", "island", "sizes", F.concat("genomes", "_elite").alias("genomes"))
-        state = saved(_epoch(now.repartition(tasks, "pool", "island"), capacity, generations, population, epoch), "islands")
-    best = state.groupBy("pool").agg(F.min_by(
-        F.struct(F.col("genomes")[0].alias("bin"), F.col("offsets").alias("at")), F.struct("bins", "island")).alias("_best"))
-    placed = grouped.join(best, grouped["_pool"] == best["pool"])
-    placed = placed.select("pool", F.explode(F.arrays_zip("_rows", F.col("_best.bin").alias("bin"), F.col("_best.at").alias("at"))).alias("_p"))
-    packed = placed.select(
-        *[F.col(f"_p._rows.{n}").alias(n) for n in names], (F.col("pool") * (1 << 20) + F.col("_p.bin")).alias("sequence_id"),
-        F.col("_p.at").cast("long").alias("offset"))
-    return packed.unionByName(full)
+    count, tokens = rest.agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
+    floor, closed, first_id, number = -(-tokens // capacity), 0, 0, 0
+    pools = max(1, -(-count // pool))
+    # About ``pool`` rows each, whatever the data: a pool is a hash of row numbers, later of bins.
+    dealt = rest.select("*", F.lit(None).cast("long").alias("_bin"), F.pmod(F.xxhash64("_row"), F.lit(pools)).alias("_pool"))
+    while True:
+        grouped = dealt.groupBy("_pool").agg(F.sort_array(F.collect_list(F.struct("_row", "_bin", *names))).alias("_rows"))
+        grouped = saved(grouped, "pools")
+        best = _round(grouped, size, pools, capacity, islands, epochs, generations, population, number)
+        placed = grouped.join(best, grouped["_pool"] == best["pool"]).select(
+            "pool", F.explode(F.arrays_zip("_rows", "bin", "at", "open")).alias("_p"))
+        placed = saved(placed.select(
+            "_p._rows._row", *[F.col(f"_p._rows.{n}").alias(n) for n in names],
+            (F.col("pool") * (1 << 20) + F.col("_p.bin") + first_id).alias("sequence_id"),
+            F.col("_p.at").cast("long").alias("offset"), F.col("_p.open").alias("_open")), "placed")
+        first_id += pools << 20
+        # A bin has one piece at offset 0.
+        head = F.col("offset") == 0
+        bins, left = placed.agg(F.count(F.when(head, 1)), F.count(F.when(F.col("_open"), 1))).first()
+        if pools == 1 or left == 0 or closed + bins <= floor:
+            return packed.unionByName(placed.select(*names, "sequence_id", "offset"))
+        done = placed.where(~F.col("_open"))
+        packed = packed.unionByName(done.select(*names, "sequence_id", "offset"))
+        closed += done.where(head).count()
+        pools, number = max(1, min(-(-left // pool), pools // 2)), number + 1
+        dealt = placed.where("_open").select(
+            "_row", *names, F.col("sequence_id").alias("_bin"), F.pmod(F.xxhash64("sequence_id"), F.lit(pools)).alias("_pool"))
 
 
 def best_fit_packing(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:

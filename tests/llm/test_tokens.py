@@ -118,3 +118,44 @@ def test_sha_of_query_columns(spark, sf_dir, library):
         ids = library.encode(docs[r.doc_id], add_special_tokens=False).ids
         assert r.n_tokens == len(ids) and r.ids_sha256 == hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256(docs[r.doc_id].encode()).hexdigest()
+
+
+def _sequences(spark, sizes, **more):
+    rows = spark.createDataFrame(list(enumerate(sizes)), "doc_id long, length long")
+    packed = packing.pack(rows, "length", 2048, **more).collect()
+    assert sorted((r.doc_id, r.length) for r in packed) == list(enumerate(sizes))
+    held = {}
+    for r in packed:
+        held.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for places in held.values():
+        at = 0
+        for offset, length in sorted(places):
+            assert offset == at
+            at += length
+        assert at <= 2048
+    return len(held)
+
+
+def test_pools_meet_until_no_packing_is_better(spark):
+    """Short documents fill all sequences but one, however many pools they were dealt into."""
+    assert _sequences(spark, [10] * 4_000, pool=300) == -(-40_000 // 2048)
+    assert _sequences(spark, [1] * 6_000, pool=50) == -(-6_000 // 2048)
+    rng = random.Random(12)
+    mixed = [rng.randint(20, 900) for _ in range(2_000)]
+    assert _sequences(spark, mixed, pool=400) <= 1.01 * (-(-sum(mixed) // 2048))
+    middle = [rng.randint(700, 1_024) for _ in range(600)]  # two a sequence at most
+    assert _sequences(spark, middle, pool=150) == 300
+
+
+def test_evolution_beats_longest_first():
+    """First packings are random; crossover and displacement bring them to or below best-fit decreasing."""
+    rng = random.Random(13)
+    fewer = 0
+    for _ in range(6):
+        sizes = [rng.randint(300, 1_100) for _ in range(300)]
+        plain = packing.Packer(sizes, 2048).best_fit([], sorted(range(300), key=lambda i: -sizes[i]))
+        start = packing.evolve(sizes, [], random.Random(2), 2048, 0, 4)[0]
+        found = packing.evolve(sizes, [], random.Random(2), 2048, 20, 4)[0]
+        assert len(found) <= len(plain) and len(found) < len(start)
+        fewer += len(found) < len(plain)
+    assert fewer
