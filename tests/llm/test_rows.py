@@ -77,6 +77,39 @@ def test_shards_differ_by_one_row(spark, n, monkeypatch):
         assert max(map(len, slots.values())) - min(map(len, slots.values())) <= 1 and set(slots) == set(range(8))
 
 
+def test_sources_with_a_common_prefix_are_told_apart(spark):
+    docs = spark.createDataFrame(
+        [(i, f"text {i}", f"https://site{i % 8}.example/feed", None if i % 40 == 0 else "en") for i in range(800)],
+        "doc_id long, text string, source string, lang string")
+    rows = hilbert.shard_documents(docs, 8).collect()
+    shards = collections.defaultdict(set)
+    for r in rows:
+        shards[r.doc_id % 8].add(r.shard)
+    assert len({r.curve for r in rows}) > 8
+    # A reader of one source opens two or three of the eight files.
+    assert max(map(len, shards.values())) <= 3
+
+
+def test_equal_texts_stay_together(spark, monkeypatch):
+    monkeypatch.setattr(hilbert, "SLICE_ROWS", 4)
+    rng = random.Random(14)
+    rows = [(None if i % 50 == 0 else i, "everywhere" if i % 3 == 0 else f"text {rng.randint(0, 60)}", f"s{i % 7}", "en", "clash") for i in range(400)]
+    rows += [(1_000 + i, None, None, None, "clash") for i in range(30)] + [(2_000, "long " * 20_000, "s1", "de", "clash")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, curve string")
+    cut = hilbert.shard_documents(docs, 8).collect()
+    assert len(cut) == len(rows)
+    at = {(r.shard, r.slot) for r in cut}
+    sizes = collections.Counter(r.shard for r in cut)
+    assert len(at) == len(rows) and max(sizes.values()) - min(sizes.values()) <= 1
+    starts = [sum(sizes[t] for t in range(s)) for s in range(8)]
+    places = collections.defaultdict(list)
+    for r in cut:
+        places[(r.size, r.text_crc32)].append(starts[r.shard] + r.slot)
+    assert sorted(len(p) for p in places.values()) == sorted(collections.Counter(r[1] for r in rows).values())
+    for p in places.values():
+        assert max(p) - min(p) == len(p) - 1  # one after the other
+
+
 _PATTERNS = (
     r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
     r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]",
