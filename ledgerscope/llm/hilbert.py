@@ -30,6 +30,7 @@ from .common import let, saved
 BITS = 5
 #: Rows that one numbering task should hold; gives the number of slices.
 SLICE_ROWS = 200_000
+SENT_BITS = 16  # cell counts are sent to every task up to 2^16 cells, about a megabyte
 
 
 def _rotate(bits: int, by: int, n: int) -> int:
@@ -123,7 +124,9 @@ def _slice(hash_: Column, slices: Column) -> Column:
 def cut_runs(ordered: DataFrame, shards: int, bits: int, dims: int, rows: int) -> DataFrame:
     """Adds ``shard`` and ``slot`` to rows with ``curve``, the hashes ``_text`` and ``_id``, and ``_copies``,
     the rows of the text where they are more than one; the order is curve, text, id."""
-    cells = ordered.groupBy("curve").agg(F.count(F.lit(1)).alias("_cell"))  # at most 2^(bits * dims) rows
+    cells = ordered.groupBy("curve").agg(F.count(F.lit(1)).alias("_cell"))
+    if bits * dims <= SENT_BITS:  # at most 2^(bits * dims) rows of two numbers; so a hot cell is not gathered for the join
+        cells = F.broadcast(cells)
     hot = F.coalesce(F.col("_copies"), F.lit(1)) > SLICE_ROWS
     placed = ordered.join(cells, "curve").select(
         *ordered.columns,
