@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..constants import FORBIDDEN_FEATURES, HIGH_RISK_COUNTRIES, LIQUID_CATEGORIES
 from ..constants import AUTH_METHODS, CATEGORIES, DEVICE_OS, PERSONAS, RAILS
 from ..operators.causal import seen_since
-from ..operators.features import FEATURE_NAMES, features
+from ..operators.features import FEATURE_NAMES, Registry, features
 from ..session import stored
 from ..sources import tables as T
 from .registry import CUSTOMERS_SQL, EPISODES_SQL, LEDGER_SQL, MERCHANTS_SQL, fixed, query, r
@@ -282,3 +282,32 @@ def _f42_two_clocks(spark, sf):
     led = T.ledger(spark, sf).withColumn("ts_us", F.unix_micros("ts")).withColumn("filed_us", F.expr(FILED_US))
     seen = seen_since(led.select("txn_id", "customer_id", "ts_us", "filed_us"), ["customer_id"], "ts_us", "filed_us", "known_disputes_90d", F.lit(1), 90 * D)
     return seen.select("txn_id", "known_disputes_90d")
+
+
+def _own_features() -> Registry:
+    """Four features of a user: histories of three entities, one over a ratio that is itself built on a history."""
+    own = Registry()
+    own.history("merchant_mean_30d", "merchant_id", "mean", ["ledger.amount"], 30 * D, default=None)(lambda amount: amount)
+    own.history("device_largest", "device_id", "max", ["ledger.amount"])(lambda amount: amount)
+    own.row("amount_to_mean_30d", ["ledger.amount", "merchant_mean_30d"], default=1.0)(
+        lambda amount, mean: F.when(mean.isNotNull(), amount / F.greatest(F.lit(50.0), mean)))  # greatest passes over nulls
+    own.history("customer_nights_7d", "customer_id", "sum", ["is_night"], 7 * D)(lambda night: night)
+    own.history("customer_unusual", "customer_id", "count", ["amount_to_mean_30d"])(lambda ratio: ratio > 1.5)
+    return own
+
+
+OWN = ["is_night", "amount_to_mean_30d", "device_largest", "customer_nights_7d", "customer_unusual"]
+
+
+@query("f0_registered_features", f"""WITH {LEDGER_SQL},
+m AS (SELECT *, CASE WHEN merchant_id IS NOT NULL THEN avg(amount) OVER {_span("merchant_id", 30 * D)} END AS mean_30d,
+    CASE WHEN device_id IS NOT NULL THEN max(amount) OVER {_prev("device_id")} END AS largest, {_NIGHT} AS night FROM ledger),
+q AS (SELECT *, CASE WHEN mean_30d IS NULL OR amount IS NULL THEN 1.0 ELSE amount / greatest(50.0, mean_30d) END AS ratio FROM m),
+h AS (SELECT *, CASE WHEN customer_id IS NOT NULL THEN sum(night) OVER {_span("customer_id", 7 * D)} END AS nights,
+    CASE WHEN customer_id IS NOT NULL THEN sum(CASE WHEN ratio > 1.5 THEN 1 ELSE 0 END) OVER {_CP} END AS unusual FROM q)
+SELECT txn_id, {r("night", "is_night")}, {r("ratio", "amount_to_mean_30d", 4)}, {r("coalesce(largest, 0)", "device_largest", 4)},
+    {r("coalesce(nights, 0)", "customer_nights_7d", 4)}, {r("coalesce(unusual, 0)", "customer_unusual", 4)} FROM h""")
+def _f0_registered(spark, sf):
+    """Features declared here and nowhere else, resolved with built-in ones into one table."""
+    table = _own_features().table(OWN, T.ledger(spark, sf), T.customers(spark, sf), T.merchants(spark, sf))
+    return table.select("txn_id", *[fixed(F.col(c), 4).alias(c) for c in OWN])
