@@ -14,16 +14,17 @@ shingles; the answer is the connected components of all links.
    differing bits bounds the overlap from above; full sets are only fetched for classes
    that have a possible partner.
 4. *Groups.* Classes with an equal minimum hash are compared completely in chunks of
-   bounded size, under three hash functions; components of what links are the groups.
+   bounded size, under three hash functions; components of what links are groups. The
+   other classes are grouped by likeness: size and most widely held token.
 5. *Matrix.* For each group chunk the union of its members' tokens is stored as (token,
-   chunk) rows. A class and a chunk of another group qualify when the class's overlap with
-   the union can reach the threshold: they share a token, their sizes are compatible and
-   the cards allow it. Only qualifying chunks are opened and compared exactly, and of a
-   chunk one link is enough, since its members are one group already.
+   chunk) rows. A class and a chunk qualify when the class's overlap with the union can
+   reach the threshold: they share a token, the sizes that hold it are compatible and the
+   cards allow it. A group of linked classes asks no chunk of its own. Only qualifying
+   chunks are opened and compared exactly, and they give links that connect, not all.
 
 Pairs inside a group are never listed, so a family with a third of all documents costs
-its members' tokens, not their square; yet every link between different groups is found,
-so no component is split.
+its members' tokens times its chunks, whether they link or not; yet every two classes
+that link are connected, so no component is split.
 
 Nulls and odd input: documents without words have an empty set and are linked with
 nothing. A null id counts as the largest: a document without one gets the smallest id of
@@ -463,23 +464,38 @@ def _meetings(pairs: DataFrame, holding: DataFrame, placed: DataFrame, work, sch
     return _by_group(both.join(holding, "class").select(*_BY, "asks", "class", *[c for c in holding.columns if c != "class"]), [*_BY, "asks"], work, schema)
 
 
+def _groups(cards: DataFrame, tokens: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """(class, n, root, tied): what is linked is a group; other classes are grouped by likeness.
+
+    A class without a link joins those of like size that have the same most widely held token,
+    so a family of which many do not link makes few groups, not one for each. Only groups of
+    linked classes are ``tied``; in others the members are compared with each other too.
+    """
+    known = cards.select("class", "n").join(roots, "class", "left")
+    held = tokens.groupBy("h").agg(F.count(F.lit(1)).alias("_held"))
+    alone = tokens.join(roots.select("class"), "class", "left_anti").join(held, "h")
+    widest = alone.groupBy("class").agg(F.max(F.struct("_held", "h")).alias("_w")).select("class", F.col("_w.h").alias("_top"))
+    band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent))) if percent < 100 else F.col("n")
+    like = F.xxhash64("_top", band)
+    return known.join(widest, "class", "left").select("class", "n", F.coalesce("root", like).alias("root"), F.col("root").isNotNull().alias("tied"))
+
+
 def qualifying(cards: DataFrame, tokens: DataFrame, roots: DataFrame, percent: int, chunk: int = CHUNK) -> tuple[DataFrame, DataFrame]:
     """The matrix's answer: (class, root, _c, members) of chunks to open with the members a card allows, and where each class is."""
-    members = _with_roots(cards.select("class", "n"), roots)
+    members = saved(_groups(cards, tokens, roots, percent), "groups")
     sizes = members.groupBy("root").agg(F.count(F.lit(1)).alias("_n"))
     members = members.join(sizes, "root").withColumn("_c", F.pmod(F.xxhash64("class"), F.ceil(F.col("_n") / (0.8 * chunk)).cast("long")))
-    placed = saved(members.select("class", "n", "root", "_c"), "groups")
+    placed = saved(members.select("class", "n", "root", "_c", "tied"), "groups")
     named = tokens.select("h", "class").join(placed, "class")
-    unions = named.select("h", "root", "_c").distinct()  # the matrix: one row per token and chunk
-    spans = placed.groupBy("root", "_c").agg(F.min("n").alias("_low"), F.max("n").alias("_high"))
-    # A token that one group alone holds asks nobody.
-    several = unions.groupBy("h").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).where("_a < _b").select("h")
+    # The matrix: one row per token and chunk, with the sizes of the members that hold the token.
+    unions = named.groupBy("h", "root", "_c", "tied").agg(F.min("n").alias("_low"), F.max("n").alias("_high"))
+    # A token that one group of linked classes alone holds asks nobody.
+    several = unions.groupBy("h").agg(F.min("root").alias("_a"), F.max("root").alias("_b"), F.min("tied").alias("_t")).where("_a < _b OR NOT _t").select("h")
     unions = unions.join(several, "h", "left_semi")
     asks = named.join(several, "h", "left_semi").select("h", "class", "n", F.col("root").alias("_own"))
-    met = asks.join(unions, "h").where("_own <> root")
-    pairs = met.select("class", "n", "root", "_c").distinct().join(spans, ["root", "_c"])
     fits = (F.col("_high") * 100 >= percent * F.col("n")) & (F.col("_low") * percent <= 100 * F.col("n"))
-    pairs = saved(pairs.where(fits).select("class", "root", "_c"), "meetings")
+    met = asks.join(unions, "h").where(((F.col("_own") != F.col("root")) | ~F.col("tied")) & fits)
+    pairs = saved(met.select("class", "root", "_c").distinct(), "meetings")
 
     def allowed(g: dict) -> list[tuple]:
         held = int(np.searchsorted(g["asks"], 1))
@@ -489,6 +505,7 @@ def qualifying(cards: DataFrame, tokens: DataFrame, roots: DataFrame, percent: i
         for low in range(held, len(names), CHUNK):
             asked = slice(low, low + CHUNK)
             hits = _possible(g["parity"][asked], g["n"][asked], g["parity"][:held], g["n"][:held], percent)
+            hits &= names[asked][:, None] != names[:held]
             for i in np.flatnonzero(hits.any(axis=1)).tolist():
                 out.append((int(names[low + i]), int(g["root"][0]), int(g["_c"][0]), names[:held][hits[i]].tolist()))
         return out
@@ -504,10 +521,22 @@ def matrix_links(open_: DataFrame, placed: DataFrame, sets: DataFrame, percent:
         held = int(np.searchsorted(g["asks"], 1))
         if held in (0, len(g["asks"])):
             return []
-        names, members, out = g["class"].tolist(), _unpacked(g["set"]), []
+        names, members, out, tree = g["class"].tolist(), _unpacked(g["set"]), [], {}
+
+        def find(c: int) -> int:
+            while (up := tree.setdefault(c, c)) != c:
+                tree[c] = tree[up]
+                c = up
+            return c
+
         for low in range(held, len(members), CHUNK):
             hits = _linked(members[low : low + CHUNK], members[:held], percent)
-            out += [(names[low + i], names[int(hits[i].argmax())]) for i in np.flatnonzero(hits.any(axis=1)).tolist()]
+            for i, j in zip(*np.nonzero(hits), strict=True):
+                a, b = names[low + int(i)], names[int(j)]
+                one, two = find(a), find(b)
+                if one != two:  # what is tied already needs no further link
+                    tree[max(one, two)] = min(one, two)
+                    out.append((a, b))
         return out
 
     return _meetings(open_.select("class", "root", "_c"), sets, placed, work, "a long, b long")
