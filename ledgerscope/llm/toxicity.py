@@ -33,6 +33,7 @@ BITS = 18
 FIT_ROWS = 20_000
 SHARDS = 2
 ROUNDS = 4
+HELD = 100_000  # words whose hashes a task keeps
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 4.0, 1.0
 BIAS = 0  # the place of the intercept
 _EDGE = ".,;:!?\"'()[]{}*#$%&|<>-_/\\"
@@ -41,10 +42,10 @@ _PAIR, _SKIP, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F
 
 
 class _WordHashes(dict):
-    """Hash of a word as it stands in a text, worked out once; starts anew at a million words."""
+    """Hash of a word as it stands in a text, worked out once; starts anew at ``HELD`` words and with each task."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 500_000:
+        if len(self) >= HELD:
             self.clear()
         bare = word.lower().strip(_EDGE).encode()
         value = self[word] = (zlib.crc32(bare) << 32 | zlib.adler32(bare)) if bare else 0
@@ -98,10 +99,11 @@ def fit(training: DataFrame, rounds: int = ROUNDS, shards: int = SHARDS) -> tupl
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, text in enumerate(batch.column("_text").to_pylist()):
-                row = batch.slice(i, 1)
+            for i, text in enumerate(batch.column("_text")):
+                row, text = batch.slice(i, 1), text.as_py()
                 yield pa.RecordBatch.from_arrays(
                     [row.column("doc_id"), row.column("_label"), pa.array([places(text or "")], pa.list_(pa.int64()))], names=["doc_id", "_label", "_places"])
+        _HASHES.clear()  # the worker goes on to other stages
 
     dealt = training.select("doc_id", "_text", "_label").mapInArrow(featured, schema)
     dealt = dealt.repartition(shards, F.xxhash64("doc_id")).sortWithinPartitions(F.xxhash64("doc_id", F.lit(1)))
@@ -153,9 +155,10 @@ def score(docs: DataFrame, kept: np.ndarray, weights: np.ndarray, keep: tuple[st
         dense = np.zeros(1 << BITS)
         dense[kept] = weights
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1).to_pylist()
-            scores = [_sigmoid(dense[places(t or "")].sum()) if len(kept) else 0.0 for t in texts]
+            texts = batch.column(batch.num_columns - 1)
+            scores = [_sigmoid(dense[places(t.as_py() or "")].sum()) if len(kept) else 0.0 for t in texts]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(scores, pa.float64())], names=[*names, "score"])
+        _HASHES.clear()
 
     return source.mapInArrow(run, schema)
 
