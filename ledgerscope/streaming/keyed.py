@@ -1,11 +1,12 @@
 """Online features from keyed state, evicted by event time.
 
 Every payment becomes rows for the entities it touches: it tells an entity that something
-happened, asks it what happened before, or both. Each entity has its own state in RocksDB:
+happened, asks it what happened before, or both. Each entity has its state in RocksDB:
 lifetime totals, which stay, and its recent events, which go when the longest span that
-looks at them has passed. A micro-batch reads the new payments and the state of the
-entities they touch, however long the history is. The answers of a payment are merged by
-its id in the same micro-batch.
+looks at them has passed. The entities of a kind are kept in ``buckets`` by hash, so that
+Spark is asked for state once a bucket. A micro-batch reads the new payments and the state
+of the buckets they touch, however long the history is. The answers of a payment are
+merged by its id in the same micro-batch.
 
 * *Busy entities.* ``busy`` names entities to be held in several parts: events are dealt to
   parts by what is counted apart (or by payment), questions go to all of them, and the
@@ -22,7 +23,8 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
@@ -31,6 +33,8 @@ from ..constants import DAY_US, HOUR_US, NEVER_SECS
 from ..functions.columns import from_micro_units, to_micro_units
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+BUCKETS = 256  # groups of entities of a kind that are kept and answered together
+_LATEST = np.int64(1 << 62)
 
 
 @dataclass(frozen=True)
@@ -114,8 +118,22 @@ def questions(payments: DataFrame, entities: tuple[Entity, ...] = ENTITIES, busy
     return dealt.withColumn("tells", F.col("tells") & (F.col("part") == F.col("_own"))).drop("_kind", "_entity", "_parts", "_own")
 
 
+def _before(codes: np.ndarray, at: np.ndarray, asked: np.ndarray, when: np.ndarray) -> np.ndarray:
+    """For each question, how many (code, time) pairs are smaller than its own; all at once, by one sort."""
+    is_event = np.concatenate([np.zeros(len(asked), np.int8), np.ones(len(codes), np.int8)])
+    order = np.lexsort((is_event, np.concatenate([when, at]), np.concatenate([asked, codes])))
+    passed = np.empty(len(order), np.int64)
+    passed[order] = np.cumsum(is_event[order])
+    return passed[: len(asked)]
+
+
 class EntityHistory(StatefulProcessor):
-    """The state of one entity, or of one part of a busy one."""
+    """The states of the entities (or parts of busy ones) of one kind that share a bucket.
+
+    All questions to a bucket in a micro-batch are answered together, in time that grows with
+    their number and that of the events held, however many entities they are spread over and
+    however many events fall into a span.
+    """
 
     def __init__(self, entities: tuple[Entity, ...], late_ms: int = 0):
         self.entities = {e.kind: e for e in entities}
@@ -124,81 +142,129 @@ class EntityHistory(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.life = handle.getValueState("life", "n long, micro long, first_us long, last_us long, known binary")
-        self.recent = handle.getValueState("recent", "events binary")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: N802, N803
+        named = "entities array<string>, parts array<int>, sizes binary"
+        # Totals of an entity: payments, micro units, first and last time. Known: value and first time.
+        self.life = handle.getValueState("life", f"{named}, totals binary, known binary")
+        # Events of an entity: time, micro units and value counted apart.
+        self.recent = handle.getValueState("recent", f"{named}, events binary")
+
+    def _held(self, state, widths: tuple[int, ...]) -> tuple:
+        """Names, parts, sizes and the tables of a state; all empty without one."""
+        got = state.get() if state is not None else None
+        got = got or ((), (), b"", *(b"" for _ in widths))
+        tables = [np.frombuffer(x, np.int64).reshape(-1, w) for x, w in zip(got[3:], widths, strict=True)]
+        return np.array(got[0], object), np.array(got[1], np.int64), np.frombuffer(got[2], np.int64), *tables
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         e = self.entities[key[0]]
-        rows = list(rows)
-        kept = self._events()
-        life = (self.life.get() if e.lifetime else None) or (0, 0, None, None, b"")
-        new = np.array([(r.ts_us, r.micro, r.apart) for r in rows if r.tells], np.int64).reshape(-1, 3)
-        events = np.concatenate([kept, new])
-        events = events[np.argsort(events[:, 0], kind="stable")]
+        asked = pd.concat(list(rows), ignore_index=True)
+        old, old_parts, sizes, events = self._held(self.recent, (3,))
+        life, life_parts, known_sizes, totals, known = self._held(self.life if e.lifetime else None, (4, 2))
+        names = pd.factorize(np.concatenate([old, life, asked["entity"].to_numpy(object)]))[0]
+        parts = np.concatenate([old_parts, life_parts, asked["part"].to_numpy(np.int64)])
+        codes, kinds = pd.factorize(names * (parts.max() + 1) + parts)
+        first = np.unique(codes, return_index=True)[1]
+        n, at_old, at_life = len(kinds), len(old), len(old) + len(life)
+        named = np.concatenate([old, life, asked["entity"].to_numpy(object)])[first], parts[first]
+        code, t = codes[at_life:], asked["ts_us"].to_numpy(np.int64)
+        micro, apart = asked["micro"].to_numpy(np.int64), asked["apart"].to_numpy(np.int64)
+        tells = asked["tells"].to_numpy(bool)
+        has_apart = asked["has_apart"].to_numpy(bool)
+
+        owner = np.concatenate([np.repeat(codes[:at_old], sizes), code[tells]])
+        events = np.concatenate([events, np.stack([t[tells], micro[tells], apart[tells]], axis=1)])
+        order = np.lexsort((events[:, 0], owner))
+        owner, events = owner[order], events[order]
         at, money = events[:, 0], np.concatenate([[0], np.cumsum(events[:, 1])])
-        known = dict(np.frombuffer(life[4], np.int64).reshape(-1, 2).tolist()) if e.known else {}
-        if e.known:
-            for r in rows:
-                if r.tells and r.has_apart:
-                    known[r.apart] = min(r.ts_us, known.get(r.apart, r.ts_us))
-        n_all, micro_all = life[0] + len(new), life[1] + int(new[:, 1].sum())
-        for r in rows:
-            yield self._answer(e, key, r, at, money, events, life, n_all, micro_all, known)
-        if len(new):
-            newest = int(new[:, 0].max())
-            if e.lifetime:
-                first, last = int(new[:, 0].min()), newest
-                first, last = min(first, first if life[2] is None else life[2]), max(last, last if life[3] is None else life[3])
-                self.life.update((n_all, micro_all, first, last, np.array(list(known.items()), np.int64).tobytes()))
-            self.handle.registerTimer((newest + max(e.spans)) // 1000 + 1)
-            self._keep(events, timerValues.getCurrentWatermarkInMs(), e)
-
-    def _answer(self, e, key, r, at, money, events, life, n_all, micro_all, known) -> Row:
-        before = int(np.searchsorted(at, r.ts_us))
-        out = {"txn_id": r.txn_id, "ts": r.ts, "ts_us": r.ts_us, "role": r.role, "part": key[2]}
+        begin, end = np.searchsorted(owner, np.arange(n)), np.searchsorted(owner, np.arange(n), side="right")
+        now = {"n": np.zeros(n, np.int64), "micro": np.zeros(n, np.int64), "first": np.full(n, _LATEST), "last": np.full(n, -_LATEST)}
+        for i, name in enumerate(now):
+            now[name][codes[at_old:at_life]] = totals[:, i]
+        last_known = now["last"].copy()
+        np.add.at(now["n"], code[tells], 1)
+        np.add.at(now["micro"], code[tells], micro[tells])
+        np.minimum.at(now["first"], code[tells], t[tells])
+        np.maximum.at(now["last"], code[tells], t[tells])
+
+        before = _before(owner, at, code, t)
+        out = {"txn_id": asked["txn_id"], "ts_us": t, "role": asked["role"], "part": asked["part"]}
         for span in self.spans:
-            low = int(np.searchsorted(at, r.ts_us - span)) if span in e.spans else before
+            low = _before(owner, at, code, t - span) if span in e.spans else before
             out[f"n_{_name(span)}"] = before - low
-            out[f"sum_{_name(span)}"] = int(money[before] - money[low])
-        after = len(at) - before  # at this instant or later, counted in the totals
-        out["n_all"] = n_all - after if e.lifetime else 0
-        out["sum_all"] = micro_all - int(money[-1] - money[before]) if e.lifetime else 0
-        out["last_us"] = int(at[before - 1]) if before else (life[3] if life[3] is not None and life[3] < r.ts_us else None)
-        apart = e.apart_span and before
-        out["n_apart"] = len(np.unique(events[int(np.searchsorted(at, r.ts_us - e.apart_span)):before, 2])) if apart else 0
-        out["seen"] = known.get(r.apart, r.ts_us) < r.ts_us if e.known and r.has_apart else None
-        return Row(**out)
-
-    def _events(self) -> np.ndarray:
-        got = self.recent.get()
-        return np.frombuffer(got[0], np.int64).reshape(-1, 3) if got else np.zeros((0, 3), np.int64)
-
-    def _keep(self, events: np.ndarray, watermark_ms: int, e: Entity) -> None:
-        """Drops the events that no payment still to come can see."""
-        stay = events[events[:, 0] >= watermark_ms * 1000 - max(e.spans)]
-        if len(stay):
-            self.recent.update((stay.tobytes(),))
+            out[f"sum_{_name(span)}"] = money[before] - money[low]
+        # Those at this instant or later are in the totals.
+        out["n_all"] = now["n"][code] - (end[code] - before) if e.lifetime else 0
+        out["sum_all"] = now["micro"][code] - (money[end[code]] - money[before]) if e.lifetime else 0
+        some = before > begin[code]
+        last = np.where(some, at[np.maximum(before - 1, 0)] if len(at) else -_LATEST, last_known[code])
+        out["last_us"] = pd.array(last, "Int64")
+        out["last_us"][~some & ~((last != -_LATEST) & (last < t))] = pd.NA
+        out["n_apart"] = self._distinct(owner, at, events[:, 2], code, t, before, e.apart_span) if e.apart_span else 0
+        out["seen"] = pd.array(np.zeros(len(t), bool), "boolean")
+        if e.known:
+            # The first time of each entity's value: from the state, and from what this micro-batch tells.
+            table = pd.DataFrame({
+                "code": np.concatenate([np.repeat(codes[at_old:at_life], known_sizes), code]), "apart": np.concatenate([known[:, 0], apart]),
+                "us": np.concatenate([known[:, 1], np.where(tells & has_apart, t, _LATEST)])})
+            earliest = table.groupby(["code", "apart"])["us"].transform("min").to_numpy()
+            out["seen"] = pd.array(earliest[len(known):] < t, "boolean")
+            out["seen"][~has_apart] = pd.NA
+            table = table.assign(us=earliest).drop_duplicates(["code", "apart"])
+            known = table[table["us"] != _LATEST].sort_values("code", kind="stable")
         else:
+            out["seen"][:] = pd.NA
+        yield pd.DataFrame(out)
+        if tells.any():
+            if e.lifetime:
+                alive = np.flatnonzero(now["n"] > 0)
+                held = np.bincount(known["code"], minlength=n)[alive] if e.known else np.zeros(len(alive), np.int64)
+                self.life.update((
+                    named[0][alive].tolist(), named[1][alive].tolist(), held.astype(np.int64).tobytes(), np.stack([now[c][alive] for c in now], axis=1).tobytes(),
+                    known[["apart", "us"]].to_numpy(np.int64).tobytes() if e.known else b""))
+            self._keep(named, owner, events, timerValues.getCurrentWatermarkInMs(), e)
+
+    @staticmethod
+    def _distinct(owner, at, apart, code, t, before, span) -> np.ndarray:
+        """Distinct values in the span before each question. An event stands for its value until the
+        value comes again or the span has passed."""
+        order = np.lexsort((at, apart, owner))
+        again = np.full(len(at), _LATEST)
+        follows = (owner[order][1:] == owner[order][:-1]) & (apart[order][1:] == apart[order][:-1])
+        again[order[:-1][follows]] = at[order[1:][follows]]
+        return before - _before(owner, np.minimum(again, at + span), code, t)
+
+    def _keep(self, named: tuple, owner: np.ndarray, events: np.ndarray, watermark_ms: int, e: Entity) -> None:
+        """Drops the events that no payment still to come can see; wakes when the next entity has none left."""
+        stay = events[:, 0] >= watermark_ms * 1000 - max(e.spans)
+        owner, events = owner[stay], events[stay]
+        if not len(owner):
             self.recent.clear()
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
-        events = self._events()
+            return
+        held, sizes = np.unique(owner, return_counts=True)
+        newest = events[np.cumsum(sizes) - 1, 0]
+        self.recent.update((named[0][held].tolist(), named[1][held].tolist(), sizes.astype(np.int64).tobytes(), events.tobytes()))
+        self.handle.registerTimer(int(newest.min() + max(e.spans)) // 1000 + 1)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        names, parts, sizes, events = self._held(self.recent, (3,))
         if len(events):
-            self._keep(events, timerValues.getCurrentWatermarkInMs(), self.entities[key[0]])
+            self._keep((names, parts), np.repeat(np.arange(len(names)), sizes), events, timerValues.getCurrentWatermarkInMs(), self.entities[key[0]])
         yield from ()
 
     def close(self) -> None:
         pass
 
 
-def answers(asked: DataFrame, entities: tuple[Entity, ...] = ENTITIES) -> DataFrame:
+def answers(asked: DataFrame, entities: tuple[Entity, ...] = ENTITIES, buckets: int = BUCKETS) -> DataFrame:
     """The stream of what each entity (or part of one) says to each payment."""
     spans = sorted({s for e in entities for s in e.spans})
     counts = ", ".join(f"n_{_name(s)} long, sum_{_name(s)} long" for s in spans)
-    rest = f"ts timestamp, ts_us long, role string, part int, {counts}, n_all long, sum_all long, last_us long, n_apart long, seen boolean"
+    rest = f"ts_us long, role string, part int, {counts}, n_all long, sum_all long, last_us long, n_apart long, seen boolean"
     schema = T.StructType([asked.schema["txn_id"], *T._parse_datatype_string(rest).fields])
-    return asked.groupBy("kind", "entity", "part").transformWithState(
-        statefulProcessor=EntityHistory(entities), outputStructType=schema, outputMode="Append", timeMode="EventTime")
+    bucket = F.pmod(F.xxhash64("entity", "part"), F.lit(buckets)).cast("int")
+    return asked.withColumn("bucket", bucket).groupBy("kind", "bucket").transformWithStateInPandas(
+        statefulProcessor=EntityHistory(entities), outputStructType=schema, outputMode="Append", timeMode="EventTime"
+    ).withColumn("ts", F.timestamp_micros("ts_us"))
 
 
 def merged_answers(partial: DataFrame, names: list[str]) -> DataFrame:
@@ -220,6 +286,7 @@ class KeyedFeatures:
     busy: DataFrame | None = None
     delay: str = "1 hour"
     entities: tuple[Entity, ...] = ENTITIES
+    buckets: int = BUCKETS  # stays the same for the life of a store
 
     def start(self, stream: DataFrame, **trigger) -> StreamingQuery:
         first = stream.withWatermark("ts", self.delay).dropDuplicatesWithinWatermark(["txn_id"])
@@ -231,7 +298,7 @@ class KeyedFeatures:
         spark = stream.sparkSession
         with rocksdb(spark):
             return (
-                answers(questions(told, self.entities, self.busy), self.entities)
+                answers(questions(told, self.entities, self.busy), self.entities, self.buckets)
                 .writeStream.foreachBatch(self._write).outputMode("append")
                 .option("checkpointLocation", f"{self.store}/checkpoint")
                 .trigger(**(trigger or {"availableNow": True})).start()
@@ -246,7 +313,8 @@ class KeyedFeatures:
 
     def state(self, spark: SparkSession, name: str = "recent") -> DataFrame:
         """(kind, entity, part) of the entities that hold a state now: ``recent`` or ``life``."""
-        return spark.read.format("statestore").option("operatorId", 0).option("stateVarName", name).load(f"{self.store}/checkpoint").select("key.*")
+        held = spark.read.format("statestore").option("operatorId", 0).option("stateVarName", name).load(f"{self.store}/checkpoint")
+        return held.select("key.kind", F.explode(F.arrays_zip("value.entities", "value.parts")).alias("e")).select("kind", F.col("e.entities").alias("entity"), F.col("e.parts").alias("part"))
 
 
 def assembled(left: DataFrame, right: DataFrame, delay: str = "1 hour") -> DataFrame:
