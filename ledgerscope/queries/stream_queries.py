@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from ..operators.decisions import Rule
 from ..sources import tables as T
 from ..streaming import KeyedFeatures, OnlineFeatures, alerts, assembled, deduplicated, running_counters, sliding_velocity
-from ..streaming.keyed import ENTITIES, FEATURES, dropped_late
+from ..streaming.keyed import ENTITIES, FEATURES, dropped_late, rocksdb
 from .feature_queries import BASE_SQL, FEATURE_SQL
 from .other_queries import scratch
 from .registry import HALF, LEDGER_SQL, n, r
@@ -32,6 +33,21 @@ DELAY_US = 3_600_000_000
 SLICE_SQL = ("CASE WHEN event_id % 97 = 0 THEN {late} ELSE least(2, CAST(floor((us - lo) * 3.0e0 / (hi - lo + 1)) AS INT)) END")
 
 
+FILES = 4
+
+
+def deliver(df, path):
+    """Appends the rows of one micro-batch as exactly ``FILES`` files; a part without rows leaves none, so empty ones make up for it."""
+    spark = df.sparkSession
+    try:
+        before = len(spark.read.parquet(path).inputFiles())
+    except AnalysisException:
+        before = 0
+    df.repartition(FILES).write.mode("append").parquet(path)
+    for _ in range(before + FILES - len(spark.read.parquet(path).inputFiles())):
+        spark.createDataFrame([], df.schema).coalesce(1).write.mode("append").parquet(path)
+
+
 def sliced_stream(spark, sf, late: bool = False):
     """The ledger as a stream of three micro-batches in the order of time; with ``late``, some early rows come last."""
     path = f"{scratch(spark, 'events')}/events"
@@ -39,12 +55,11 @@ def sliced_stream(spark, sf, late: bool = False):
     ends = raw.agg(F.min("us").alias("lo"), F.max("us").alias("hi"))
     own = "least(2, CAST(floor((us - lo) * 3.0e0 / (hi - lo + 1)) AS INT))"
     cut = raw.crossJoin(F.broadcast(ends)).withColumn("slice", F.expr(SLICE_SQL.format(late=2 if late else own))).drop("us", "lo", "hi")
-    files = 4
     for i in range(SLICES):  # written one after the other, which is the order they are read in
-        cut.filter(F.col("slice") == i).drop("slice").repartition(files).write.mode("append").parquet(path)
+        deliver(cut.filter(F.col("slice") == i).drop("slice"), path)
     schema = spark.read.parquet(path).schema
     k = F.get_json_object("props", "$.k").cast("long").alias("k")
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", FILES).parquet(path)
     return stream.select("*", k).selectExpr(*[f"{e} AS {c}" for c, e in T.LEDGER_COLUMNS.items()])
 
 
@@ -106,13 +121,14 @@ def _assembled(spark, sf):
         path = f"{scratch(spark, side)}/partials"
         held = F.expr(HELD_BACK if side == "account" else "false")
         for i in range(SLICES):
-            found.filter((F.col("slice") == i) & ~held).drop("slice").coalesce(1).write.mode("append").parquet(path)
+            deliver(found.filter((F.col("slice") == i) & ~held).drop("slice"), path)
         if side == "account":
-            found.filter(held).drop("slice").coalesce(1).write.mode("append").parquet(path)
-        sides[side] = spark.readStream.schema(found.drop("slice").schema).option("maxFilesPerTrigger", 1).parquet(path)
+            deliver(found.filter(held).drop("slice"), path)
+        sides[side] = spark.readStream.schema(found.drop("slice").schema).option("maxFilesPerTrigger", FILES).parquet(path)
     path = scratch(spark, "assembled")
-    q = (assembled(sides["customer"], sides["account"]).writeStream.format("parquet").outputMode("append")
-         .option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start(f"{path}/out"))
+    with rocksdb(spark):  # the payments that wait for their other side are as many as the watermark leaves open
+        q = (assembled(sides["customer"], sides["account"]).writeStream.format("parquet").outputMode("append")
+             .option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start(f"{path}/out"))
     q.awaitTermination()
     return spark.read.parquet(f"{path}/out"), dropped_late(q, "symmetricHashJoin")
 
