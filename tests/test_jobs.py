@@ -1,5 +1,6 @@
 """Learned channels, reasons, the batch job and streams."""
 
+import re
 import datetime as dt
 
 import pytest
@@ -125,3 +126,24 @@ def test_retention_is_refused_with_lifetime_features(tmp_path):
     with pytest.raises(ValueError, match="cust_txn_total"):
         OnlineFeatures(str(tmp_path), ["cust_txn_total", "cust_txn_1h"], retention_us=1)
     OnlineFeatures(str(tmp_path), ["cust_txn_1h", "amount"], retention_us=1)
+
+
+def test_text_vectors_hold_the_weights_of_the_terms_by_place(spark):
+    texts = spark.createDataFrame(
+        [(1, "alpha beta alpha gamma"), (1, "beta delta"), (2, "beta gamma alpha beta"), (3, "zeta"), (None, "alpha gamma"), (None, "alpha gamma")], "episode_id LONG, text STRING")
+    counts = text.term_counts(texts)
+    tf = {(r.episode_id, r.term): r.tf for r in counts.collect()}
+    assert tf[1, "alpha"] == 2 and tf[1, "beta"] == 2 and tf[1, "beta delta"] == 1 and tf[None, "alpha gamma"] == 2 and (2, "delta") not in tf
+    vocab = text.vocabulary(counts, 4).select("term", "idf", "idx")
+    want = {}
+    for r in text.weights(counts, vocab).collect():
+        want[r.episode_id, r.idx] = want.get((r.episode_id, r.idx), 0.0) + r.w
+    got = {(r.episode_id, i): w for r in text._placed(counts, vocab, "episode_id").collect() for i, w in zip(r.idx, r.w, strict=True)}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+    assert {k for k, _ in got} == {1, 2}
+
+
+def test_texts_travel_to_their_key_and_not_their_terms(spark):
+    texts = spark.createDataFrame([(1, "alpha beta"), (2, "gamma")], "episode_id LONG, text STRING")
+    plan = text.term_counts(texts)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"hashpartitioning\(episode_id#\d+L, \d+\)", plan), plan
