@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import bitmap
+from .common import saved
 
 WINDOW = 35
 PERIOD = 21
@@ -176,7 +177,8 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, period: int = PERIOD
 def remove_repeats(docs: DataFrame, window: int = WINDOW, period: int = PERIOD, cover: tuple[int, ...] = COVER, bits: int = BITS) -> DataFrame:
     """``row`` (all columns but the text), text, ``kept`` (kept words joined by a space), n_words and n_removed."""
     row = F.struct(*[c for c in docs.columns if c != "text"]).alias("row")
-    repeats = repeated_windows(docs, window, period, cover, bits)
+    # Stored, so that the shuffle files of the windows are gone before the texts are shuffled.
+    repeats = saved(repeated_windows(docs, window, period, cover, bits), "repeats")
     checked = docs.select("doc_id", row, "text", F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("_sum"))
     found = repeats.select(F.col("doc_id").alias("_id"), F.col("_sum").alias("_check"), "starts")
     joined = checked.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_sum") == F.col("_check")), "left")

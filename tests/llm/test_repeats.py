@@ -123,3 +123,9 @@ def test_bitmap(spark):
     built = bitmap.build(spark.createDataFrame([(int(x),) for x in h], "h long"), 20)
     assert bitmap.holds(built, h.view(np.uint64)).all()
     assert bitmap.holds(built, rng.integers(0, 2**63, 10_000, dtype=np.uint64)).mean() < 0.01
+
+
+def test_windows_are_done_with_before_the_texts_are_shuffled(spark):
+    docs = frame(spark, ["a b c d"] * 3)
+    plan = substrings.remove_repeats(docs, 35)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "collect_list" not in plan
