@@ -1,7 +1,7 @@
 """Learned channels, reasons, the batch job and streams."""
 
-import re
 import datetime as dt
+import re
 
 import pytest
 from pyspark.sql import functions as F
