@@ -17,11 +17,15 @@ and one made-up value a document, put between two of its words, so that a kind i
 also where the corpus has none of its base spans. Examples against are those same spans
 with a failed check, and candidates that fail one (check digit, octets, number of groups
 or digits, dates, domains) or lie in a base span of another kind. All other candidates
-have no label. An equal example counts once. At most ``FIT_ROWS`` are used, a quarter for
-each kind, those with the smallest hash (the documented bound). A fifth of them, by the
-hash of the document, does not train but sets each kind's threshold: the lowest score from
-which on at least ``PRECISION`` of what is taken is right. Kinds without such a score add
-nothing.
+have no label. An equal example counts once, and all of them are used. A fifth, by the
+hash of the document, does not train but sets each kind's threshold: the lowest score down to
+which at least ``PRECISION`` of what is taken is right (those of one score stand evenly mixed,
+and all are taken). Kinds without such a score add nothing.
+
+Fitting is a Spark job over every example. The features are cut at quantiles of all training
+examples, examples alike in all cuts become one row with a count, and each level of each tree
+is one pass that sums gradients by node, feature and cut (whole numbers, so the order of
+adding does not matter). Only those sums, of fixed size, come to the driver.
 
 Nulls and odd input: null counts as empty, with no spans. All patterns take time in
 proportion to the text, also on very long runs of digits or letters. Rows are judged one
@@ -43,10 +47,11 @@ from pyspark.sql import types as T
 from .common import saved
 
 KINDS = ("email", "ip", "card", "phone")
-FIT_ROWS = 20_000
 PRECISION = 0.995
 TREES, DEPTH, RATE, BINS = 20, 3, 0.3, 16
 CONTEXT = 24
+UNIT = 1 << 20  # gradients are added in whole parts of this
+STEPS = 1024  # of the log odds in which thresholds are set
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -168,31 +173,88 @@ class Boosted:
             self._add(right, x, rows[~low], total)
 
 
-def boost(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH, rate: float = RATE) -> Boosted:
-    """Gradient boosting of the logistic loss on binned features."""
-    share = min(max(y.mean(), 1e-3), 1 - 1e-3)
-    model = Boosted(float(np.log(share / (1 - share))))
-    cuts = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, BINS + 1)[1:-1])) for f in range(x.shape[1])]
-    codes = [np.searchsorted(c, x[:, f], side="left") for f, c in enumerate(cuts)]
-
-    def grow(rows: np.ndarray, g: np.ndarray, h: np.ndarray, left: int):
-        best = (1e-6, None, None)
-        total_g, total_h = g[rows].sum(), h[rows].sum()
-        for f, code in enumerate(codes if left else []):
-            gs = np.bincount(code[rows], g[rows], len(cuts[f]) + 1).cumsum()[:-1]
-            hs = np.bincount(code[rows], h[rows], len(cuts[f]) + 1).cumsum()[:-1]
-            gain = gs**2 / (hs + 1) + (total_g - gs) ** 2 / (total_h - hs + 1) - total_g**2 / (total_h + 1)
-            if len(gain) and gain.max() > best[0]:
-                best = (gain.max(), f, int(gain.argmax()))
-        if best[1] is None:
-            return float(rate * total_g / (total_h + 1))
-        low = codes[best[1]][rows] <= best[2]
-        return best[1], float(cuts[best[1]][best[2]]), grow(rows[low], g, h, left - 1), grow(rows[~low], g, h, left - 1)
+@dataclass
+class Grown:
+    """A tree over cut numbers; the children of node i are 2 i + 1 and 2 i + 2."""
+
+    feature: np.ndarray  # -1: a leaf
+    cut: np.ndarray
+    value: np.ndarray
+
+    def nodes(self, codes: np.ndarray) -> np.ndarray:
+        """The leaf of every row, or the node that has yet to be split."""
+        at, rows = np.zeros(len(codes), np.int64), np.arange(len(codes))
+        for _ in range(len(self.feature).bit_length()):
+            f = self.feature[at]
+            at = np.where(f >= 0, 2 * at + 1 + (codes[rows, f] > self.cut[at]), at)
+        return at
+
+    def nested(self, cuts: list[np.ndarray], at: int = 0):
+        f = int(self.feature[at])
+        if f < 0:
+            return float(self.value[at])
+        return f, float(cuts[f][self.cut[at]]), self.nested(cuts, 2 * at + 1), self.nested(cuts, 2 * at + 2)
+
+
+def _codes(x: np.ndarray, cuts: list[np.ndarray]) -> np.ndarray:
+    return np.stack([np.searchsorted(c, x[:, f], side="left") for f, c in enumerate(cuts)], 1).astype(np.uint8)
 
+
+def _log_odds(start: float, trees: list[Grown], codes: np.ndarray) -> np.ndarray:
+    total = np.full(len(codes), start)
+    for tree in trees:
+        total += tree.value[tree.nodes(codes)]
+    return total
+
+
+def _gradients(codes: np.ndarray, y: np.ndarray, n: np.ndarray, start: float, trees: list[Grown], growing: Grown) -> np.ndarray:
+    """Sums of gradients and curvatures by node, feature and cut number, in parts of ``UNIT``."""
+    p = 1 / (1 + np.exp(-np.clip(_log_odds(start, trees, codes), -30, 30)))
+    width, nodes = codes.shape[1], len(growing.feature)
+    slot = ((growing.nodes(codes)[:, None] * width + np.arange(width)) * BINS + codes).ravel()
+    sums = [np.bincount(slot, np.repeat(np.rint(part * UNIT) * n, width), nodes * width * BINS) for part in (y - p, p * (1 - p))]
+    return np.stack(sums).astype(np.int64).reshape(2, nodes, width, BINS)
+
+
+def _grow(starts: dict[int, float], widths: dict[int, list[int]], gradients, trees: int, depth: int, rate: float) -> dict[int, list[Grown]]:
+    """Trees of every key, a level at a time; ``gradients(done, growing)`` gives each key's sums."""
+    done: dict[int, list[Grown]] = {k: [] for k in starts}
+    size = 2 ** (depth + 1) - 1
     for _ in range(trees):
-        p = model.score(x)
-        model.trees.append(grow(np.arange(len(x)), y - p, p * (1 - p), depth))
-    return model
+        growing = {k: Grown(np.full(size, -1), np.zeros(size, np.int64), np.zeros(size)) for k in starts}
+        for level in range(depth):
+            for k, sums in gradients(done, growing).items():
+                tree = growing[k]
+                for node in range(2**level - 1, 2 ** (level + 1) - 1):
+                    if level and tree.feature[(node - 1) // 2] < 0:
+                        continue
+                    g, h = sums[:, node] / UNIT
+                    total_g, total_h = g[0].sum(), h[0].sum()
+                    tree.value[node], best = rate * total_g / (total_h + 1), 1e-6
+                    for f, cuts in enumerate(widths[k]):
+                        gs, hs = g[f].cumsum()[:cuts], h[f].cumsum()[:cuts]
+                        gain = gs**2 / (hs + 1) + (total_g - gs) ** 2 / (total_h - hs + 1) - total_g**2 / (total_h + 1)
+                        if len(gain) and gain.max() > best:
+                            best, at = gain.max(), int(gain.argmax())
+                            tree.feature[node], tree.cut[node] = f, at
+                            tree.value[2 * node + 1] = rate * gs[at] / (hs[at] + 1)
+                            tree.value[2 * node + 2] = rate * (total_g - gs[at]) / (total_h - hs[at] + 1)
+        for k, tree in growing.items():
+            done[k].append(tree)
+    return done
+
+
+def _start(share: float) -> float:
+    share = min(max(share, 1e-3), 1 - 1e-3)
+    return float(np.log(share / (1 - share)))
+
+
+def boost(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH, rate: float = RATE) -> Boosted:
+    """Gradient boosting of the logistic loss on binned features, for rows at hand."""
+    cuts = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, BINS + 1)[1:-1])) for f in range(x.shape[1])]
+    codes, start, once = _codes(x, cuts), _start(y.mean()), np.ones(len(x))
+    grown = _grow({0: start}, {0: [len(c) for c in cuts]}, lambda done, tree: {0: _gradients(codes, y, once, start, done[0], tree[0])}, trees, depth, rate)
+    return Boosted(start, [t.nested(cuts) for t in grown[0]])
 
 
 @dataclass
@@ -332,8 +394,8 @@ def labelled(text: str, row: int) -> Iterator[tuple[int, int, int, list[float]]]
                 yield kind, label, hash((row, *span, start, label)), features(near, span)
 
 
-def examples(docs: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
-    """At most ``fit_rows`` different candidates with kind, label, fold and features, a quarter for each kind."""
+def examples(docs: DataFrame, fit_rows: int | None = None) -> DataFrame:
+    """Different candidates with kind, label, fold and features: all of them, or ``fit_rows`` at most, a quarter for each kind."""
     schema = "kind int, label int, held boolean, pick long, features array<double>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -350,41 +412,115 @@ def examples(docs: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
                 [pa.array(kinds, pa.int32()), pa.array(label, pa.int32()), pa.array(held, pa.bool_()), pa.array(pick, pa.int64()), pa.array(feats, pa.list_(pa.float64()))],
                 names=["kind", "label", "held", "pick", "features"])
 
-    rows = saved(docs.select(F.xxhash64("text").alias("_row"), "text").mapInArrow(run, schema), "examples")
-    # Taking a share by hash first keeps what tasks send for the last cut near ``fit_rows`` altogether.
-    each = fit_rows // len(KINDS)
-    sizes = dict(rows.groupBy("kind").agg(F.approx_count_distinct("pick", 0.02)).collect())
-    out = []
-    for kind in range(len(KINDS)):
-        share = min(1.0, 1.2 * each / max(1, sizes.get(kind, 0)))
-        lucky = F.shiftrightunsigned(F.xxhash64("pick"), 11) < F.lit(int(share * (1 << 53)))
-        out.append(rows.where((F.col("kind") == kind) & lucky).dropDuplicates(["pick"]).orderBy("pick").limit(each))
+    rows = docs.select(F.xxhash64("text").alias("_row"), "text").mapInArrow(run, schema).dropDuplicates(["kind", "pick"])
+    if fit_rows is None:
+        return rows
+    rows, each = saved(rows, "examples"), fit_rows // len(KINDS)
+    out = [rows.where(F.col("kind") == kind).orderBy("pick").limit(each) for kind in range(len(KINDS))]
     return out[0].unionAll(out[1]).unionAll(out[2]).unionAll(out[3])
 
 
-def fit(docs: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
-    """Trees and thresholds from the labelled examples; a bounded sample comes to the driver."""
-    sample = examples(docs, fit_rows).toArrow().to_pandas()
-    never = tuple(2.0 for _ in KINDS)
-    train = sample[~sample["held"].astype(bool)] if len(sample) else sample
-    if len(train) < 50 or train["label"].nunique() < 2:
-        return Model(Boosted(), never)
-    by_kind = ((int(k), part) for k, part in train.groupby("kind") if part["label"].nunique() == 2)
-    trees = ByKind({k: boost(np.array(part["features"].tolist()), part["label"].to_numpy(float)) for k, part in by_kind})
-    held = sample[sample["held"].astype(bool)]
-    thresholds = list(never)
-    if len(held):
-        x, y = np.array(held["features"].tolist()), held["label"].to_numpy()
-        p = trees.score(x)
-        for kind in range(len(KINDS)):
-            rows = np.flatnonzero(x[:, 0] == kind)
-            order = rows[np.argsort(-p[rows], kind="stable")]
-            right = y[order].cumsum() / np.arange(1, len(order) + 1)
-            good = np.flatnonzero(right >= PRECISION)
-            if len(good) and len(order) >= 20:
-                # Halfway to the next score below: the same is taken here, and what was not seen is judged evenly.
-                thresholds[kind] = float(p[order[good[-1] : good[-1] + 2]].mean())
-    return Model(trees, tuple(thresholds))
+def _rounded(x: Column) -> Column:
+    """Large values to three digits, so that quantiles need few different ones."""
+    unit = F.pow(F.lit(10.0), F.floor(F.log10(x)) - 2)
+    return F.when(x < 1000, x).otherwise(F.floor(x / unit) * unit)
+
+
+def _matrix(batch: pa.RecordBatch) -> np.ndarray:
+    """The cut numbers of a batch of cells."""
+    return np.frombuffer(b"".join(batch.column("codes").to_pylist()), np.uint8).reshape(-1, N_FEATURES)
+
+
+def _cells(rows: DataFrame, cuts: dict[int, list[np.ndarray]]) -> DataFrame:
+    """Examples with their cut numbers for features, those alike as one row with their count ``n``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kinds, x = batch.column("kind").to_numpy(), batch.column("features").flatten().to_numpy().reshape(-1, N_FEATURES)
+            codes = np.zeros(x.shape, np.uint8)
+            for k in cuts:
+                codes[kinds == k] = _codes(x[kinds == k], cuts[k])
+            packed = pa.array([c.tobytes() for c in codes], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("kind", "label", "held")), packed], names=["kind", "label", "held", "codes"])
+
+    coded = rows.where(F.col("kind").isin(list(cuts))).mapInArrow(run, "kind int, label int, held boolean, codes binary")
+    return coded.groupBy("kind", "label", "held", "codes").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _pass(cells: DataFrame, starts: dict[int, float], done: dict[int, list[Grown]], growing: dict[int, Grown]) -> dict[int, np.ndarray]:
+    """Sums of gradients of every kind over all training cells."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = {}
+        for batch in batches:
+            kinds, codes = batch.column("kind").to_numpy(), _matrix(batch)
+            y, n = batch.column("label").to_numpy(), batch.column("n").to_numpy()
+            for k in np.unique(kinds).tolist():
+                at = kinds == k
+                sums[k] = sums.get(k, 0) + _gradients(codes[at], y[at], n[at], starts[k], done[k], growing[k])
+        for k, both in sums.items():
+            g, h = both.reshape(2, -1)
+            slot = np.flatnonzero((g != 0) | (h != 0))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(slot), k, np.int32)), pa.array(slot), pa.array(g[slot]), pa.array(h[slot])], names=["kind", "slot", "g", "h"])
+
+    parts = cells.where("NOT held").select("kind", "label", "codes", "n").mapInArrow(run, "kind int, slot long, g long, h long")
+    found = parts.groupBy("kind", "slot").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).toArrow().to_pandas()
+    out = {}
+    for k, part in found.groupby("kind"):
+        both = np.zeros((2, len(growing[k].feature) * N_FEATURES * BINS), np.int64)
+        both[:, part["slot"].to_numpy()] = part[["g", "h"]].to_numpy().T
+        out[int(k)] = both.reshape(2, -1, N_FEATURES, BINS)
+    return out
+
+
+def _thresholds(cells: DataFrame, starts: dict[int, float], grown: dict[int, list[Grown]]) -> tuple[float, ...]:
+    """The lowest score of every kind from which on enough of the held-out examples are right."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kinds, codes = batch.column("kind").to_numpy(), _matrix(batch)
+            step = np.zeros(len(kinds), np.int64)
+            for k in np.unique(kinds).tolist():
+                step[kinds == k] = np.floor(np.clip(_log_odds(starts[k], grown[k], codes[kinds == k]), -30, 30) * STEPS)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("kind", "label", "n")), pa.array(step)], names=["kind", "label", "n", "step"])
+
+    scored = cells.where("held").select("kind", "label", "codes", "n").mapInArrow(run, "kind int, label int, n long, step long")
+    found = scored.groupBy("kind", "step").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("label")).alias("right")).toArrow().to_pandas()
+    out = [2.0 for _ in KINDS]
+    for k, part in found.groupby("kind"):
+        part = part.sort_values("step", ascending=False)
+        right, wrong = part["right"].to_numpy(), (part["n"] - part["right"]).to_numpy()
+        # Down the ranking; examples of one score stand evenly mixed, so right ones come before the first wrong one.
+        lead = right // (wrong + 1)
+        above, bad = right.cumsum() - right, wrong.cumsum() - wrong
+        reached = (lead > 0) & (above + lead >= PRECISION * (above + bad + lead))
+        good = np.flatnonzero(reached | (above + right >= PRECISION * (above + bad + right + wrong)))
+        if len(good) and part["n"].sum() >= 20:
+            steps, last = part["step"].to_numpy(), good[-1]
+            # Halfway to the next score below: the same is taken here, and what was not seen is judged evenly.
+            below = steps[last + 1] + 1 if last + 1 < len(steps) else steps[last]
+            out[int(k)] = float(1 / (1 + np.exp(-(steps[last] + below) / 2 / STEPS)))
+    return tuple(out)
+
+
+def fit(docs: DataFrame) -> Model:
+    """Trees and thresholds from all labelled examples, by passes over the stored table of them."""
+    rows = saved(examples(docs), "examples")
+    train, probs = rows.where("NOT held"), [float(q) for q in np.linspace(0, 1, BINS + 1)[1:-1]]
+    quantiles = [F.percentile(_rounded(F.col("features")[f]), probs).alias(f"q{f}") for f in range(N_FEATURES)]
+    kinds = train.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("right"), *quantiles).collect()
+    whole, right = sum(r.n for r in kinds), sum(r.right for r in kinds)
+    kinds = [r for r in kinds if 0 < r.right < r.n]
+    if whole < 50 or not 0 < right < whole or not kinds:
+        return Model(Boosted(), tuple(2.0 for _ in KINDS))
+    cuts = {r.kind: [np.unique(r[f"q{f}"]) for f in range(N_FEATURES)] for r in kinds}
+    starts = {r.kind: _start(r.right / r.n) for r in kinds}
+    cells = saved(_cells(rows, cuts), "cells")
+    grown = _grow(
+        starts, {k: [len(c) for c in by] for k, by in cuts.items()},
+        lambda done, growing: _pass(cells, starts, done, growing), TREES, DEPTH, RATE)
+    trees = ByKind({k: Boosted(starts[k], [t.nested(cuts[k]) for t in grown[k]]) for k in starts})
+    return Model(trees, _thresholds(cells, starts, grown))
 
 
 def choose(texts: list[str], model: Model) -> list[tuple[list[Span], list[Span]]]:

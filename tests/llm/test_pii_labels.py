@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
+
 from data import frame, prose
 
 from ledgerscope.llm import pii
@@ -37,3 +39,27 @@ def test_equal_examples_count_once_and_kinds_share_the_sample(spark):
     rows = pii.examples(frame(spark, [*copies, *(prose(rng, 12) for _ in range(400))]), 200).collect()
     assert len({r.pick for r in rows}) == len(rows)
     assert all(sum(r.kind == k for r in rows) == 50 for k in range(4))
+
+
+def test_all_examples_are_used_to_fit(spark):
+    rng = random.Random(7)
+    docs = frame(spark, [prose(rng, 4) for _ in range(11_500)])
+    rows = docs.selectExpr("xxhash64(text) AS row", "text").collect()
+    wanted = {(kind, pick) for r in rows for kind, _, pick, _ in pii.labelled(r.text, r.row)}
+    found = [(r.kind, r.pick) for r in pii.examples(docs).select("kind", "pick").collect()]
+    assert len(found) > 20_000 and len(found) == len(wanted) and set(found) == wanted
+
+
+def test_trees_of_the_whole_table_are_those_of_its_rows_at_once(spark):
+    rng = random.Random(8)
+    docs = frame(spark, [f"{prose(rng, 5)} +49 30 {rng.randrange(10**6, 10**7)} {prose(rng, 5)} 10.0.{i % 250}.7" for i in range(600)])
+    model = pii.fit(docs.repartition(7))
+    rows = pii.examples(docs).toPandas()
+    train = rows[~rows["held"]]
+    for kind, trees in model.trees.kinds.items():
+        part = train[train["kind"] == kind]
+        x = np.array(part["features"].tolist())
+        plain = pii.boost(x, part["label"].to_numpy(float))
+        assert len(trees.trees) == len(plain.trees) and abs(trees.start - plain.start) < 1e-9
+        assert np.abs(trees.score(x) - plain.score(x)).mean() < 0.01
+    assert set(model.trees.kinds) == {0, 1, 2, 3}
