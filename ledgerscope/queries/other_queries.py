@@ -89,15 +89,26 @@ def _k9(spark, sf):
 
 @register("k11_earliest_per_campaign", f"WITH {FLOWS_SQL} SELECT campaign_id, order_id, layer, dst, {r('amount', 'amount', 2)} FROM (SELECT DISTINCT campaign_id, order_id, layer, dst, amount, ts_us FROM flows) QUALIFY row_number() OVER (PARTITION BY campaign_id ORDER BY ts_us, order_id, layer, dst, amount) <= 20")
 def _k11(spark, sf):
+    return earliest_per_campaign(T.flows(spark, sf).select("campaign_id", "order_id", "layer", "dst", "amount", "ts_us"), 20)
+
+
+def earliest_per_campaign(f, k):
+    """The ``k`` first different flows of every campaign, by time."""
     from pyspark.sql import Window
 
-    f = T.flows(spark, sf).select("campaign_id", "order_id", "layer", "dst", "amount", "ts_us").distinct()
     order = ["ts_us", "order_id", "layer", "dst", "amount"]
+    # Each day of a campaign has a flow, so its first k days hold its first k flows; only those are compared.
+    # One row a campaign travels to the tasks.
+    days = f.select(F.col("campaign_id").alias("c"), F.floor(F.col("ts_us") / F.lit(K.DAY_US)).alias("day")).groupBy("c", "day").agg(F.count(F.lit(1)))
+    by_day = Window.partitionBy("c").orderBy("day")
+    last = days.withColumn("i", F.row_number().over(by_day)).filter(F.col("i") == k).select("c", ((F.col("day") + 1) * K.DAY_US).alias("end"))
+    near = f.join(F.broadcast(last), F.col("campaign_id").eqNullSafe(F.col("c")), "left")
+    near = near.filter("end IS NULL OR ts_us IS NULL OR ts_us < end").drop("c", "end").distinct()
     # Salted parts are ranked first, so a campaign of any size is split up.
     part = Window.partitionBy("campaign_id", F.pmod("order_id", F.lit(16))).orderBy(*order)
     whole = Window.partitionBy("campaign_id").orderBy(*order)
-    near = f.withColumn("i", F.row_number().over(part)).filter("i <= 20")
-    return near.withColumn("i", F.row_number().over(whole)).filter("i <= 20").drop("i", "ts_us")
+    near = near.withColumn("i", F.row_number().over(part)).filter(F.col("i") <= k)
+    return near.withColumn("i", F.row_number().over(whole)).filter(F.col("i") <= k).drop("i", "ts_us")
 
 
 # Set operations.

@@ -223,3 +223,20 @@ def test_medians_close_in_on_the_middle(spark):
     got = {r["feature"]: r["median"] for r in reports.column_medians(df, list(columns)).collect()}
     want = {c: [x for x in v if x is not None and abs(x) < float("inf")] for c, v in columns.items()}
     assert got == {c: statistics.median(v) for c, v in want.items() if v}
+
+
+def test_first_flows_of_a_campaign_are_found_whatever_the_days(spark):
+    from ledgerscope import constants as K
+    from ledgerscope.queries.other_queries import earliest_per_campaign
+
+    rng = random.Random(12)
+    rows = [(c, rng.randrange(40), rng.randrange(3), rng.randrange(3), 1.0 * rng.randrange(2), int(rng.randrange(days) * K.DAY_US / 2))
+            for c, days in ((1, 200), (2, 3), (3, 1), (None, 90)) for _ in range(400)]
+    rows += rows[:100] + [(4, 1, 1, 1, 1.0, None), (4, 2, 1, 1, 1.0, 5)]
+    df = spark.createDataFrame(rows, "campaign_id long, order_id long, layer int, dst long, amount double, ts_us long")
+    wanted = []
+    for c in (1, 2, 3, 4, None):
+        mine = sorted({r for r in rows if r[0] == c}, key=lambda r: (-1 if r[5] is None else r[5], *r[1:5]))
+        wanted += [r[:5] for r in mine[:5]]
+    found = [(r.campaign_id, r.order_id, r.layer, r.dst, r.amount) for r in earliest_per_campaign(df, 5).collect()]
+    assert sorted(map(str, found)) == sorted(map(str, wanted))
