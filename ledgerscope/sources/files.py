@@ -45,15 +45,21 @@ def read_report(spark: SparkSession, path: str, schema: str | None = None) -> Da
     return (reader.schema(schema) if schema else reader).json(path)
 
 
+#: A task writes about so many rows of a day, in as many files as that takes.
+TASK_ROWS = 500_000
+
+
 def write_columnar(df: DataFrame, path: str, ts: str = "ts", mode: str = "errorifexists", rows_per_file: int = 5_000_000) -> None:
     """Parquet, one folder per UTC day, in files of at most ``rows_per_file`` rows.
 
-    The rows of each day are counted first. A day gets as many pieces as it needs, dealt
-    out by hash, so a busy day is written by many tasks and a quiet one is one file.
+    The rows of each day are counted first. A day gets a piece for every ``TASK_ROWS`` rows
+    (or every file, if files are larger), dealt out by hash, so a busy day is written by many
+    tasks and a quiet one is one file. Tasks grow with the rows and not with the files,
+    as each of them reports to the driver.
     """
     day = F.date_from_unix_date(F.floor(F.unix_micros(ts) / F.lit(DAY_US)).cast("int"))
     dated = df.withColumn("dt", day)
-    pieces = dated.groupBy("dt").agg(F.ceil(F.count(F.lit(1)) / rows_per_file).cast("int").alias("__pieces"))  # a row a day
+    pieces = dated.groupBy("dt").agg(F.ceil(F.count(F.lit(1)) / max(rows_per_file, TASK_ROWS)).cast("int").alias("__pieces"))  # a row a day
     count = pieces.agg(F.sum("__pieces")).first()[0] or 1
     found = pieces.select(F.col("dt").alias("__dt"), "__pieces")
     cut = dated.join(F.broadcast(found), F.col("dt").eqNullSafe(F.col("__dt")))
