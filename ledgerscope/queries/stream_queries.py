@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.decisions import Rule
 from ..sources import tables as T
-from ..streaming import KeyedFeatures, OnlineFeatures, alerts, assembled, deduplicated, running_counters, sliding_velocity
+from ..streaming import KeyedFeatures, OnlineFeatures, alerts, assembled, deduplicated, panes, running_counters, sliding_velocity, windows
 from ..streaming.keyed import ENTITIES, FEATURES, dropped_late, rocksdb
 from .feature_queries import BASE_SQL, FEATURE_SQL
 from .other_queries import scratch
@@ -63,14 +63,14 @@ def sliced_stream(spark, sf, late: bool = False):
     return stream.select("*", k).selectExpr(*[f"{e} AS {c}" for c, e in T.LEDGER_COLUMNS.items()])
 
 
-def finish(stream, spark, name, mode="append"):
-    """Runs the stream to its end into Parquet and reads the result back."""
+def finish(stream, spark, name, mode="append", told=lambda df: df):
+    """Runs the stream to its end into Parquet and reads the result back; ``told`` makes what is written of a complete answer."""
     path = scratch(spark, name)
     writer = stream.writeStream.option("checkpointLocation", f"{path}/checkpoint").outputMode(mode).trigger(availableNow=True)
     if mode == "append":
         q = writer.format("parquet").start(f"{path}/out")
     else:
-        q = writer.foreachBatch(lambda df, i: df.write.mode("overwrite").parquet(f"{path}/out/batch={i}")).start()
+        q = writer.foreachBatch(lambda df, i: told(df).write.mode("overwrite").parquet(f"{path}/out/batch={i}")).start()
     q.awaitTermination()
     out = spark.read.parquet(f"{path}/out")
     if mode == "append":
@@ -182,8 +182,7 @@ def _st5(spark, sf):
 
 @register("st6_sliding_velocity", f"WITH {LEDGER_SQL}, w AS (SELECT customer_id, amount, ts_us // 300000000 * 300000000 - i * 300000000 AS start_us FROM ledger, range(12) t(i)) SELECT customer_id, start_us, {n('count(*)', 'n')}, {r('sum(amount)', 'amount', 2)} FROM w GROUP BY customer_id, start_us")
 def _st6(spark, sf):
-    v = sliding_velocity(ledger_stream(spark, sf))
-    out = finish(v.select("customer_id", F.unix_micros("window.start").alias("start_us"), "n", "amount"), spark, "velocity", "complete")
+    out = finish(panes(ledger_stream(spark, sf)), spark, "velocity", "complete", windows).select("customer_id", "start_us", "n", "amount")
     return out.withColumn("amount", F.floor(F.col("amount") * 100 + HALF) / 100)
 
 

@@ -35,9 +35,34 @@ def sliding_velocity(
     stream: DataFrame, key: str = "customer_id", length: str = "1 hour", slide: str = "5 minutes",
     delay: str = "1 hour", ts: str = "ts",
 ) -> DataFrame:
-    """Counts and sums per key and sliding window: a cheap stand-in for exact trailing spans."""
+    """Counts and sums per key and sliding window: a cheap stand-in for exact trailing spans.
+
+    The state holds every window a payment falls into, which append mode needs. Where the
+    whole answer is told anew each time, keep ``panes`` and make ``windows`` of them.
+    """
     return (
         stream.withWatermark(ts, delay)
         .groupBy(F.window(ts, length, slide).alias("window"), key)
         .agg(F.count(F.lit(1)).alias("n"), F.sum("amount").alias("amount"))
     )
+
+
+def panes(
+    stream: DataFrame, key: str = "customer_id", slide: str = "5 minutes", delay: str = "1 hour", ts: str = "ts",
+) -> DataFrame:
+    """Counts and sums per key and slide: a payment is in one pane, so the state holds it once."""
+    return sliding_velocity(stream, key, slide, slide, delay, ts)
+
+
+def windows(told: DataFrame, key: str = "customer_id", per_window: int = 12) -> DataFrame:
+    """The sliding windows of ``per_window`` panes that hold a payment: ``start_us, key, n, amount``.
+
+    Panes travel to their key once and are copied there, one copy for each window.
+    """
+    start, end = F.unix_micros("window.start"), F.unix_micros("window.end")
+    first = told.select(key, start.alias("__at"), (end - start).alias("__width"), "n", "amount").repartition(key)
+    back = first.withColumn("__i", F.explode(F.array(*[F.lit(i) for i in range(per_window)])))
+    return (
+        back.groupBy(key, (F.col("__at") - F.col("__i") * F.col("__width")).alias("start_us"))
+        .agg(F.sum("n").alias("n"), F.sum("amount").alias("amount"))
+    )
