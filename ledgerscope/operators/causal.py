@@ -21,7 +21,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .hot import DEFAULT_LIMIT, SLICE, hot_slices, with_slice
+from .hot import DEFAULT_LIMIT, SLICE, dealt, hot_slices, with_slice
 
 
 AUTO = object()
@@ -58,14 +58,14 @@ def _expire(df: DataFrame, trailing: list[Trailing], order: str, payload: list[s
         shifts.append(F.when(reduce(or_, gives), F.lit(span).cast("long")))
     df = df.withColumn("__shift", F.explode(F.array_compact(F.array(*shifts))))
     live = F.col("__shift") == 0
-    cols = [(F.col(order) + F.col("__shift")).alias(order), live.alias("__live")]
+    cols = [(F.col(order) + F.col("__shift")).alias(order), (live & F.col("__live")).alias("__live")]
     cols += [F.when(live, F.col(c)).alias(c) for c in payload]
     for t in trailing:
         v = F.col(f"__v_{t.name}")
         cols.append(
             F.when(live, v).when(F.col("__shift") == t.span, -v).otherwise(F.lit(0)).alias(f"__v_{t.name}")
         )
-    keep = [c for c in df.columns if c not in {order, "__shift", *payload} and not c.startswith("__v_")]
+    keep = [c for c in df.columns if c not in {order, "__shift", "__live", *payload} and not c.startswith("__v_")]
     return df.select(*keep, *cols)
 
 
@@ -78,6 +78,8 @@ def causal(
     limit: int = DEFAULT_LIMIT,
     hot: DataFrame | None | object = AUTO,
     collapse: bool = False,
+    asks: Column | None = None,
+    tasks: int | None = None,
 ) -> DataFrame:
     """Adds the requested history columns to every row of ``df``.
 
@@ -86,7 +88,9 @@ def causal(
     ``collapse=True`` first sums rows that share key and time, so that even a
     pile of rows at one instant is a single entry; the result then has one row
     per (key, time) and is meant to be joined back on those columns. Only
-    ``sum``, ``min`` and ``max`` are available there.
+    ``sum``, ``min`` and ``max`` are available there. ``asks`` then marks the rows
+    whose times are wanted, the others only count; ``tasks`` is how many tasks share
+    the rows (Spark's choice by default).
     """
     running, trailing = list(running), list(trailing)
     if hot is AUTO:
@@ -98,11 +102,14 @@ def causal(
         running = []
     payload = [] if collapse else [c for c in df.columns if c not in {*key, order}]
     values = [a.value.alias(f"__v_{a.name}") for a in [*running, *trailing]]
-    events = df.select(*key, order, *payload, *values)
+    live = F.lit(True) if asks is None else asks
+    events = df.select(*key, order, *payload, *values, live.alias("__live"))
+    if collapse and hot is None:
+        # No key is over-full, so its events travel once, before the copies that end spans
+        # are made; sums per time and the windows then find them in place.
+        events = dealt(events, key, tasks)
     if trailing:
         events = _expire(events, trailing, order, [*payload, *[f"__v_{a.name}" for a in running]])
-    else:
-        events = events.withColumn("__live", F.lit(True))
     group = list(key)
     if hot is not None:
         events = with_slice(events, hot, key, order)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ...constants import DAY_US, HOUR_US, NEVER_SECS, SECOND_US
 from ...functions import columns as C
 from ..causal import AUTO, Running, Trailing, causal, next_after
-from ..hot import DEFAULT_LIMIT, hot_slices
+from ..hot import DEFAULT_LIMIT, dealt, hot_slices
 
 ACCOUNT_FEATURES = [
     "benef_in_count_1h", "benef_in_count_24h", "benef_distinct_payers_24h", "benef_in_amt_24h",
@@ -24,13 +24,16 @@ ACCOUNT_FEATURES = [
 
 
 def distinct_payer_steps(
-    credits: DataFrame, span: int = DAY_US, hot: DataFrame | None | object = AUTO, limit: int = DEFAULT_LIMIT
+    credits: DataFrame, span: int = DAY_US, hot: DataFrame | None | object = AUTO, limit: int = DEFAULT_LIMIT,
+    tasks: int | None = None,
 ) -> DataFrame:
     """Up and down steps whose running sum is the distinct payers of a trailing span.
 
     A payer is counted from a credit until the span runs out or the payer's next
     credit takes over, so the intervals of one payer never overlap.
     """
+    if hot is None:
+        credits = dealt(credits, ["acct", "payer"], tasks)  # once for the visits and for what follows each of them
     visits = credits.groupBy("acct", "payer", "ts_us").agg(F.lit(1).alias("__one"))
     visits = next_after(visits, ["acct", "payer"], "ts_us", "next_us", hot, limit)
     ends = F.least(F.col("ts_us") + F.lit(span), F.col("next_us"))
@@ -44,12 +47,14 @@ def distinct_payer_steps(
 
 
 def account_timeline(
-    flows: DataFrame, hot: DataFrame | None | object = AUTO, limit: int = DEFAULT_LIMIT
+    flows: DataFrame, hot: DataFrame | None | object = AUTO, limit: int = DEFAULT_LIMIT,
+    columns: list[str] | None = None, tasks: int | None = None,
 ) -> DataFrame:
     """State of every account just before each instant at which it moves money.
 
     ``flows(src, dst, payer, ts_us, amount)``; either end may be NULL. One row
-    per (acct, ts_us).
+    per (acct, ts_us). ``columns`` restricts the result to some values;
+    ``tasks`` is how many tasks share the rows.
     """
     micro = C.to_micro_units(F.col("amount"))
     us = F.col("ts_us")
@@ -67,7 +72,7 @@ def account_timeline(
     if hot is AUTO:
         hot = hot_slices(moves, ["acct"], "ts_us", limit)
     # Only an over-full account can contain an over-full (account, payer) pair.
-    steps = distinct_payer_steps(credits, hot=None if hot is None else AUTO, limit=limit)
+    steps = distinct_payer_steps(credits, hot=None if hot is None else AUTO, limit=limit, tasks=tasks)
     zero = F.lit(0).cast("long")
     outn = 1 - F.col("inn")
     events = moves.select(
@@ -75,34 +80,39 @@ def account_timeline(
         F.col("inn").alias("in_n"), (F.col("inn") * F.col("micro")).alias("in_amt"),
         outn.alias("out_n"), (outn * F.col("micro")).alias("out_amt"),
         F.when(F.col("inn") == 1, us).alias("in_us"), zero.alias("payer_step"),
+        F.lit(True).alias("moves"),
     ).unionByName(
         steps.select(
             "acct", "ts_us", zero.alias("in_n"), zero.alias("in_amt"), zero.alias("out_n"),
             zero.alias("out_amt"), F.lit(None).cast("long").alias("in_us"), "payer_step",
+            F.lit(False).alias("moves"),
         )
     )
+    wanted = lambda aggs: [a for a in aggs if columns is None or a.name in columns]
     return causal(
         events, ["acct"], "ts_us",
-        [
+        wanted([
             Running("credits", F.col("in_n")),
             Running("payers_24h", F.col("payer_step")),
             Running("last_in_us", F.col("in_us"), "max"),
             Running("first_in_us", F.col("in_us"), "min"),
-        ],
-        [
+        ]),
+        wanted([
             Trailing("in_n_1h", F.col("in_n"), HOUR_US),
             Trailing("in_n_24h", F.col("in_n"), DAY_US),
             Trailing("in_amt_24h", F.col("in_amt"), DAY_US),
             Trailing("out_n_1h", F.col("out_n"), HOUR_US),
             Trailing("out_amt_24h", F.col("out_amt"), DAY_US),
-        ],
+        ]),
         hot=hot,
         collapse=True,
+        asks=F.col("moves"),
+        tasks=tasks,
     )
 
 
 def account_features(
-    payments: DataFrame, hot: DataFrame | None | object = AUTO, limit: int = DEFAULT_LIMIT
+    payments: DataFrame, hot: DataFrame | None | object = AUTO, limit: int = DEFAULT_LIMIT, tasks: int | None = None
 ) -> DataFrame:
     """``txn_id`` plus beneficiary and sender account features.
 
@@ -112,7 +122,7 @@ def account_features(
         F.col("self_account").alias("src"), F.col("beneficiary_id").alias("dst"),
         F.col("customer_id").alias("payer"), "ts_us", "amount",
     )
-    line = account_timeline(flows, hot, limit)
+    line = account_timeline(flows, hot, limit, tasks=tasks)
     # Each payment asks twice; one narrow shuffle on (account, time) answers both.
     asks = payments.select(
         "txn_id", "amount", "ts_us",

@@ -23,6 +23,26 @@ START = "__start"
 WIDTH = "__width"
 
 
+#: Rows of a payment table that one task sorts for the histories of a key.
+TASK_ROWS = 100_000
+
+
+def tasks_for(df: DataFrame, rows: int = TASK_ROWS) -> int | None:
+    """How many tasks share the table out by key, so that a task's memory does not grow with it.
+
+    None for a small table, which is left to Spark. Spark sizes tasks by shuffled bytes; a
+    history sorts its rows once per order, which takes many times those.
+    """
+    n = df.count()
+    return max(-(-n // rows), df.sparkSession.sparkContext.defaultParallelism) if n > rows else None
+
+
+def dealt(df: DataFrame, key: list[str], tasks: int | None) -> DataFrame:
+    """Rows dealt out by key, to so many tasks if a number is given."""
+    cols = [F.col(c) for c in key]
+    return df.repartition(tasks, *cols) if tasks else df.repartition(*cols)
+
+
 def hot_slices(
     df: DataFrame,
     key: list[str],

@@ -501,10 +501,10 @@ _D30 = 30 * 86_400_000_000
           f"SELECT CAST(acct AS VARCHAR) AS acct, ts_us, {n('max(coalesce(credits, 0))', 'credits')}, {n('max(last_in)', 'last_in_us')}, {r('max(coalesce(in24, 0))', 'in_24h', 2)}, {r('max(coalesce(out24, 0))', 'out_24h', 2)}, {n('max(payers)', 'payers_24h')} FROM w GROUP BY acct, ts_us")
 def _j15(spark, sf):
     from ..operators.features.account import account_timeline
+    from ..operators.hot import tasks_for
 
-    flows = T.flows(spark, sf).select("src", "dst", "payer", "ts_us", "amount")
-    moved = flows.select("ts_us", F.explode(F.array(F.col("src").cast("string"), F.col("dst").cast("string"))).alias("acct"))
-    line = account_timeline(flows).join(moved, ["acct", "ts_us"], "left_semi")
+    flows = stored(T.flows(spark, sf).select("src", "dst", "payer", "ts_us", "amount"), "flows")  # counted, then read twice
+    line = account_timeline(flows, columns=["credits", "last_in_us", "in_amt_24h", "out_amt_24h", "payers_24h"], tasks=tasks_for(flows))
     return line.select(
         "acct", "ts_us", "credits", "last_in_us", _floor(C.from_micro_units(F.col("in_amt_24h")), 2).alias("in_24h"),
         _floor(C.from_micro_units(F.col("out_amt_24h")), 2).alias("out_24h"), "payers_24h")
