@@ -10,7 +10,7 @@ from ...constants import FEATURE_NAMES
 from ...functions import columns as C
 from ...sources.schema import conform
 from ..causal import AUTO
-from ..hot import DEFAULT_LIMIT, hot_entities
+from ..hot import DEFAULT_LIMIT, hot_entities, tasks_for
 from .account import ACCOUNT_FEATURES, account_features
 from .counterparty import DEVICE_FEATURES, MERCHANT_FEATURES, device_features, merchant_features
 from .customer import CUSTOMER_FEATURES, customer_features, mandate_features
@@ -97,6 +97,15 @@ def row_columns(weekday_mode: str = "calendar") -> dict[str, Column]:
     return cols
 
 
+def _looked_up(df: DataFrame, dim: DataFrame, key: str) -> DataFrame:
+    """Left join of a dimension. Payments without the key match nothing; they are dealt out
+    evenly instead of meeting in one task."""
+    alone = F.when(F.col(key).isNull(), F.xxhash64("txn_id", "ts_us")).otherwise(F.lit(0).cast("long"))
+    # Zero on this side, but not as a constant: the planner would take that out of the join's keys.
+    there = dim.withColumn("__alone", F.pmod(F.xxhash64(key), F.lit(1)).cast("long"))
+    return df.withColumn("__alone", alone).join(there, [key, "__alone"], "left").drop("__alone")
+
+
 def attach_dimensions(
     ledger: DataFrame,
     customers: DataFrame | None = None,
@@ -123,9 +132,8 @@ def attach_dimensions(
             "home_lat": none("double"), "home_lon": none("double"), "home_country": none("string"),
             "self_account": none("string"), "__has_home": F.lit(False)})
     if merchants is not None:
-        df = df.join(
-            merchants.select("merchant_id", F.col("chargeback_rate").alias("dim_chargeback_rate")),
-            "merchant_id", "left")
+        df = _looked_up(
+            df, merchants.select("merchant_id", F.col("chargeback_rate").alias("dim_chargeback_rate")), "merchant_id")
     else:
         df = df.withColumn("dim_chargeback_rate", none("double"))
     if episodes is not None:
@@ -133,7 +141,7 @@ def attach_dimensions(
         dim = episodes.select(
             F.col("episode_id").alias("narrative_id"), F.coalesce("turn_count", F.lit(0)).alias("episode_turn_count"),
             F.col("duration_s").cast("double").alias("episode_duration"), *score)
-        df = df.join(dim, "narrative_id", "left")
+        df = _looked_up(df, dim, "narrative_id")
         if score:
             df = df.withColumn("coercion_score", F.coalesce("__score", "coercion_score")).drop("__score")
     else:
@@ -181,17 +189,18 @@ def features(
 
     agent_of = lambda hot: None if hot is None else AUTO
     entities = [
-        (CUSTOMER_FEATURES, {"customer_id": ["customer_id"]}, lambda h: customer_features(base, h["customer_id"])),
-        (DEVICE_FEATURES, {"device_id": ["device_id"]}, lambda h: device_features(base, h["device_id"])),
-        (MERCHANT_FEATURES, {"merchant_id": ["merchant_id"]}, lambda h: merchant_features(base, h["merchant_id"])),
+        (CUSTOMER_FEATURES, {"customer_id": ["customer_id"]}, lambda h: customer_features(base, h["customer_id"], tasks)),
+        (DEVICE_FEATURES, {"device_id": ["device_id"]}, lambda h: device_features(base, h["device_id"], tasks)),
+        (MERCHANT_FEATURES, {"merchant_id": ["merchant_id"]}, lambda h: merchant_features(base, h["merchant_id"], tasks)),
         (ACCOUNT_FEATURES, {"acct": ["beneficiary_id", "self_account"]},
-         lambda h: account_features(payments, h["acct"], limit)),
+         lambda h: account_features(payments, h["acct"], limit, tasks)),
         (["drawn"], {"customer_id": ["customer_id"]},
          lambda h: mandate_features(base, agent_of(h["customer_id"]), limit)),
     ]
     used = [e for e in entities if need & set(e[0])]
     keys = {k: c for _, ks, _ in used for k, c in ks.items()}
     hot = hot_entities(payments, keys, "ts_us", limit) if keys else {}
+    tasks = tasks_for(base) if keys else None
     missing = {}
     for names, _, build in entities:
         if need & set(names):

@@ -16,9 +16,9 @@ MERCHANT_FEATURES = [
 ]
 
 
-def _history(ledger: DataFrame, key: str, hot: DataFrame | None) -> DataFrame:
+def _history(ledger: DataFrame, key: str, hot: DataFrame | None, tasks: int | None) -> DataFrame:
     rows = ledger.filter(F.col(key).isNotNull()).select("txn_id", key, "customer_id", "ts_us", "amount")
-    rows = first_seen(rows, [key], "ts_us", "txn_id", {"customer": "customer_id"}, hot=hot)
+    rows = first_seen(rows, [key], "ts_us", "txn_id", {"customer": "customer_id"}, hot=hot, tasks=tasks)
     one = F.lit(1).cast("long")
     return causal(
         rows.drop("customer_id", "customer_new"), [key], "ts_us",
@@ -35,9 +35,9 @@ def _history(ledger: DataFrame, key: str, hot: DataFrame | None) -> DataFrame:
     )
 
 
-def device_features(ledger: DataFrame, hot: DataFrame | None = None) -> DataFrame:
+def device_features(ledger: DataFrame, hot: DataFrame | None = None, tasks: int | None = None) -> DataFrame:
     """``txn_id`` plus device features, for payments that name a device."""
-    h = _history(ledger, "device_id", hot)
+    h = _history(ledger, "device_id", hot, tasks)
     return h.select(
         "txn_id",
         F.col("customers").cast("double").alias("device_customer_count"),
@@ -47,9 +47,9 @@ def device_features(ledger: DataFrame, hot: DataFrame | None = None) -> DataFram
     )
 
 
-def merchant_features(ledger: DataFrame, hot: DataFrame | None = None) -> DataFrame:
+def merchant_features(ledger: DataFrame, hot: DataFrame | None = None, tasks: int | None = None) -> DataFrame:
     """``txn_id`` plus merchant features, for payments that name a merchant."""
-    h = _history(ledger, "merchant_id", hot)
+    h = _history(ledger, "merchant_id", hot, tasks)
     n = F.col("n")
     mean = F.col("amount_sum") / F.nullif(n, F.lit(0))
     return h.select(

@@ -33,12 +33,12 @@ CUSTOMER_FEATURES = [
 ]
 
 
-def customer_features(ledger: DataFrame, hot: DataFrame | None = None) -> DataFrame:
+def customer_features(ledger: DataFrame, hot: DataFrame | None = None, tasks: int | None = None) -> DataFrame:
     """``txn_id`` plus every feature derived from the customer's history.
 
     Two shuffles on the customer: one for first sightings and the last sixty
     amounts, one for all running and trailing values together. ``hot`` holds the
-    time slices of over-full customers, if any.
+    time slices of over-full customers, if any; ``tasks`` is how many tasks share the rows.
     """
     us = F.col("ts_us")
     rows = ledger.select(
@@ -52,7 +52,7 @@ def customer_features(ledger: DataFrame, hot: DataFrame | None = None) -> DataFr
     )
     rows = first_seen(
         rows, ["customer_id"], "ts_us", "txn_id", NOVELTY,
-        recent=("recent", "amount", RECENT_AMOUNTS), hot=hot,
+        recent=("recent", "amount", RECENT_AMOUNTS), hot=hot, tasks=tasks,
     )
     rows = rows.withColumn("recent", F.sort_array("recent")).withColumns({
         "p95": linear_percentile(F.col("recent"), 0.95),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .hot import SLICE, with_slice
+from .hot import SLICE, dealt, with_slice
 
 
 def first_seen(
@@ -16,6 +16,7 @@ def first_seen(
     values: dict[str, str],
     recent: tuple[str, str, int] | None = None,
     hot: DataFrame | None = None,
+    tasks: int | None = None,
 ) -> DataFrame:
     """For each named value column adds two flags.
 
@@ -25,15 +26,16 @@ def first_seen(
 
     ``recent = (name, column, n)`` also adds the last ``n`` values of a column as
     an array. One shuffle on the key serves all of it; only the sorts differ.
-    ``hot`` is the slice table of the key, None when no key is hot.
+    ``hot`` is the slice table of the key, None when no key is hot; ``tasks`` is how
+    many tasks share the rows (Spark's choice by default).
     """
     if hot is None:
-        return _flags(df, key, order, tie, values, recent)
+        return _flags(df, key, order, tie, values, recent, tasks)
     sliced = with_slice(df, hot, key, order)
     group = [*key, SLICE]
-    ordinary = _flags(sliced.filter(~F.col("__hot")), group, order, tie, values, recent)
+    ordinary = _flags(sliced.filter(~F.col("__hot")), group, order, tie, values, recent, tasks)
     busy = sliced.filter("__hot")
-    stitched = _flags(busy, group, order, tie, values, recent)
+    stitched = _flags(busy, group, order, tie, values, recent, tasks)
     for name, value in values.items():
         home = busy.filter(F.col(value).isNotNull()).groupBy(*key, value).agg(F.min(SLICE).alias("__home"))
         at_home = F.coalesce(F.col("__home") == F.col(SLICE), F.lit(False)).cast("int")
@@ -47,7 +49,7 @@ def first_seen(
     return ordinary.unionByName(stitched).drop(SLICE, "__hot")
 
 
-def _flags(df: DataFrame, group, order, tie, values, recent) -> DataFrame:
+def _flags(df: DataFrame, group, order, tie, values, recent, tasks=None) -> DataFrame:
     cols = {}
     for name, value in values.items():
         by_value = Window.partitionBy(*group, value).orderBy(order, tie)
@@ -58,7 +60,7 @@ def _flags(df: DataFrame, group, order, tie, values, recent) -> DataFrame:
         name, value, n = recent
         cols[name] = F.collect_list(value).over(
             Window.partitionBy(*group).orderBy(order, tie).rowsBetween(-n, -1))
-    return df.repartition(*[F.col(c) for c in group]).withColumns(cols)
+    return dealt(df, group, tasks).withColumns(cols)
 
 
 def _stitch_recent(stitched: DataFrame, busy: DataFrame, key, order, tie, recent) -> DataFrame:
