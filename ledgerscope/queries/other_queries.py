@@ -505,7 +505,7 @@ def _j15(spark, sf):
 
     flows = stored(T.flows(spark, sf).select("src", "dst", "payer", "ts_us", "amount"), "flows")  # counted, then read twice
     line = account_timeline(flows, columns=["credits", "last_in_us", "in_amt_24h", "out_amt_24h", "payers_24h"], tasks=tasks_for(flows))
-    return line.select(
+    return line.filter(F.col("ts_us").isNotNull()).select(
         "acct", "ts_us", "credits", "last_in_us", _floor(C.from_micro_units(F.col("in_amt_24h")), 2).alias("in_24h"),
         _floor(C.from_micro_units(F.col("out_amt_24h")), 2).alias("out_24h"), "payers_24h")
 

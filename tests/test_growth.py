@@ -94,3 +94,12 @@ def test_features_of_many_tasks_equal_those_of_few(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(assemble, "tasks_for", lambda df: 11)
     many = features(*tables, columns=names).select("txn_id", *names)
     assert few.exceptAll(many).isEmpty() and many.exceptAll(few).isEmpty()
+
+
+def test_moves_without_a_time_are_not_told(spark, tmp_path):
+    from ledgerscope.queries import QUERIES
+
+    spark.sql("SELECT * FROM VALUES (1L, 7L, TIMESTAMP '2024-01-01'), (2L, 8L, CAST(NULL AS TIMESTAMP)) AS t(o_orderkey, o_custkey, o_orderdate)").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.sql("SELECT * FROM VALUES (1L, 3L, 10.0D, 1), (2L, 3L, 20.0D, 1) AS t(l_orderkey, l_suppkey, l_extendedprice, l_linenumber)").write.parquet(f"{tmp_path}/lineitem.parquet")
+    rows = QUERIES["j15_account_state"](spark, str(tmp_path)).collect()
+    assert {r["acct"] for r in rows} == {"7", "3"} and len(rows) == 2 and all(r["ts_us"] == 1_704_067_200_000_000 for r in rows)
