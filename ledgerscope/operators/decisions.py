@@ -75,6 +75,34 @@ def apply_rules(
     return df.withColumns({"rule_score": score, "fired": codes})
 
 
+@dataclass(frozen=True)
+class RuleScorer:
+    """Adds ``score``, that of the rules alone; also for one feature replaced at a time, without a copy of the row."""
+
+    rules: tuple[Rule, ...] = tuple(RULES)
+    LOWEST = 0.0  # no score is below
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        return apply_rules(df, list(self.rules)).withColumn("score", F.col("rule_score"))
+
+    def replaced(self, df: DataFrame, instead: dict[str, Column]) -> tuple[DataFrame, dict[str, Column]]:
+        """The table with what every rule gives, and from it the score with each feature replaced by its column.
+
+        Only the rules that look at a feature are tried anew.
+        """
+        gives = lambda r, f: F.when(holds(r.predicate(f)), r.confidence).otherwise(0.0)
+        looks_at = [set() for _ in self.rules]
+        for r, seen in zip(self.rules, looks_at, strict=True):
+            r.predicate(lambda name, seen=seen: (seen.add(name), F.col(name))[1])
+        out = df.withColumns({f"__r{i}": gives(r, F.col) for i, r in enumerate(self.rules)})
+        scores = {
+            c: F.greatest(F.lit(0.0), *[
+                gives(r, lambda name, c=c: instead[c] if name == c else F.col(name)) if c in looks_at[i] else F.col(f"__r{i}")
+                for i, r in enumerate(self.rules)])
+            for c in instead}
+        return out.withColumn("score", F.greatest(F.lit(0.0), *[F.col(f"__r{i}") for i in range(len(self.rules))])), scores
+
+
 def rule_catalogue(spark: SparkSession, rules: list[Rule] = RULES) -> DataFrame:
     return spark.createDataFrame(
         [(r.code, r.description, r.confidence, r.hint) for r in rules],

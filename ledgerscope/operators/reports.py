@@ -6,8 +6,11 @@ Scored input: ``txn_id, amount, rail, y, score`` and, where used, ``vector_id``,
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -240,32 +243,54 @@ def paired_lift(df: DataFrame, level: str, s1: str, t1: float, s2: str, t2: floa
 MEDIAN_BINS = 4_096
 
 
+def _binned(values: DataFrame, within: dict[str, tuple[float, float] | None]) -> list:
+    """Rows, lowest and highest value of each bin (k, b, n, lo, hi) of the finite values of columns between two
+    ends, both included; one bin where no ends are given."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size = {k: MEDIAN_BINS if ends else 1 for k, ends in within.items()}
+        n = {k: np.zeros(s, np.int64) for k, s in size.items()}
+        low, high = {k: np.full(s, np.inf) for k, s in size.items()}, {k: np.full(s, -np.inf) for k, s in size.items()}
+        for batch in batches:
+            for i, (k, ends) in enumerate(within.items()):
+                v = batch.column(i).to_numpy(zero_copy_only=False)
+                v = v[np.isfinite(v)]
+                at = np.zeros(len(v), np.int64)
+                if ends:
+                    v = v[(v >= ends[0]) & (v <= ends[1])]
+                    wide = ends[1] / 2 - ends[0] / 2  # halves: the range itself may overflow
+                    share = (v / 2 - ends[0] / 2) / wide if wide else (v > ends[0]).astype(float)
+                    at = np.minimum(share * MEDIAN_BINS, MEDIAN_BINS - 1).astype(np.int64)
+                n[k] += np.bincount(at, minlength=size[k])
+                np.minimum.at(low[k], at, v)
+                np.maximum.at(high[k], at, v)
+        for k in within:
+            b = np.flatnonzero(n[k])
+            yield pa.RecordBatch.from_arrays([pa.array([k] * len(b), pa.string()), pa.array(b, pa.int32()), pa.array(n[k][b]), pa.array(low[k][b]), pa.array(high[k][b])], names=["k", "b", "n", "lo", "hi"])
+
+    told = values.select(*within).mapInArrow(run, "k string, b int, n long, lo double, hi double")
+    return told.groupBy("k", "b").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).collect()
+
+
 def column_medians(df: DataFrame, columns: list[str]) -> DataFrame:
     """Median of each column over observed values, as (feature, median).
 
-    Histograms of all columns at once close in on the middle: each pass moves bin
-    counts only (summed within a task first), never rows, and the result is exact.
+    Histograms of all columns at once close in on the middle: each pass counts the bins of
+    a task's rows in arrays and moves these counts only, never rows, and the result is exact.
     Infinite values count as not observed.
     """
     names = {f"c{i}": c for i, c in enumerate(columns)}
-    clean = {k: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) for k, c in names.items()}
-    values = df.select(*[F.when(F.abs(e) < float("inf"), e).alias(k) for k, e in clean.items()])
-    ends = values.agg(*[f(k).alias(f"{k}_{tag}") for k in names for tag, f in (("n", F.count), ("lo", F.min), ("hi", F.max))]).first()
+    values = df.select(*[F.col(c).cast("double").alias(k) for k, c in names.items()])
+    ends = _binned(values, dict.fromkeys(names))
     # lowest and highest value around the middle, rows below it, 0-based places of the two middle values
-    state = {k: (ends[f"{k}_lo"], ends[f"{k}_hi"], 0, (ends[f"{k}_n"] - 1) // 2, ends[f"{k}_n"] // 2) for k in names if ends[f"{k}_n"]}
+    state = {r["k"]: (r["lo"], r["hi"], 0, (r["n"] - 1) // 2, r["n"] // 2) for r in ends}
     found: dict[str, float] = {}
     while state:
         for k in [k for k, (lo, hi, *_) in state.items() if lo == hi]:
             found[k] = state.pop(k)[0]
         if not state:
             break
-        hits = []
-        for k, (lo, hi, *_) in state.items():
-            share = (F.col(k) / 2 - lo / 2) / (hi / 2 - lo / 2)  # halves: the range itself may overflow
-            b = F.least(F.floor(share * MEDIAN_BINS), F.lit(MEDIAN_BINS - 1)).cast("int")
-            hits.append(F.when(F.col(k).between(lo, hi), F.struct(F.lit(k).alias("k"), b.alias("b"), F.col(k).alias("v"))))
-        bins = values.select(F.explode(F.array(*hits)).alias("h")).filter("h IS NOT NULL").groupBy("h.k", "h.b").agg(
-            F.count(F.lit(1)).alias("n"), F.min("h.v").alias("lo"), F.max("h.v").alias("hi")).collect()
+        bins = _binned(values, {k: (lo, hi) for k, (lo, hi, *_) in state.items()})
         for k, (_, _, below, first, second) in list(state.items()):
             left = None
             for row in sorted((r for r in bins if r["k"] == k), key=lambda r: r["b"]):

@@ -221,8 +221,7 @@ def _x_sql(candidates: list[str]) -> str:
 def rule_reasons(df, candidates):
     """Reasons of the rule score over a table with the features that rules look at."""
     meds = requests.median_row(reports.column_medians(df, candidates), candidates)
-    score = lambda d: decisions.apply_rules(d).withColumn("score", F.col("rule_score"))
-    out = explain.explain(df, score, meds, candidates, k=4)
+    out = explain.explain(df, decisions.RuleScorer(), meds, candidates, k=4)
     return out.select("txn_id", "base_score", F.coalesce(F.array_join(F.transform("reasons", lambda x: x["feature"]), ","), F.lit("")).alias("reasons"))
 
 
