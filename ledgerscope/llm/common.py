@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
+import sys
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,6 +40,17 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def settle() -> None:
+    """Lets go of what a Python worker holds of stages before: tokenizers, and memory that is free but not given back."""
+    for module, loader in (("library_ids", "encoder"), ("bpe", "encoder"), ("token_counts", "counter")):
+        if loaded := sys.modules.get(f"{__package__}.{module}"):
+            getattr(loaded, loader).cache_clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # a C library without it keeps the memory
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Writes a table to the shared folder and reads it back: lineage ends here, and lost
     executors cost only their own tasks. The files go when the application ends."""

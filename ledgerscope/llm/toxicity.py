@@ -27,13 +27,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import release
+from .common import release, settle
 
 BITS = 18
 FIT_ROWS = 20_000
 SHARDS = 2
 ROUNDS = 4
 HELD = 100_000  # words whose hashes a task keeps
+TOLD = 1_000  # rows that leave a task at once
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 4.0, 1.0
 BIAS = 0  # the place of the intercept
 _EDGE = ".,;:!?\"'()[]{}*#$%&|<>-_/\\"
@@ -69,6 +70,18 @@ def places(text: str) -> np.ndarray:
     return np.unique(np.append(every & _MASK, np.uint64(BIAS))).astype(np.int64)
 
 
+def _packed(at: np.ndarray) -> bytes:
+    """Ascending places in little more than two bytes each: how many have each top part, then the low 16 bits of all."""
+    tops = np.bincount(at >> 16, minlength=1 << (BITS - 16))
+    return tops.astype("<u4").tobytes() + (at & 0xFFFF).astype("<u2").tobytes()
+
+
+def _unpacked(told: memoryview) -> np.ndarray:
+    n = 1 << (BITS - 16)
+    tops = np.repeat(np.arange(n) << 16, np.frombuffer(told, "<u4", n))
+    return tops | np.frombuffer(told, "<u2", offset=4 * n)
+
+
 def _weights(z: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.where(np.abs(z) <= L1, 0.0, -(z - np.sign(z) * L1) / ((BETA + np.sqrt(n)) / ALPHA + L2))
 
@@ -95,15 +108,17 @@ def fit(training: DataFrame, rounds: int = ROUNDS, shards: int = SHARDS) -> tupl
     """Places and weights that are not zero. ``training`` holds doc_id, _text and _label."""
     spark = training.sparkSession
     size = 1 << BITS
-    schema = T.StructType([training.schema["doc_id"], *T._parse_datatype_string("_label int, _places array<long>").fields])
+    schema = T.StructType([training.schema["doc_id"], *T._parse_datatype_string("_label int, _places binary").fields])
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle()
         for batch in batches:
-            for i, text in enumerate(batch.column("_text")):
-                row, text = batch.slice(i, 1), text.as_py()
-                yield pa.RecordBatch.from_arrays(
-                    [row.column("doc_id"), row.column("_label"), pa.array([places(text or "")], pa.list_(pa.int64()))], names=["doc_id", "_label", "_places"])
+            for start in range(0, batch.num_rows, TOLD):
+                part = batch.slice(start, TOLD)
+                found = [_packed(places(text.as_py() or "")) for text in part.column("_text")]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("_label"), pa.array(found, pa.binary())], names=["doc_id", "_label", "_places"])
         _HASHES.clear()  # the worker goes on to other stages
+        settle()
 
     dealt = training.select("doc_id", "_text", "_label").mapInArrow(featured, schema)
     dealt = dealt.repartition(shards, F.xxhash64("doc_id")).sortWithinPartitions(F.xxhash64("doc_id", F.lit(1)))
@@ -119,7 +134,7 @@ def fit(training: DataFrame, rounds: int = ROUNDS, shards: int = SHARDS) -> tupl
                 for batch in batches:
                     labels = batch.column("_label").to_pylist()
                     for i, label in enumerate(labels):
-                        at = batch.column("_places")[i].values.to_numpy(zero_copy_only=False)
+                        at = _unpacked(batch.column("_places")[i].as_buffer())
                         w = _weights(z[at], n[at])
                         g = _sigmoid(w.sum()) - label
                         sigma = (np.sqrt(n[at] + g * g) - np.sqrt(n[at])) / ALPHA
@@ -154,11 +169,14 @@ def score(docs: DataFrame, kept: np.ndarray, weights: np.ndarray, keep: tuple[st
         kept, weights = shared.value
         dense = np.zeros(1 << BITS)
         dense[kept] = weights
+        settle()
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1)
-            scores = [_sigmoid(dense[places(t.as_py() or "")].sum()) if len(kept) else 0.0 for t in texts]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(scores, pa.float64())], names=[*names, "score"])
+            for start in range(0, batch.num_rows, TOLD):
+                part = batch.slice(start, TOLD)
+                scores = [_sigmoid(dense[places(t.as_py() or "")].sum()) if len(kept) else 0.0 for t in part.column(part.num_columns - 1)]
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], pa.array(scores, pa.float64())], names=[*names, "score"])
         _HASHES.clear()
+        settle()
 
     return source.mapInArrow(run, schema)
 
