@@ -7,8 +7,8 @@ cell's middle, so the product with the middles bounds the product with the vecto
 above and below; the bounds allow for the rounding of doubles. Vectors of like magnitude
 share a grid, so a huge vector does not widen the cells of the others.
 
-1. *Scan of the approximations.* Blocks of queries meet blocks of cells; per query the
-   k-th largest lower bound so far rules out all whose upper bound is smaller.
+1. *Scan of the approximations.* Blocks of queries meet parts of the file, block by block of
+   cells; per query the k-th largest lower bound so far rules out all whose upper bound is smaller.
 2. *Exact reads in bound order.* The k candidates with the best bounds are read first.
    Their k-th exact product is certain to be reached, so only candidates whose upper
    bound is at least that are read next; all others cannot be among the first k.
@@ -31,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
@@ -39,8 +39,10 @@ from .common import saved
 
 BITS = 6
 SCALE = 256
-BLOCK = 4_096  # vectors in a block of the approximation file
-QUERY_BLOCK = 512
+BLOCK, BLOCK_BYTES = 4_096, 1 << 20  # vectors in a block of the approximation file, fewer if they are long
+QUERY_BLOCK, QUERY_BYTES = 4_096, 1 << 22
+PART = 65_536  # vectors of the file that one task compares with a block of queries
+STEP = 512  # queries that are multiplied with a block at once
 HELD = 400_000  # candidates that a task holds before it writes them
 SMALL = 1 << 25  # components up to here, in vectors of up to DIMS, have products that fit a long
 DIMS = 4_096
@@ -103,54 +105,83 @@ def _blocks(rows: DataFrame, by: list[str], count: int, size: int, columns: list
     return rows.groupBy(*by, F.pmod(F.xxhash64("class"), F.lit(n)).alias("block")).agg(*[F.collect_list(F.struct("class", *columns)).alias("rows")])
 
 
-def _scan(pairs: DataFrame, k: int) -> DataFrame:
-    """Candidates of every block pair: query class, class, upper and lower bound."""
+def _meetings(found: DataFrame, grid: DataFrame, bits: int, counts: Row) -> DataFrame:
+    """Where each block of queries meets each part of the file of its length: ``dim, meeting``, the queries first, then blocks of cells.
 
-    def flush(held: list[tuple[np.ndarray, ...]], need: int) -> pd.DataFrame | None:
-        if not held:
-            return None
-        q, c, up, low = (np.concatenate(x) for x in zip(*held, strict=True))
-        order = np.lexsort((-low, q))
-        _, first = np.unique(q[order], return_index=True)
-        last = np.append(first[1:], len(q))
-        kth = np.minimum(first + need, last) - 1
-        bar = np.where(last - first >= need, low[order][kth], -np.inf)
-        keep = up[order] >= np.repeat(bar, last - first)
-        at = order[keep]
-        return pd.DataFrame({"query": q[at], "class": c[at], "upper": up[at], "lower": low[at]})
+    Blocks are copied to their meetings and go there in one shuffle; nothing is joined, so nothing
+    goes through the driver. A part has up to ``PART`` vectors, fewer where cores would idle.
+    """
+    widest = max(counts["widest"] or 1, 1)
+    size = max(1, min(BLOCK, BLOCK_BYTES // widest))
+    query_size = max(1, min(QUERY_BLOCK, QUERY_BYTES // (8 * widest)))
+    blocks, query_blocks = -(-counts["classes"] // size) or 1, -(-counts["asked"] // query_size) or 1
+    idle = -(-2 * found.sparkSession.sparkContext.defaultParallelism // query_blocks)
+    parts = min(blocks, max(-(-blocks * size // PART), idle))
+    copies = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    cells = found.join(F.broadcast(grid), ["dim", "band"]).select("dim", "band", "class", cell_bytes(bits).alias("cells"))
+    file = _blocks(cells, ["dim", "band"], counts["classes"], size, ["cells"]).join(F.broadcast(grid), ["dim", "band"])
+    file = file.withColumn("_q", copies(query_blocks)).select(
+        "dim", (F.col("_q") * parts + F.col("block") % parts).alias("meeting"), F.lit(None).alias("queries"), "rows", "low", "width")
+    asked = _blocks(found.where("asked"), ["dim"], counts["asked"], query_size, ["v"]).withColumn("_p", copies(parts)).select(
+        "dim", (F.col("block") * parts + F.col("_p")).alias("meeting"), F.col("rows").alias("queries"), F.lit(None).alias("rows"), F.lit(None).alias("low"), F.lit(None).alias("width"))
+    both = asked.unionByName(file).repartition(query_blocks * parts, "dim", "meeting")
+    return both.sortWithinPartitions("dim", "meeting", F.col("queries").isNull())
+
+
+def _scan(meetings: DataFrame, k: int) -> DataFrame:
+    """Candidates of every meeting: query class, class and upper bound."""
+    need = k + 1
+
+    def flush(held: list[tuple[np.ndarray, ...]], asked: np.ndarray, best: np.ndarray) -> Iterator[pd.DataFrame]:
+        """Those held that the best lower bounds so far leave open."""
+        if held:
+            i, c, up = (np.concatenate(x) for x in zip(*held, strict=True))
+            at = np.flatnonzero(up >= best[i, 0])
+            for start in range(0, len(at), HELD):
+                x = at[start : start + HELD]
+                yield pd.DataFrame({"query": asked[i[x]], "class": c[x], "upper": up[x]})
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        need, held, size = k + 1, [], 0
+        here, held, size = None, [], 0
+        asked, best = np.empty(0, np.int64), np.empty((0, need))
         for frame in frames:
             for row in frame.itertuples(index=False):
+                if here != (row.dim, row.meeting):
+                    yield from flush(held, asked, best)
+                    here, held, size, asked = (row.dim, row.meeting), [], 0, np.empty(0, np.int64)
+                if row.queries is not None:
+                    asked = np.fromiter((r["class"] for r in row.queries), np.int64, len(row.queries))
+                    vectors = np.array([r["v"] for r in row.queries], np.float64)
+                    best = np.full((len(asked), need), -np.inf)  # of each query, the smallest first
+                    continue
+                if not len(asked):  # no query of this length in the block
+                    continue
                 low, width = np.array(row.low, np.float64), np.array(row.width, np.float64)
                 ids = np.fromiter((r["class"] for r in row.rows), np.int64, len(row.rows))
                 cells = np.frombuffer(b"".join(r["cells"] for r in row.rows), np.uint8).reshape(len(ids), len(low))
                 middle = low + (cells + 0.5) * width
-                asked = np.fromiter((r["class"] for r in row.queries), np.int64, len(row.queries))
-                q = np.array([r["v"] for r in row.queries], np.float64)
-                with np.errstate(over="ignore", invalid="ignore"):  # beyond a double: no bound, read exactly
-                    score = q @ middle.T
-                    slack = np.abs(q) @ (width / 2)
-                    # What doubles may lose in cells, middles, products and their sums.
-                    slack += 1 + (4 * len(low) + 64) * EPS * (np.abs(q) @ (np.abs(low) + np.abs(middle).max(axis=0) + 256 * width))
-                    up, down = score + slack[:, None], score - slack[:, None]
-                up[~np.isfinite(up)], down[~np.isfinite(down)] = np.inf, -np.inf
                 take = min(need, len(ids))
-                if take == need:
-                    bar = np.partition(down, len(ids) - take, axis=1)[:, len(ids) - take]
-                else:
-                    bar = np.full(len(q), -np.inf)
-                i, j = np.nonzero(up >= bar[:, None])
-                held.append((asked[i], ids[j], up[i, j], down[i, j]))
-                size += len(i)
-                if size > HELD:
-                    yield flush(held, need)
-                    held, size = [], 0
-        if held:
-            yield flush(held, need)
-
-    return pairs.mapInPandas(run, "query long, class long, upper double, lower double")
+                for start in range(0, len(asked), STEP):
+                    part = slice(start, start + STEP)
+                    q = vectors[part]
+                    with np.errstate(over="ignore", invalid="ignore"):  # beyond a double: no bound, read exactly
+                        score = q @ middle.T
+                        slack = np.abs(q) @ (width / 2)
+                        # What doubles may lose in cells, middles, products and their sums.
+                        slack += 1 + (4 * len(low) + 64) * EPS * (np.abs(q) @ (np.abs(low) + np.abs(middle).max(axis=0) + 256 * width))
+                        up, down = score + slack[:, None], score - slack[:, None]
+                    up[~np.isfinite(up)], down[~np.isfinite(down)] = np.inf, -np.inf
+                    top = np.partition(down, len(ids) - take, axis=1)[:, len(ids) - take :]
+                    best[part] = np.sort(np.hstack([best[part], top]), axis=1)[:, take:]
+                    i, j = np.nonzero(up >= best[part, :1])
+                    held.append((i + start, ids[j], up[i, j]))
+                    size += len(i)
+                    if size > HELD:
+                        yield from flush(held, asked, best)
+                        held, size = [], 0
+        yield from flush(held, asked, best)
+
+    return meetings.mapInPandas(run, "query long, class long, upper double")
 
 
 def _product() -> Column:
@@ -179,7 +210,8 @@ def _read(candidates: DataFrame, vectors: DataFrame, wide: bool) -> DataFrame:
     ``beyond`` orders scores that are shown as the same end of the longs; it is empty for all others.
     """
     asked = vectors.where("asked").select(F.col("class").alias("query"), F.col("v").alias("q"), F.col("band").alias("_qb"))
-    pairs = candidates.join(vectors.select("class", "v", "band"), "class").join(asked, "query")
+    # Never by broadcast: as files the vectors are a tenth of what they would take in the driver.
+    pairs = candidates.join(vectors.select("class", "v", "band").hint("merge"), "class").join(asked.hint("merge"), "query")
     small = (F.col("band") == 0) & (F.col("_qb") == 0)
     exact = pairs.where(small).select("query", "class", _product().alias("score"), F.lit("").alias("beyond"))
     if wide:
@@ -196,16 +228,10 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, vector: str = "embed
     whole = integer_vectors(vectors, vector, scale)
     found = saved(classes(whole, k, is_query), "classes")
     grid = cell_grid(found, bits)  # one row per length and magnitude
-    counts = found.agg(F.count(F.lit(1)), F.count(F.when(F.col("asked"), 1)), F.max("band")).first()
-    wide = bool(counts[2])
-    cells = found.join(grid, ["dim", "band"]).select("dim", "band", "class", cell_bytes(bits).alias("cells"))
-    approximations = _blocks(cells, ["dim", "band"], counts[0], BLOCK, ["cells"]).join(grid, ["dim", "band"])
-    asked = _blocks(found.where("asked"), ["dim"], counts[1], QUERY_BLOCK, ["v"]).select("dim", F.col("block").alias("query_block"), F.col("rows").alias("queries"))
-    # Block by block: every block of queries is sent to every block of the file of its length.
-    blocks = -(-counts[0] // BLOCK) or 1
-    sent = asked.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    pairs = approximations.join(sent, ["dim", "block"]).repartition(F.col("query_block"), F.col("block"))
-    candidates = saved(_scan(pairs, k), "candidates")
+    counts = found.agg(
+        F.count(F.lit(1)).alias("classes"), F.count(F.when(F.col("asked"), 1)).alias("asked"), F.max("band").alias("band"), F.max("dim").alias("widest")).first()
+    wide = bool(counts["band"])
+    candidates = saved(_scan(_meetings(found, grid, bits, counts), k), "candidates")
 
     best_bounds = Window.partitionBy("query").orderBy(F.desc("upper"), "class")
     first = candidates.withColumn("_n", F.row_number().over(best_bounds)).where(F.col("_n") <= k + 1)
@@ -214,7 +240,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, vector: str = "embed
     bar = F.when((F.col("_read") > k) & (F.col("_sure") > LEAST), F.col("_sure"))
     open_ = candidates.join(reached, "query").where(bar.isNull() | (F.col("upper") >= bar.cast("double")))
     exact = _read(open_.select("query", "class"), found, wide)
-    exact = exact.join(found.select("class", "ids"), "class")
+    exact = exact.join(found.select("class", "ids").hint("merge"), "class")
     by_score = Window.partitionBy("query").orderBy(F.desc("score"), F.desc("beyond"), F.col("ids")[0], "class")
     lists = exact.withColumn("_n", F.row_number().over(by_score)).where(F.col("_n") <= k + 1)
 
@@ -225,7 +251,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, vector: str = "embed
     answers = members.groupBy("query").agg(F.sort_array(F.collect_list(F.struct("_n", "vec_id", "score"))).alias("_list"))
     asks = whole.where(is_query).select("vec_id", "v").distinct().withColumn("_h", F.xxhash64("v"))
     of_class = found.where("asked").select(F.xxhash64("v").alias("_h"), "v", F.col("class").alias("query"))
-    rows = asks.join(of_class, ["_h", "v"]).select(F.col("vec_id").alias("query_id"), "query").join(answers, "query")
+    rows = asks.join(of_class.hint("merge"), ["_h", "v"]).select(F.col("vec_id").alias("query_id"), "query").join(answers, "query")
     others = F.slice(F.filter("_list", lambda x: x["vec_id"] != F.col("query_id")), 1, k)
     ranked = rows.select("query_id", F.posexplode(others).alias("_at", "_x"))
     return ranked.select("query_id", (F.col("_at") + 1).cast("int").alias("rank"), "_x.vec_id", "_x.score")
