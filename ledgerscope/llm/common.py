@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import release
+
 #: What separates words: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACES = " \t\n\x0b\x0c\r"
 SPACE_CLASS = r"[\x20\x09-\x0D]"
@@ -30,16 +32,6 @@ def shared_folder(spark: SparkSession) -> str:
     return _LOCAL.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="ledgerscope-llm-"))
 
 
-def release(spark: SparkSession) -> None:
-    """Lets go of finished jobs, so that Spark's context cleaner removes their shuffle files now.
-
-    The cleaner acts when the driver's JVM collects garbage, which a driver with little
-    to do puts off while the files fill the executors' disks.
-    """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def settle() -> None:
     """Lets go of what a Python worker holds of stages before: tokenizers, and memory that is free but not given back."""
     for module, loader in (("library_ids", "encoder"), ("bpe", "encoder"), ("token_counts", "counter")):
