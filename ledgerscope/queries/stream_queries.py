@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.decisions import Rule
 from ..sources import tables as T
-from ..streaming import KeyedFeatures, OnlineFeatures, alerts, assembled, deduplicated, panes, running_counters, sliding_velocity, windows
+from ..streaming import ClosedWindows, KeyedFeatures, OnlineFeatures, alerts, assembled, deduplicated, panes, running_counters, windows
 from ..streaming.keyed import ENTITIES, FEATURES, dropped_late, rocksdb
 from .feature_queries import BASE_SQL, FEATURE_SQL
 from .other_queries import scratch
@@ -221,8 +221,9 @@ def _st7_engine(spark, sf):
           f"m AS (SELECT max(ts_us) // 1000 * 1000 - {DELAY_US} AS wm FROM ledger) SELECT customer_id, start_us, {n('count(*)', 'n')}, {r('sum(amount)', 'amount', 2)} FROM w, m WHERE start_us + 3600000000 <= wm GROUP BY customer_id, start_us")
 def _st6_closed(spark, sf):
     """Append mode: a window is told once, when the watermark passes its end, and then forgotten."""
-    v = sliding_velocity(sliced_stream(spark, sf))
-    out = finish(v.select("customer_id", F.unix_micros("window.start").alias("start_us"), "n", "amount"), spark, "closed")
+    job = ClosedWindows(scratch(spark, "closed"), delay_us=DELAY_US)
+    job.start(sliced_stream(spark, sf)).awaitTermination()
+    out = job.finish(spark).select("customer_id", "start_us", "n", "amount")
     return out.withColumn("amount", F.floor(F.col("amount") * 100 + HALF) / 100)
 
 
